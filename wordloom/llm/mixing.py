@@ -105,9 +105,10 @@ def _cut_time(queued: DataFrame, most: int) -> float:
         inside = copies.filter((F.col("v") > low) & (F.col("v") <= high)) if spent or best >= 0 or high < 2.0**40 else copies
         step = F.least(F.ceil((F.col("v") - low) / width), F.lit(2 * RANGES + 1))
         sums = sorted(tuple(r) for r in inside.groupBy(step.alias("k")).agg(F.sum("size"), F.max("v"), F.min("v"), F.count("*")).collect())
-        over = next((r for r in sums if spent + r[1] > budget * (1 + 1e-12)), None)
+        over = None
         for r in sums:
-            if over is not None and r[0] >= over[0]:
+            if spent + r[1] > budget * (1 + 1e-12):
+                over = r
                 break
             spent, best = spent + r[1], r[2]
         if over is None or over[2] == over[3]:
