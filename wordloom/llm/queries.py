@@ -1,11 +1,14 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from wordloom.llm import exact_dedup, line_dedup, mixing
+from wordloom.llm import bpe_codec, exact_dedup, line_dedup, mixing, quality, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_token_counts": tokens.op5_token_counts,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_bpe_codec": bpe_codec.op9_bpe_codec,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
