@@ -145,3 +145,11 @@ def run_hashes(items: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     for k in range(1, n):
         out += items[k : len(items) - n + 1 + k] * factors[k]
     return mix(out)
+
+
+def join_anew(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on keys, with both sides dealt out for this join alone. An aggregate that is already
+    dealt by the keys would keep Spark from splitting the partition of a key with very many rows on the left."""
+    tag = "__wl_deal"
+    left, right = (x.withColumn(tag, F.xxhash64(*keys)) for x in (left, right))
+    return left.join(right, [tag, *keys], how).drop(tag)

@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.record_batch([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    schema = source.schema.add("score", "double").add("predicted", "int")
+    schema = source.schema.add("score", "double").add("predicted", "integer")
     return source.mapInArrow(run, schema)
 
 

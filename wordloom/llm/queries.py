@@ -1,12 +1,13 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from wordloom.llm import bpe_codec, exact_dedup, flac, line_dedup, mixing, quality, tokens
+from wordloom.llm import bpe_codec, exact_dedup, flac, line_dedup, mixing, near_dedup, quality, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_flac": flac.op2_flac,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_counts": tokens.op5_token_counts,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe_codec": bpe_codec.op9_bpe_codec,
     "op10_quality": quality.op10_quality,
