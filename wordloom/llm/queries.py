@@ -1,10 +1,11 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from wordloom.llm import bpe_codec, exact_dedup, flac, line_dedup, mixing, near_dedup, quality, tokens
+from wordloom.llm import bpe_codec, exact_dedup, flac, line_dedup, mixing, near_dedup, quality, substring_dedup, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_flac": flac.op2_flac,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_near_dedup": near_dedup.op6_near_dedup,
