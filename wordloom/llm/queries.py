@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from wordloom.llm import bpe_codec, exact_dedup, flac, line_dedup, mixing, near_dedup, quality, substring_dedup, tokens
+from wordloom.llm import bpe_codec, exact_dedup, flac, hmm, line_dedup, mixing, near_dedup, quality, substring_dedup, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_hmm": hmm.op7_hmm,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe_codec": bpe_codec.op9_bpe_codec,
     "op10_quality": quality.op10_quality,
