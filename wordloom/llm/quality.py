@@ -18,6 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.llm.common import slices
 
@@ -135,7 +136,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             yield pa.record_batch([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    schema = source.schema.add("score", "double").add("predicted", "integer")
+    schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return source.mapInArrow(run, schema)
 
 
