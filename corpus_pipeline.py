@@ -12,7 +12,7 @@ from wordloom.llm.common import cut
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the compression classifier doesn't reject; it learns from the labels of those it gets."""
-    model = quality.fit(quality.labelled_text(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "id")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
 
 

@@ -9,6 +9,7 @@ built no dictionary, makes it a probability. Only text enters a score.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -96,20 +97,23 @@ def _curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -
     return w
 
 
-def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    """The model of the rows of labelled (id, text, label 0 or 1); rows with a null label or no text say nothing.
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """The model of the texts of docs (id, text) that labels (id, label 0 or 1) marks and that aren't held out.
 
-    At most `sample` rows of each label enter, those of least hash of the id, with at most `chars` characters each:
-    the driver's data is bounded however large the input. Of them, half build the dictionaries and half fit the curve.
-    With one label only, or none, the model gives every text the share of good labels (1 if there is no label).
+    At most `sample` ids of each label enter, those of least hash, with at most `chars` characters each: the driver's
+    data is bounded however large the input, and only the chosen ids, so many at most, are broadcast. Of the texts,
+    half build the dictionaries and half fit the curve. Null labels, null ids and texts without characters say
+    nothing; of an id with several labels the least counts. With one label only, or none, the model gives every text
+    the share of good labels (1 if there is no label).
     """
-    found: dict[int, list[str]] = {}
-    for y in (0, 1):
-        rows = labelled.filter((F.col(label) == y) & (F.length(text) > 0)).select(F.xxhash64(F.col(id)).alias("h"), F.substring(text, 1, chars).alias("t"))
-        found[y] = [r["t"] for r in rows.orderBy("h", "t").limit(sample).collect()]
+    marks = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull() & ~held_out(id)).groupBy(F.col(id).alias("id")).agg(F.min(label).alias("y"))
+    share = marks.agg(F.avg("y")).first()[0]
+    chosen = [marks.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    own = docs.filter(F.length(text) > 0).select(F.col(id).alias("id"), F.substring(text, 1, chars).alias("t"))
+    rows = own.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").groupBy("id", "y").agg(F.min("t").alias("t")).collect()
+    found = {y: [r["t"] for r in sorted(rows, key=lambda r: zlib.crc32(str(r["id"]).encode())) if r["y"] == y] for y in (0, 1)}
     if not found[0] or not found[1]:
         return Model(b"\0" * 8, b"\0" * 8, (8.0 if found[1] or not found[0] else -8.0, 0.0, 0.0, 0.0, 0.0))
-    share = labelled.filter(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0]
     halves = {y: (t[::2], t[1::2] or t) for y, t in found.items()}
     good, bad = _dictionary(_own_lines(halves[1][0], found)), _dictionary(_own_lines(halves[0][0], found))
     rest = halves[1][1] + halves[0][1]
@@ -145,14 +149,8 @@ def held_out(id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_text(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The texts that the fit may learn from, with their labels."""
-    seen = labels.select(F.col(id).alias("id"), F.col(label).alias("quality")).filter("quality IS NOT NULL")
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(seen, "id").filter(~held_out("id"))
-
-
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(labelled_text(docs, labels), "id")
+    model = fit(docs, labels)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
