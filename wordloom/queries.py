@@ -1,4 +1,6 @@
 """The library's queries by name, and the DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from wordloom.plans import words
+
+QUERIES = {**words.QUERIES}
+ORACLES = {**words.ORACLES}
