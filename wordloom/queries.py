@@ -1,6 +1,6 @@
 """The library's queries by name, and the DuckDB SQL that gives the same rows."""
 
-from wordloom.plans import words
+from wordloom.plans import tables, words
 
-QUERIES = {**words.QUERIES}
-ORACLES = {**words.ORACLES}
+QUERIES = {**words.QUERIES, **tables.QUERIES}
+ORACLES = {**words.ORACLES, **tables.ORACLES}
