@@ -36,7 +36,7 @@ def search(catalog: DataFrame, query: str = "", source: str | None = None, subje
 
 def subjects(catalog: DataFrame, most: int = 120, longest: int = 60) -> DataFrame:
     """subject, n: the most frequent subjects, in alphabetical order."""
-    each = catalog.select(F.trim(F.explode(F.split("subjects", ";"))).alias("subject")).filter(F.octet_length("subject").between(1, longest))
+    each = catalog.select(F.explode(F.split("subjects", ";")).alias("s")).select(F.trim("s").alias("subject")).filter(F.octet_length("subject").between(1, longest))
     top = each.groupBy("subject").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "subject").limit(most)
     return top.orderBy(F.lower("subject"), "subject")
 

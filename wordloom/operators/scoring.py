@@ -104,7 +104,7 @@ def reason_counts(reasons: DataFrame) -> DataFrame:
 def excluded_words(reasons: DataFrame, most: int = 200, by_count: bool = False) -> DataFrame:
     """The first `most` words that are left out, unmeasured ones last: rarest first, or most frequent in the book."""
     unmeasured = F.when(F.coalesce("pm", F.lit(0.0)) <= 0, 1).otherwise(0)
-    order = [F.col("count").desc()] if by_count else [unmeasured, F.col("pm").asc_nulls_last(), F.col("count").desc()]
+    order = [F.col("count").desc()] if by_count else [unmeasured, F.round("pm", 9).asc_nulls_last(), F.col("count").desc()]
     return reasons.filter("why <> ''").orderBy(*order, "book", "token").limit(most)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wordloom.functions import phones as P
 from wordloom.functions import text as T
 from wordloom.operators import frequency, lemma, scoring
 from wordloom.plans import standin as S
@@ -199,6 +198,11 @@ def interesting_candidates(spark, sf_dir):
     return level_candidates(spark, sf_dir, 0).filter("rank <= 30")
 
 
+def flagship(spark, sf_dir, max_pm=1000.0):
+    """interesting_candidates with a bound on frequency that suits a corpus of some ten thousand words."""
+    return scoring.candidates(S.book_counts(spark, sf_dir), S.dictionary(spark, sf_dir), max_pm=max_pm).filter("rank <= 30")
+
+
 @query(with_(TOKENS, WORDS, lemma_sql(1), lemma_sql(2), candidates_sql(0), candidates_sql(1), candidates_sql(2)) + "SELECT * FROM can0 UNION ALL SELECT * FROM can1 UNION ALL SELECT * FROM can2")
 def candidates_all_levels(spark, sf_dir):
     return level_candidates(spark, sf_dir, 0).unionByName(level_candidates(spark, sf_dir, 1)).unionByName(level_candidates(spark, sf_dir, 2))
@@ -223,7 +227,7 @@ def exclusion_report(spark, sf_dir):
     return scoring.reason_counts(_reasons(spark, sf_dir))
 
 
-@query(with_(TOKENS, WORDS, candidates_sql(0), WHY) + "SELECT book, token, n AS count, round(pm, 6) AS pm, why FROM why WHERE why <> '' ORDER BY CASE WHEN coalesce(pm, 0) <= 0 THEN 1 ELSE 0 END, pm NULLS LAST, n DESC, book, token LIMIT 200")
+@query(with_(TOKENS, WORDS, candidates_sql(0), WHY) + "SELECT book, token, n AS count, round(pm, 6) AS pm, why FROM why WHERE why <> '' ORDER BY CASE WHEN coalesce(pm, 0) <= 0 THEN 1 ELSE 0 END, round(why.pm, 9) NULLS LAST, n DESC, book, token LIMIT 200")
 def excluded_words(spark, sf_dir):
     return scoring.excluded_words(_reasons(spark, sf_dir)).withColumn("pm", F.round("pm", 6))
 

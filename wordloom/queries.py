@@ -1,6 +1,9 @@
 """The library's queries by name, and the DuckDB SQL that gives the same rows."""
 
-from wordloom.plans import tables, words
+from wordloom.plans import extraction, tables, words
+from wordloom.plans.words import flagship
 
-QUERIES = {**words.QUERIES, **tables.QUERIES}
-ORACLES = {**words.ORACLES, **tables.ORACLES}
+QUERIES = {**words.QUERIES, **tables.QUERIES, **extraction.QUERIES}
+ORACLES = {**words.ORACLES, **tables.ORACLES, **extraction.ORACLES}
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
