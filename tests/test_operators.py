@@ -166,3 +166,19 @@ def test_page_runs(spark):
     many = spark.createDataFrame([("b", i) for i in range(100)], "book string, page int")
     picked = [r["page"] for r in segments.even_sample(many, 5).orderBy("page").collect()]
     assert len(picked) == 5 and picked[0] == 5 and picked[-1] == 94
+
+
+def test_layouts_and_shuffles(spark):
+    defs = spark.createDataFrame([("s", "a", "x", 1), ("s", "b", "y", 2), ("s", "c", "x", 3)], "scope string, name string, section string, ord int")
+    assert [r["name"] for r in tags.section_order(defs).orderBy("place").collect()] == ["a", "c", "b"]
+    moved = tags.set_layout(defs, spark.createDataFrame([("b", 0, "z")], "name string, ord int, section string"))
+    assert [r["name"] for r in tags.section_order(moved).orderBy("place").collect()] == ["b", "a", "c"]
+    once, again, other = ([r["name"] for r in tags.shuffled(defs, "name", s).collect()] for s in (1, 1, 2))
+    assert once == again and sorted(once) == sorted(other) == ["a", "b", "c"]
+
+
+def test_gated_words(spark):
+    w = spark.createDataFrame([("cats", True), ("x-y", False), ("naïve", True), ("rare", True)], "word string, alpha_only boolean")
+    seen = spark.createDataFrame([("cats",), ("x-y",), ("naïve",)], "token string")
+    stems = spark.createDataFrame([("cats", "cat"), ("rare", "r")], "word string, root string")
+    assert rows(trajectory.gated_words(w, seen, stems)) == [("cat",), ("cats",)]

@@ -7,6 +7,7 @@ every book. tag_defs has name, interest, scale_max. Each change takes tables and
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import tags as T
@@ -149,3 +150,41 @@ def book_tag_counts(book_tags: DataFrame) -> DataFrame:
 def suggest(defs: DataFrame, text: str, most: int = 10) -> DataFrame:
     """Definitions whose name contains text in any case, star aside."""
     return defs.filter(F.lower("name").contains(text.lower()) & (F.col("name") != "star")).orderBy("name").limit(most)
+
+
+def family_tags(members: DataFrame, word_tags: DataFrame, defs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For groups of words (root, word): (root, tag, value, n_words) with the highest value of any member, -1 for on
+    without a level, and (root, interest, n) how many of its tags have which interest."""
+    on = word_tags.filter(T.applied(F.col("value"))).join(members, "word")
+    joined = on.groupBy("root", "tag").agg(F.max(T.value_code(F.col("value"))).alias("value"), F.countDistinct("word").alias("n_words"))
+    named = joined.join(defs.select(F.col("name").alias("tag"), "interest"), "tag", "left")
+    return joined, named.groupBy("root", F.coalesce("interest", F.lit("neutral")).alias("interest")).agg(F.count("*").alias("n"))
+
+
+def books_with_tag(books: DataFrame, book_tags: DataFrame, tag: str, always: str | None = None) -> DataFrame:
+    """The books that carry a tag, and the one named in always."""
+    tagged = books.join(book_tags.filter(F.col("tag") == tag).select("book"), "book", "left_semi")
+    return tagged if always is None else tagged.unionByName(books.filter(F.col("book") == always)).distinct()
+
+
+def primary_group(books: DataFrame, book_tags: DataFrame) -> DataFrame:
+    """book, group: a book's first manual tag, else its automatic source tag, else null."""
+    first = F.coalesce(F.min(F.when(~F.col("auto"), F.col("tag"))), F.min(F.when(F.col("auto") & F.col("tag").startswith("src:"), F.col("tag"))))
+    return books.select("book").join(book_tags.groupBy("book").agg(first.alias("group")), "book", "left")
+
+
+def section_order(defs: DataFrame) -> DataFrame:
+    """defs (scope, name, section, ord) with place: sections stand where their first tag does, tags by ord in them."""
+    first = F.min("ord").over(W.partitionBy("scope", "section"))
+    return defs.withColumn("_f", first).withColumn("place", F.row_number().over(W.partitionBy("scope").orderBy("_f", "section", "ord", "name")).cast("long")).drop("_f")
+
+
+def set_layout(defs: DataFrame, layout: DataFrame) -> DataFrame:
+    """defs with the order and section that layout (name, ord, section) gives; others keep theirs."""
+    new = layout.select("name", F.col("ord").alias("_o"), F.col("section").alias("_s"))
+    return defs.join(new, "name", "left").withColumns({"ord": F.coalesce("_o", "ord"), "section": F.coalesce("_s", "section")}).select(*defs.columns)
+
+
+def shuffled(rows: DataFrame, id: str, seed: int) -> DataFrame:
+    """rows in an order that depends on seed and id alone."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(id)), id)

@@ -59,3 +59,11 @@ def usage_chart(traj: DataFrame, book_decade: Column) -> DataFrame:
     first, last = F.min("decade").over(w), F.max("decade").over(w)
     place = F.when(last > first, (book_decade - first) / (last - first)).otherwise(0.0)
     return traj.withColumn("bar", F.coalesce(F.try_divide(F.col("pm"), F.max("pm").over(w)), F.lit(0.0))).withColumn("marker", F.greatest(F.lit(0.0), F.least(F.lit(1.0), place)))
+
+
+def gated_words(words: DataFrame, occurrences: DataFrame, stems: DataFrame) -> DataFrame:
+    """word: the words whose usage is worth charting: those of letters that some book has, and the roots (word, root)
+    of such; ASCII only."""
+    own = words.filter("alpha_only").join(occurrences.select(F.col("token").alias("word")), "word", "left_semi").select("word")
+    rooted = stems.join(own, "word", "left_semi").select(F.col("root").alias("word"))
+    return own.unionByName(rooted).distinct().filter(F.col("word").rlike(r"^[\x00-\x7F]+$"))

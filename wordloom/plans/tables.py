@@ -175,6 +175,32 @@ def autotag_reconcile(spark, sf_dir):
     return add.withColumn("change", F.lit("add")).unionByName(remove.withColumn("change", F.lit("remove")))
 
 
+@query("WITH " + TAGS + """, f AS (SELECT 'w' || (user_id % 10) AS root, 'w' || user_id AS word FROM (SELECT DISTINCT user_id FROM events)) SELECT root, tag, max(coalesce(value, -1)) AS value, count(DISTINCT o.word) AS n_words FROM onn o JOIN f ON o.word = f.word GROUP BY ALL""")
+def family_tags(spark, sf_dir):
+    users = S.table(spark, sf_dir, "events").select("user_id").distinct()
+    members = users.select(F.concat(F.lit("w"), (F.col("user_id") % 10).cast("string")).alias("root"), F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("word"))
+    return TG.family_tags(members, applications(spark, sf_dir), definitions(spark))[0]
+
+
+@query(
+    """WITH t AS (SELECT c_custkey AS book, 'src:' || c_mktsegment AS tag, true AS auto FROM customer UNION ALL SELECT c_custkey, 'shelf' || (c_custkey % 4), false FROM customer WHERE c_custkey % 3 = 0)
+SELECT book, coalesce(min(CASE WHEN NOT auto THEN tag END), min(CASE WHEN auto AND starts_with(tag, 'src:') THEN tag END)) AS grp FROM t GROUP BY book"""
+)
+def primary_group(spark, sf_dir):
+    c = S.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    auto = c.select(k.alias("book"), F.concat(F.lit("src:"), "c_mktsegment").alias("tag"), F.lit(True).alias("auto"))
+    manual = c.filter(k % 3 == 0).select(k.alias("book"), F.concat(F.lit("shelf"), (k % 4).cast("string")).alias("tag"), F.lit(False).alias("auto"))
+    return TG.primary_group(c.select(k.alias("book")), auto.unionByName(manual)).withColumnRenamed("group", "grp")
+
+
+@query("WITH s AS (SELECT p_brand AS scope, p_name || p_partkey AS name, p_type AS section, p_partkey AS ord FROM part), f AS (SELECT *, min(ord) OVER (PARTITION BY scope, section) AS f FROM s) SELECT scope, name, section, row_number() OVER (PARTITION BY scope ORDER BY f, section, ord, name) AS place FROM f")
+def section_order(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part")
+    defs = p.select(F.col("p_brand").alias("scope"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("section"), F.col("p_partkey").alias("ord"))
+    return TG.section_order(defs).select("scope", "name", "section", "place")
+
+
 # --- catalogue: the parts; imported are those that line items name ---
 CATALOG = "cat AS (SELECT p_partkey AS source_id, 'parts' AS source, p_name AS title, p_brand AS author, p_type || '; ' || lower(p_brand) AS subjects, p_size AS n_words, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 1900 + p_size END AS year FROM part)"
 
