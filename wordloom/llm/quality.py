@@ -2,8 +2,8 @@
 
 One zstandard dictionary is built from good and one from bad labelled text. A text is compressed with either, in
 blocks of about BLOCK bytes so that the dictionaries count for all of a long text; the difference of the two sizes, normalised
-by their sum, is the evidence, with the sizes against the text's own. A logistic curve, fitted to labelled texts that
-built no dictionary, makes it a probability. Only text enters a score.
+by their sum, is the evidence, with the sizes against the text's own. A logistic curve makes it a probability; it is
+fitted to each half of the sample with dictionaries of the other half. Only text enters a score.
 """
 
 from __future__ import annotations
@@ -80,8 +80,7 @@ def _dictionary(texts: list[str]) -> bytes:
 def _own_lines(texts: list[str], found: dict[int, list[str]]) -> list[str]:
     """texts without the lines that several sampled texts share: they are boilerplate, good or bad by accident."""
     times = Counter(line for group in found.values() for t in group for line in set(t.split("\n")))
-    own = ["\n".join(x for x in t.split("\n") if times[x] == 1) for t in texts]
-    return [t for t in own if t] or texts
+    return [own if (own := "\n".join(x for x in t.split("\n") if times[x] == 1)) else t for t in texts]
 
 
 def _curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
@@ -101,8 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     """The model of the texts of docs (id, text) that labels (id, label 0 or 1) marks and that aren't held out.
 
     At most `sample` ids of each label enter, those of least hash, with at most `chars` characters each: the driver's
-    data is bounded however large the input, and only the chosen ids, so many at most, are broadcast. Of the texts,
-    half build the dictionaries and half fit the curve. Null labels, null ids and texts without characters say
+    data is bounded however large the input, and only the chosen ids, so many at most, are broadcast. The texts'
+    halves fit the curve in turn, and all build the final dictionaries. Null labels, null ids and texts without characters say
     nothing; of an id with several labels the least counts. With one label only, or none, the model gives every text
     the share of good labels (1 if there is no label).
     """
@@ -114,13 +113,18 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     found = {y: [r["t"] for r in sorted(rows, key=lambda r: zlib.crc32(str(r["id"]).encode())) if r["y"] == y] for y in (0, 1)}
     if not found[0] or not found[1]:
         return Model(b"\0" * 8, b"\0" * 8, (8.0 if found[1] or not found[0] else -8.0, 0.0, 0.0, 0.0, 0.0))
-    halves = {y: (t[::2], t[1::2] or t) for y, t in found.items()}
-    good, bad = _dictionary(_own_lines(halves[1][0], found)), _dictionary(_own_lines(halves[0][0], found))
-    rest = halves[1][1] + halves[0][1]
-    y = np.array([1.0] * len(halves[1][1]) + [0.0] * len(halves[0][1]))
-    w = _curve(_features(rest, good, bad), y)
+    own = {y: _own_lines(t, found) for y, t in found.items()}
+    rest, marks = [], []
+    for k in (0, 1):  # each half's evidence is from dictionaries of the other half
+        good, bad = (_dictionary(own[y][k::2] or own[y]) for y in (1, 0))
+        for y in (1, 0):
+            rest.append(_features(found[y][1 - k :: 2], good, bad))
+            marks += [float(y)] * len(rest[-1])
+    y = np.array(marks)
+    w = _curve(np.concatenate(rest), y)
+    good, bad = _dictionary(own[1]), _dictionary(own[0])
     # The sample has about as many good as bad texts; the labelled rows have not.
-    sampled = len(halves[1][1]) / len(rest)
+    sampled = y.mean()
     w[0] += math.log(share / (1 - share)) - math.log(sampled / (1 - sampled))
     return Model(good, bad, tuple(map(float, w)))
 
