@@ -2,9 +2,13 @@
 
 A window is `window` consecutive words of a document. Its minimiser is the least hash of the runs of MINIMISER words
 in it. Consecutive windows of equal minimiser form a super-k-mer, which goes as one packed string of words to its
-minimiser's bucket; there windows are sorted and counted exactly, word for word. A minimiser that only one document
-has can repeat no window, so its super-k-mers don't travel. A bucket of more than CROWD super-k-mers is split: its
-windows go each to the bucket of a 128-bit digest, where documents are counted after a partial aggregation.
+minimiser's bucket; there windows are sorted and counted exactly, word for word.
+
+A minimiser that only one document has can repeat no window. A Bloom filter of FILTER_BITS holds the others, and only
+super-k-mers whose minimiser passes it travel; as the filter's answer depends on the minimiser alone, a false one
+costs traffic and nothing else. A second filter holds the minimisers of more than CROWD super-k-mers. Those buckets
+are split: equal packed strings are counted as one, by digest, after a partial aggregation, and only the strings'
+first documents compare their windows, by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, join_anew, row_key, run_hashes, slices, span_hashes, utf8, words
+from wordloom.llm.common import cut, join_anew, mix, row_key, run_hashes, slices, span_hashes, utf8, words
 
 WINDOW, MINIMISER, CROWD = 50, 8, 96
+FILTER_BITS, CROWD_BITS = 1 << 25, 1 << 23
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,48 +57,75 @@ def super_kmers(texts: pa.Array, window: int, minimiser: int) -> tuple[np.ndarra
     return of[at], at - first[of[at]], n.astype(np.int64), least[at].view(np.int64)
 
 
-def _light(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
-    """A row for each super-k-mer of docs (id, row, text): id, row, at, n, m (its minimiser)."""
+def _minimisers(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
+    """A row for each super-k-mer of docs (id, row, text): id, m (its minimiser)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            of, at, n, m = super_kmers(batch["text"], window, minimiser)
-            take = pa.array(of)
-            yield pa.record_batch([batch["id"].take(take), batch["row"].take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m)], ["id", "row", "at", "n", "m"])
+            of, _, _, m = super_kmers(batch["text"], window, minimiser)
+            yield pa.record_batch([batch["id"].take(pa.array(of)), pa.array(m)], ["id", "m"])
+
+    return docs.mapInArrow(run, "id long, m long")
+
+
+def _filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of keys (m): bits / 64 numbers at most come to the driver, whatever the number of keys. A
+    minimiser is a hash itself, so its low bits name its two places."""
+    size, m = bits.bit_length() - 1, F.col("m")
+    at = keys.select(F.explode(F.array(m.bitwiseAND(F.lit(bits - 1)), F.shiftright(m, size).bitwiseAND(F.lit(bits - 1)))).alias("p"))
+    rows = at.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return out
+
+
+def _passes(filter_: np.ndarray, m: np.ndarray) -> np.ndarray:
+    bits = 64 * len(filter_)
+    places = np.stack([m & (bits - 1), (m >> (bits.bit_length() - 1)) & (bits - 1)])
+    return (filter_[places >> 6] >> (places & 63) & 1).astype(bool).all(0)
+
 
-    return docs.mapInArrow(run, "id long, row long, at int, n int, m long")
+_DIGEST = np.random.default_rng(50).integers(0, 1 << 63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _packed(wanted: DataFrame, window: int) -> DataFrame:
-    """wanted: id, row, text, runs (at, n, m, crowded). A row for each super-k-mer of a calm bucket (packed: its words,
-    joined by spaces) and for each window of a crowded one (d, e: its digest)."""
+def _travellers(docs: DataFrame, filters, crowded: bool, window: int, minimiser: int) -> DataFrame:
+    """The super-k-mers of docs (id, row, text) that go to crowded buckets or to calm ones: id, row, at, n and, calm, m
+    and packed (the words, joined by spaces); crowded, s and t (the packed string's digest) and d and e (each window's).
+    filters: a broadcast of the two filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, crowds = filters.value
         for batch in slices(batches, "text"):
+            of, at, n, m = super_kmers(batch["text"], window, minimiser)
+            keep = _passes(shared, m)
+            keep[keep] = _passes(crowds, m[keep]) == crowded
+            of, at, n, m = of[keep], at[keep], n[keep], m[keep]
             data, bounds = utf8(batch["text"])
             starts, ends, first = words(data, bounds)
-            raw = data.tobytes()
-            of, at, n, m, d, e, packed = [], [], [], [], [], [], []
-            for i, runs in enumerate(batch["runs"].to_pylist()):
-                for r in runs:
-                    a = int(first[i]) + r["at"]
-                    last = a + r["n"] + window - 1
-                    text = b" ".join([raw[s:t] for s, t in zip(starts[a:last].tolist(), ends[a:last].tolist(), strict=True)])
-                    if not r["crowded"]:
-                        of.append(i), at.append(r["at"]), n.append(r["n"]), m.append(r["m"]), d.append(None), e.append(None), packed.append(text)
-                        continue
-                    own = text.split(b" ")
-                    for k in range(r["n"]):
-                        digest = hashlib.blake2b(b" ".join(own[k : k + window]), digest_size=16).digest()
-                        of.append(i), at.append(r["at"] + k), n.append(1), m.append(r["m"]), packed.append(None)
-                        d.append(int.from_bytes(digest[:8], "big", signed=True)), e.append(int.from_bytes(digest[8:], "big", signed=True))
+            begin = first[of] + at
+            last = begin + n + window - 1
             take = pa.array(of, pa.int64())
-            yield pa.record_batch(
-                [batch["id"].take(take), batch["row"].take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(m, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(packed, pa.binary())],
-                ["id", "row", "at", "n", "m", "d", "e", "packed"],
-            )
-
-    return wanted.mapInArrow(run, "id long, row long, at int, n int, m long, d long, e long, packed binary")
+            common = [batch["id"].take(take), batch["row"].take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32())]
+            raw = data.tobytes()
+            packed = [b" ".join([raw[s:t] for s, t in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]) for a, b in zip(begin.tolist(), last.tolist(), strict=True)]
+            if not crowded:
+                yield pa.record_batch([*common, pa.array(m), pa.array(packed, pa.binary())], ["id", "row", "at", "n", "m", "packed"])
+                continue
+            digests = [hashlib.blake2b(p, digest_size=16).digest() for p in packed]
+            whole = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            each = span_hashes(data, starts, ends)
+            at_ = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            sides = []
+            for factors in _DIGEST:
+                own = np.zeros(len(at_), np.uint64)
+                for k in range(window):
+                    own += mix(each[at_ + k] ^ factors[k % 4096]) * factors[(k + 1) % 4096]
+                sides.append(pa.ListArray.from_arrays(offsets, pa.array(mix(own).view(np.int64))))
+            yield pa.record_batch([*common, pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), *sides], ["id", "row", "at", "n", "s", "t", "d", "e"])
+
+    more = "s long, t long, d array<long>, e array<long>" if crowded else "m long, packed binary"
+    return docs.mapInArrow(run, f"id long, row long, at int, n int, {more}")
 
 
 def repeated_windows(ids: np.ndarray, packed: list[bytes], counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,20 +202,29 @@ def _calm(rows: DataFrame, window: int, most: int = 2048) -> DataFrame:
     return dealt.mapInArrow(run, "id long, row long, at int, n int")
 
 
-def repeats(docs: DataFrame, id: str, text: str, window: int = WINDOW, minimiser: int = MINIMISER, crowd: int = CROWD) -> DataFrame:
+def _crowded_repeats(rows: DataFrame) -> DataFrame:
+    """id, row, spans (array of at, n) of the repeated windows of crowded buckets. Of equal strings only the first
+    document's windows are compared; in later documents all of them are repeats."""
+    firsts = cut(rows.groupBy("s", "t").agg(F.min("id").alias("a"), F.first("d").alias("d"), F.first("e").alias("e")))
+    each = firsts.select("s", "t", F.col("a").alias("id"), F.posexplode(F.arrays_zip("d", "e")).alias("k", "w")).select("s", "t", "id", "k", F.col("w.d").alias("d"), F.col("w.e").alias("e"))
+    least = each.groupBy("d", "e").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("d", "e", "a")
+    hits = join_anew(each, least, ["d", "e"]).filter("a < id").groupBy("s", "t").agg(F.collect_list("k").alias("ks"))  # a super-k-mer's windows
+    one = F.array(F.struct("at", "n"))
+    met = join_anew(rows.select("id", "row", "at", "n", "s", "t"), firsts.join(hits, ["s", "t"], "left").select("s", "t", "a", "ks"), ["s", "t"])
+    some = F.transform("ks", lambda k: F.struct((F.col("at") + k).alias("at"), F.lit(1).alias("n")))
+    return met.filter("a < id OR ks IS NOT NULL").select("id", "row", F.when(F.col("a") < F.col("id"), one).otherwise(some).alias("spans"))
+
+
+def repeats(docs: DataFrame, id: str, text: str, window: int = WINDOW, minimiser: int = MINIMISER, crowd: int = CROWD, bits: tuple[int, int] = (FILTER_BITS, CROWD_BITS)) -> DataFrame:
     """id, row and spans (array of at, n: windows at .. at + n - 1) for the rows of docs with windows whose word
     sequence also starts in a row of smaller id."""
     source = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), row_key(text).alias("row"), F.col(text).alias("text"))
-    light = cut(_light(source, window, minimiser))
-    buckets = light.groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size")).filter("a < b")
-    travel = join_anew(light, buckets.select("m", (F.col("size") > crowd).alias("crowded")), ["m"])
-    wanted = travel.groupBy("id", "row").agg(F.collect_set(F.struct("at", "n", "m", "crowded")).alias("runs"))
-    packed = cut(_packed(wanted.join(source, ["id", "row"]).select("id", "row", "text", "runs"), window))
-    calm = _calm(packed.filter("packed IS NOT NULL"), window)
-    crowded = packed.filter("packed IS NULL").select("id", "row", "at", "n", "d", "e")
-    least = crowded.groupBy("d", "e").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("d", "e", "a")
-    split = join_anew(crowded, least, ["d", "e"]).filter("a < id").select("id", "row", "at", "n")
-    return calm.unionByName(split).groupBy("id", "row").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    buckets = _minimisers(source, window, minimiser).groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size"))
+    shared = cut(buckets.filter("a < b").select("m", "size"))
+    filters = docs.sparkSession.sparkContext.broadcast((_filter(shared, bits[0]), _filter(shared.filter(F.col("size") > crowd), bits[1])))
+    calm = _calm(_travellers(source, filters, False, window, minimiser), window).select("id", "row", F.array(F.struct("at", "n")).alias("spans"))
+    crowded = _crowded_repeats(cut(_travellers(source, filters, True, window, minimiser)))
+    return calm.unionByName(crowded).groupBy("id", "row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))  # a document's own
 
 
 def _without(texts: pa.Array, spans: list, window: int) -> Iterator[tuple[int, int, str]]:
@@ -227,3 +268,14 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, k, array_to_string(w[k:k + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+f AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+cov AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM win JOIN f ON win.s = f.s WHERE m < doc_id),
+wrd AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT wrd.doc_id, count(*) AS n_words, count(cov.p) AS n_removed, string_agg(CASE WHEN cov.p IS NULL THEN x END, ' ' ORDER BY wrd.p) AS kept FROM wrd LEFT JOIN cov ON wrd.doc_id = cov.doc_id AND wrd.p = cov.p GROUP BY wrd.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
