@@ -7,8 +7,9 @@ so pairs agreeing on at least half are candidates. Such a pair meets on the rare
 of f values posts only its f - f/2 + 1 rarest (prefix), and values that no other document has are skipped.
 
 Documents of equal sets are one node. In a first round every document of a posting list is compared with the list's
-most shared document only, which joins large groups of copies without their pairs. Lists that still span several
-components are compared in full in blocks, skipping pairs already connected. Every link is confirmed on full sets.
+most shared document only, which joins large groups of copies without their pairs. Where a list still spans several
+components, its documents outside the component of that document are compared, in blocks and on full sets, with all
+members of the lists around it. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from wordloom.llm.components import components
 
 SHINGLE, COORDINATE_BITS, PERCENT = 5, 6, 75
 #: Members of a posting list in a block, and members compared with one pivot in a task.
-BLOCK, MEMBERS = 128, 64
+BLOCK, MEMBERS = 192, 64
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -111,48 +112,78 @@ def _matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.filter(2 * F.size(F.array_intersect("va", "vb")) >= F.greatest(F.size("va"), F.size("vb"))).select("a", "b")
 
 
-def _rest(lists: DataFrame) -> DataFrame:
-    """The candidate pairs across components in posting lists. lists: v, size, id, component, values.
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The size of the intersection of each set of left with each of right, over `width` values at a time."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    names = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    of = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    at = [np.minimum(np.searchsorted(names, x), max(len(names) - 1, 0)) for x in (a, b)]
+    if not len(names):
+        return out
+    held = [names[k] == x for k, x in zip(at, (a, b), strict=True)]
+    for begin in range(0, len(names), width):
+        each = []
+        for sets, rows, k, h in zip((left, right), of, at, held, strict=True):
+            here = h & (k >= begin) & (k < begin + width)
+            seen = np.zeros((len(sets), min(width, len(names) - begin)), np.float32)
+            seen[rows[here], k[here] - begin] = 1
+            each.append(seen)
+        out += each[0] @ each[1].T
+    return out
+
 
-    A list of several blocks is compared block by block, each pair of blocks in a place of its own.
+def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The links (a, b) between components among members (group, id, component), on full sets.
+
+    A group's documents outside its own component are compared with all of the group, in blocks, each pair of blocks
+    in a place of its own. Of the links of two blocks only those that join components are given.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    # An own block goes with every other: as the row side with later ones, as the column side with earlier ones.
-    spread = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "values")
-    spread = spread.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
-
-    def compare(v: list, i: int, j: int, rows: list) -> list[tuple[int, int]]:
-        own, ids, comp = (np.array([r[c] for r in rows]) for c in (0, 1, 2))
-        n = np.array([len(r[3]) for r in rows])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        # A value carries its coordinate, so agreement is the number of common values.
-        names, codes = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
-        seen = np.zeros((len(rows), len(names)), np.float32)
-        seen[np.repeat(np.arange(len(rows)), n), codes] = 1
-        agree = seen[left] @ seen[right].T
-        hits = (2 * agree >= np.maximum(n[left][:, None], n[right][None])) & (comp[left][:, None] != comp[right][None])
-        a, b = ids[left[np.nonzero(hits)[0]]], ids[right[np.nonzero(hits)[1]]]
-        return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("nj"), F.ceil(F.count(F.when(F.col("component") != F.col("group"), 1)) / BLOCK).alias("ni"))
+    sized = join_anew(members, sizes, ["group"])
+    block = lambda n: F.pmod(F.xxhash64("id"), n)
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    outside = sized.filter("component <> group").select("group", block(F.col("ni")).alias("i"), all_(F.col("nj")).alias("j"), F.lit(0).alias("side"), "id", "component")
+    everyone = sized.filter("ni > 0").select("group", all_(F.col("ni")).alias("i"), block(F.col("nj")).alias("j"), F.lit(1).alias("side"), "id", "component")
+    rows = outside.unionByName(everyone).join(texts, "id").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side")
+
+    def compare(rows: list) -> list[tuple[int, int]]:
+        sides = [[r for r in rows if r[0] == k and len(r[3])] for k in (0, 1)]
+        if not sides[0] or not sides[1] or len({r[2] for r in rows}) < 2:
+            return []
+        common = common_counts([r[3] for r in sides[0]], [r[3] for r in sides[1]])
+        n = [np.array([len(r[3]) for r in x]) for x in sides]
+        apart = np.array([r[2] for r in sides[0]])[:, None] != np.array([r[2] for r in sides[1]])[None]
+        top: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := top.get(c, c)) != c:
+                c = up
+            return c
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(apart & (100 * common >= percent * (n[0][:, None] + n[1][None] - common)))), strict=True):
+            a, b = root(sides[0][i][2]), root(sides[1][j][2])
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                out.append((sides[0][i][1], sides[1][j][1]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
-        for batch in batches:
-            for v, i, j, own, id_, comp, values in zip(*(batch[c].to_pylist() for c in ("v", "i", "j", "own", "id", "component", "values")), strict=True):
-                if (v, i, j) != key:
-                    if key and len({r[2] for r in rows}) > 1:
-                        out += compare(*key, rows)
-                    key, rows = (v, i, j), []
-                rows.append((own, id_, comp, values))
+        key, held = None, []
+        for batch in slices(batches, "text"):
+            out = []
+            for group, i, j, side, id_, component, s in zip(*(batch[c].to_pylist() for c in ("group", "i", "j", "side", "id", "component")), shingle_sets(batch["text"], shingle), strict=True):
+                if (group, i, j) != key:
+                    out += compare(held)
+                    key, held = (group, i, j), []
+                held.append((side, id_, component, s))
             if out:
                 yield pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
-                out = []
-        if key and len({r[2] for r in rows}) > 1:
-            out = compare(*key, rows)
+        if out := compare(held):
             yield pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int = COORDINATE_BITS) -> DataFrame:
@@ -187,10 +218,13 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
     many = member.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     links = links.unionByName(many.select("a", "b"))
     first = cut(components(links))
-    labelled = lists.filter("size > 2").join(first, F.col("id") == F.col("node"), "left").select("v", "size", "id", F.coalesce("component", "id").alias("component"))
+    of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    labelled = lists.filter("size > 2").join(of("id"), "id", "left").join(of("pivot"), "pivot", "left")
+    labelled = labelled.select("v", "id", F.coalesce("id_component", "id").alias("component"), F.coalesce("pivot_component", "pivot").alias("group"))
     open_ = labelled.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("v")
-    rest = join_anew(labelled, open_, ["v"]).join(nodes, "id").select("v", "size", "id", "component", "values")
-    more = cut(_confirm(cut(_rest(rest)), texts, shingle, percent))
+    # Lists whose pivots are in one component have mostly the same members, so they are one group.
+    members = cut(join_anew(labelled, open_, ["v"]).select("group", "id", "component").distinct())
+    more = cut(_rest(members, texts, shingle, percent))
     last = first if more.isEmpty() else cut(components(links.unionByName(more)))
 
     ends = join_anew(member, last.select("node", "component"), ["node"], "left")
@@ -203,3 +237,16 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT d.doc_id, count(sh.s) AS n FROM d LEFT JOIN sh ON d.doc_id = sh.doc_id GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON p.x = a.doc_id JOIN n b ON p.y = b.doc_id WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c ON n.doc_id = c.x
+"""

@@ -17,6 +17,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
