@@ -153,3 +153,11 @@ def join_anew(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     tag = "__wl_deal"
     left, right = (x.withColumn(tag, F.xxhash64(*keys)) for x in (left, right))
     return left.join(right, [tag, *keys], how).drop(tag)
+
+
+def hash_sample(df: DataFrame, id: str, most: int, total: int) -> DataFrame:
+    """At most `most` of df's `total` rows, those of least hash of the id. Most rows fall out where they are read, so
+    that what the last step gathers doesn't grow with the number of tasks."""
+    place = F.pmod(F.xxhash64(id), F.lit(1 << 30))
+    share = min(1.0, (2 * most + 100) / max(total, 1))
+    return df.filter(place < int(share * (1 << 30))).orderBy(place, id).limit(most)

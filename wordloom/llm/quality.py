@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import slices
+from wordloom.llm.common import hash_sample, slices
 
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 64 << 10
 #: The fit's bound: so many labelled texts of each label, and so many characters of each. Scores are of whole texts.
@@ -106,8 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     the share of good labels (1 if there is no label).
     """
     marks = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull() & ~held_out(id)).groupBy(F.col(id).alias("id")).agg(F.min(label).alias("y"))
-    share = marks.agg(F.avg("y")).first()[0]
-    chosen = [marks.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    times = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
+    chosen = [hash_sample(marks.filter(F.col("y") == y), "id", sample, times.get(y, 0)) for y in (0, 1)]
     own = docs.filter(F.length(text) > 0).select(F.col(id).alias("id"), F.substring(text, 1, chars).alias("t"))
     rows = own.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").groupBy("id", "y").agg(F.min("t").alias("t")).collect()
     found = {y: [r["t"] for r in sorted(rows, key=lambda r: zlib.crc32(str(r["id"]).encode())) if r["y"] == y] for y in (0, 1)}
@@ -123,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     y = np.array(marks)
     w = _curve(np.concatenate(rest), y)
     good, bad = _dictionary(own[1]), _dictionary(own[0])
+    share = times[1] / (times[0] + times[1])
     # The sample has about as many good as bad texts; the labelled rows have not.
     sampled = y.mean()
     w[0] += math.log(share / (1 - share)) - math.log(sampled / (1 - sampled))
