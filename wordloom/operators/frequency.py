@@ -11,12 +11,15 @@ from wordloom.functions import text as T
 
 def histogram(docs: DataFrame, book: str = "source", order: str = "doc_id", text: str = "text") -> DataFrame:
     """book, token, count, and example: the snippet around the token's first occurrence in the book (by order, then
-    sentence). Counts and the least (order, sentence) are combined before the shuffle; snippets are cut afterwards,
-    once for each row."""
+    sentence). Counts and the least (order, sentence) are combined before the shuffle; only then does each row meet its
+    sentence, so that a long one travels once and not with each of its tokens."""
     parts = docs.select(F.col(book).alias("book"), F.col(order).alias("o"), F.posexplode(T.sentences(T.normalise(F.col(text)))).alias("s", "sentence"))
-    each = parts.select("book", "o", "s", F.trim("sentence").alias("sentence"), F.explode(T.tokens(F.col("sentence"))).alias("token"))
-    found = each.groupBy("book", "token").agg(F.count("*").alias("count"), F.min_by("sentence", F.struct("o", "s")).alias("sentence"))
-    return found.select("book", "token", "count", T.window_around(F.col("sentence"), F.col("token")).alias("example"))
+    parts = parts.withColumn("h", F.xxhash64("sentence"))  # tells rows of one order apart
+    each = parts.select("book", "o", "s", "h", F.explode(T.tokens(F.col("sentence"))).alias("token"))
+    found = each.groupBy("book", "token").agg(F.count("*").alias("count"), F.min(F.struct("o", "s", "h")).alias("at")).select("book", "token", "count", "at.*")
+    sentences = parts.dropDuplicates(["book", "o", "s", "h"]).select(*[F.col(c).alias(f"_{c}") for c in ("book", "o", "s", "h")], F.trim("sentence").alias("sentence"))
+    met = found.join(sentences, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("book", "o", "s", "h")])
+    return met.select("book", "token", "count", T.window_around(F.col("sentence"), F.col("token")).alias("example"))
 
 
 def token_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

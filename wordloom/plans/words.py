@@ -112,6 +112,12 @@ def sentence_examples(spark, sf_dir):
     return frequency.histogram(docs).join(in_long, ["book", "token"], "left_anti")
 
 
+@query()
+def sentence_examples_all(spark, sf_dir):
+    """sentence_examples of all books and tokens; a long sentence is cut around the token."""
+    return frequency.histogram(S.table(spark, sf_dir, "documents"))
+
+
 @query(with_(SURFACE) + "SELECT token, c AS count, lc AS count_lc, round(cap, 9) AS cap_ratio FROM wfr")
 def surface_freq(spark, sf_dir):
     docs = S.table(spark, sf_dir, "documents").select(F.explode(T.surface_tokens(F.col("text"))).alias("token"))
