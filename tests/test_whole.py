@@ -1,5 +1,6 @@
 """Queries that take every row, against plain versions."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -38,3 +39,12 @@ def test_sentence_examples_of_all_books_and_tokens(spark):
     assert len(rows) == len(counts) and {(r["book"], r["token"]): r["count"] for r in rows} == counts
     assert {(r["book"], r["token"]): r["example"] for r in rows} == {k: snippet(*v) for k, v in examples.items()}
     assert any("…" in r["example"] for r in rows)
+
+
+def test_segments_and_headers_of_all_documents(spark):
+    ids = [d["doc_id"] for d in documents()]
+    for name in ("segments", "header_fields_all", "marked_body_all"):
+        assert sorted(r["doc_id"] for r in queries.QUERIES[name](spark, SF).collect()) == ids
+    plain = {d["doc_id"]: hashlib.sha256(d["text"].encode()).hexdigest() for d in documents() if d["doc_id"] % 3}
+    assert {r["doc_id"]: r["body_sha256"] for r in queries.QUERIES["marked_body_all"](spark, SF).collect() if r["doc_id"] % 3} == plain
+    assert all(r["title"] is r["author"] is r["source_id"] is r["year"] is None for r in queries.QUERIES["header_fields_all"](spark, SF).collect() if r["doc_id"] % 3)
