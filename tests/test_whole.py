@@ -7,6 +7,9 @@ from collections import Counter
 import pyarrow.parquet as pq
 
 from wordloom import queries
+from wordloom.operators import lemma
+from wordloom.plans import standin as S
+from wordloom.plans import words as P
 
 SF = "/root/testdata/sf0.001"
 TOKEN = re.compile(r"[a-z]+(?:['’-][a-z]+)*")
@@ -48,3 +51,54 @@ def test_segments_and_headers_of_all_documents(spark):
     plain = {d["doc_id"]: hashlib.sha256(d["text"].encode()).hexdigest() for d in documents() if d["doc_id"] % 3}
     assert {r["doc_id"]: r["body_sha256"] for r in queries.QUERIES["marked_body_all"](spark, SF).collect() if r["doc_id"] % 3} == plain
     assert all(r["title"] is r["author"] is r["source_id"] is r["year"] is None for r in queries.QUERIES["header_fields_all"](spark, SF).collect() if r["doc_id"] % 3)
+
+
+def plain_steps(words, vectors):
+    """word -> next at level 3, of words (word -> row)."""
+
+    def close(a, b):
+        return a in vectors and b in vectors and sum(x * y for x, y in zip(vectors[a], vectors[b], strict=True)) >= lemma.CLOSE
+
+    out = {}
+    for w in words:
+        found = []
+        for r, (suffix, ends) in enumerate(lemma.RULES):
+            if not w.endswith(suffix) or len(w) <= len(suffix) + 1:
+                continue
+            stem = w[: -len(suffix)]
+            options = [(k, stem + end, False) for k, end in enumerate(ends)]
+            if len(stem) >= 3 and stem[-1] == stem[-2] and stem[-1] not in "aeiou":
+                options.append((len(ends), stem[:-1], True))
+            for k, base, doubled in options:
+                if base != w and len(base) >= 3 and base in words and (close(w, base) if doubled else suffix not in lemma.COMPARATIVE or words[base]["is_adj"] or close(w, base)):
+                    found.append((0, r, -words[base]["pm"], k, base))
+        for i, p in enumerate((*lemma.SAFE_PREFIXES, *lemma.GUARDED_PREFIXES)):
+            base = w[len(p) :]
+            if w.startswith(p) and len(base) >= 3 and base in words and (p not in lemma.GUARDED_PREFIXES or close(w, base)):
+                found.append((1, i, 0, 0, base))
+        for target in {w[:-k] + e for k in range(1, 5) if k < len(w) for e in ("", "e")}:
+            if len(target) >= 3 and target != w and target in words:
+                pm = words[target]["pm"]
+                if pm > words[w]["pm"] and pm >= lemma.MIN_BASE_PM and w.startswith(target[:-1]) and close(w, target):
+                    found.append((2, 0, -pm, 0, target))
+        if found:
+            out[w] = min(found)[-1]
+    return out
+
+
+def test_level_3_steps(spark):
+    names = sorted({t for d in documents()[:60] for t in re.findall("[a-z]+", d["text"].lower())})
+    names += ["derivable", "deriv", "running", "run", "redo", "desirous", "desire", "undone", "done"]
+    words = {w: {"pm": float(len(w) * 7919 % 97 + i % 13), "is_adj": w.endswith("al")} for i, w in enumerate(sorted(set(names)))}
+    vectors = {w: [1.0, 0.0] if i % 3 else [0.0, 1.0] for i, w in enumerate(words) if i % 5}
+    table = spark.createDataFrame([(w, r["pm"], r["is_adj"], True) for w, r in words.items()], "word string, pm double, is_adj boolean, alpha_only boolean")
+    close = spark.createDataFrame(list(vectors.items()), "word string, vector array<double>")
+    found = dict(lemma.steps(table, 3, close, S.derivations(table)).collect())
+    assert found == plain_steps(words, vectors) and found
+    assert found != dict(lemma.steps(table, 3, close).collect())
+
+
+def test_level_queries_have_level_3(spark, monkeypatch):
+    monkeypatch.setattr(P, "level_candidates", lambda spark, sf_dir, level: spark.createDataFrame([("b", level)], "book string, level int"))
+    assert sorted(r["level"] for r in P.candidates_levels_0_to_3(spark, SF).collect()) == [0, 1, 2, 3]
+    assert sorted(r["level"] for r in P.rollup_levels(spark, SF).filter("level IS NOT NULL").collect()) == [0, 1, 2, 3]

@@ -59,10 +59,10 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lemmas(words: DataFrame, level: int, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def lemmas(words: DataFrame, level: int, vectors: DataFrame | None = None, derivations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(word, root) of the words of letters at a level, and their families."""
     letters = words.filter("alpha_only")
-    rooted = lemma.roots(letters, lemma.steps(letters, level, vectors))
+    rooted = lemma.roots(letters, lemma.steps(letters, level, vectors, derivations))
     return rooted, lemma.families(letters, rooted)
 
 
@@ -73,6 +73,14 @@ def word_vectors(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFram
     return ranked.join(vectors, "rank").select("word", "vector")
 
 
+def derivations(words: DataFrame) -> DataFrame:
+    """word, target: each word of letters with what it begins with, one to four letters shorter, alone and before an e."""
+    word = F.col("word")
+    stems = [F.substring(word, F.lit(1), F.length(word) - k) for k in range(1, 5)]
+    found = words.filter("alpha_only").select("word", F.explode(F.array(*stems, *[F.concat(x, F.lit("e")) for x in stems])).alias("target"))
+    return found.filter("length(target) >= 3 AND target <> word")
+
+
 def word_pos(words: DataFrame) -> DataFrame:
     """word, pos, source: a part of speech by ending, and for words with rare letters a second opinion."""
     word = F.col("word")

@@ -183,7 +183,7 @@ lemma_level1, lemma_level2 = _lemma_query(1), _lemma_query(2)
 @query()
 def lemma_level3(spark, sf_dir):
     words = S.dictionary(spark, sf_dir)
-    rooted, _ = S.lemmas(words, 3, S.word_vectors(spark, sf_dir, words))
+    rooted, _ = S.lemmas(words, 3, S.word_vectors(spark, sf_dir, words), S.derivations(words))
     return rooted.filter("word <> root")
 
 
@@ -193,10 +193,11 @@ def family_freq(spark, sf_dir):
     return family.select("root", F.round("pm", 6).alias("pm"), F.round("pm_lc", 6).alias("pm_lc"), "n_members")
 
 
-def level_candidates(spark, sf_dir, level):
+def level_candidates(spark, sf_dir, level, max_pm=scoring.MAX_PM):
     words = S.dictionary(spark, sf_dir)
-    rooted, family = S.lemmas(words, level) if level else (None, None)
-    return scoring.candidates(S.book_counts(spark, sf_dir), words, rooted, family, level)
+    more = (S.word_vectors(spark, sf_dir, words), S.derivations(words)) if level == 3 else ()
+    rooted, family = S.lemmas(words, level, *more) if level else (None, None)
+    return scoring.candidates(S.book_counts(spark, sf_dir), words, rooted, family, level, max_pm)
 
 
 @query(with_(TOKENS, WORDS, candidates_sql(0)) + "SELECT * FROM can0 WHERE rank <= 30")
@@ -219,6 +220,18 @@ def rollup_candidates(spark, sf_dir):
     return level_candidates(spark, sf_dir, 0).rollup("book", "level").agg(F.count("*").alias("n"))
 
 
+@query()
+def candidates_levels_0_to_3(spark, sf_dir):
+    """candidates_all_levels with level 3, which SQL can't express."""
+    return candidates_all_levels(spark, sf_dir).unionByName(level_candidates(spark, sf_dir, 3))
+
+
+@query()
+def rollup_levels(spark, sf_dir):
+    """rollup_candidates of all four levels."""
+    return candidates_levels_0_to_3(spark, sf_dir).rollup("book", "level").agg(F.count("*").alias("n"))
+
+
 WHY = """why AS (SELECT c.book, c.token, c.n, w.pm_lc AS pm, CASE WHEN w.word IS NULL THEN 'nodict' WHEN NOT alpha THEN 'nonalpha' WHEN k.word IS NOT NULL THEN '' WHEN NOT wikt THEN 'nowikt' WHEN off THEN 'offensive'
   WHEN cap > 0.5 THEN 'capitalised' WHEN len < 3 THEN 'short' WHEN w.pm_lc > 12.0 THEN 'common' ELSE '' END AS why FROM cnt c LEFT JOIN wrd w ON c.token = w.word LEFT JOIN can0 k ON k.book = c.book AND k.word = c.token)"""
 
