@@ -7,7 +7,7 @@ from collections import Counter
 import pyarrow.parquet as pq
 
 from wordloom import queries
-from wordloom.operators import lemma
+from wordloom.operators import lemma, scoring
 from wordloom.plans import standin as S
 from wordloom.plans import words as P
 
@@ -102,3 +102,15 @@ def test_level_queries_have_level_3(spark, monkeypatch):
     monkeypatch.setattr(P, "level_candidates", lambda spark, sf_dir, level: spark.createDataFrame([("b", level)], "book string, level int"))
     assert sorted(r["level"] for r in P.candidates_levels_0_to_3(spark, SF).collect()) == [0, 1, 2, 3]
     assert sorted(r["level"] for r in P.rollup_levels(spark, SF).filter("level IS NOT NULL").collect()) == [0, 1, 2, 3]
+
+
+def test_excluded_words_of_each_book(spark):
+    reasons = [(b, f"t{i}", i + 1, float(10 * (b == "b") + i + 1), "common") for b in "ab" for i in range(5)]
+    table = spark.createDataFrame(reasons, "book string, token string, count long, pm double, why string")
+    got = sorted((r["book"], r["token"]) for r in scoring.excluded_words(table, 2).collect())
+    assert got == [("a", "t0"), ("a", "t1"), ("b", "t0"), ("b", "t1")]
+
+
+def test_page_and_export_take_400():
+    for name in ("pos_sections_page", "plain_list_export_page"):
+        assert "rank <= 400" in queries.ORACLES[name] and name in queries.QUERIES

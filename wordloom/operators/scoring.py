@@ -101,11 +101,16 @@ def reason_counts(reasons: DataFrame) -> DataFrame:
     return reasons.groupBy("book", "why").agg(F.count("*").alias("n_types"), F.sum("count").alias("n_tokens"))
 
 
-def excluded_words(reasons: DataFrame, most: int = 200, by_count: bool = False) -> DataFrame:
-    """The first `most` words that are left out, unmeasured ones last: rarest first, or most frequent in the book."""
+def left_out_order(by_count: bool = False) -> list[Column]:
+    """Unmeasured words last: rarest first, or most frequent in the book."""
     unmeasured = F.when(F.coalesce("pm", F.lit(0.0)) <= 0, 1).otherwise(0)
-    order = [F.col("count").desc()] if by_count else [unmeasured, F.round("pm", 9).asc_nulls_last(), F.col("count").desc()]
-    return reasons.filter("why <> ''").orderBy(*order, "book", "token").limit(most)
+    return [F.col("count").desc()] if by_count else [unmeasured, F.round("pm", 9).asc_nulls_last(), F.col("count").desc()]
+
+
+def excluded_words(reasons: DataFrame, most: int = 200, by_count: bool = False) -> DataFrame:
+    """The first `most` words of each book that are left out, by left_out_order, then token."""
+    place = F.row_number().over(W.partitionBy("book").orderBy(*left_out_order(by_count), "token"))
+    return reasons.filter("why <> ''").withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
 
 
 def uncommon_origin(origin: Column, strict: bool = False) -> Column:

@@ -10,6 +10,8 @@ from wordloom.operators import frequency, lemma, scoring
 from wordloom.plans import standin as S
 
 QUERIES, ORACLES = {}, {}
+#: Fixed value: the candidates of a book that the reference's page asks for.
+PAGE = 400
 
 
 def query(sql: str | None = None):
@@ -248,6 +250,12 @@ def exclusion_report(spark, sf_dir):
 
 @query(with_(TOKENS, WORDS, candidates_sql(0), WHY) + "SELECT book, token, n AS count, round(pm, 6) AS pm, why FROM why WHERE why <> '' ORDER BY CASE WHEN coalesce(pm, 0) <= 0 THEN 1 ELSE 0 END, round(why.pm, 9) NULLS LAST, n DESC, book, token LIMIT 200")
 def excluded_words(spark, sf_dir):
+    first = scoring.excluded_words(_reasons(spark, sf_dir)).orderBy(*scoring.left_out_order(), "book", "token").limit(200)
+    return first.withColumn("pm", F.round("pm", 6))
+
+
+@query(with_(TOKENS, WORDS, candidates_sql(0), WHY) + "SELECT book, token, n AS count, round(pm, 6) AS pm, why FROM why WHERE why <> '' QUALIFY row_number() OVER (PARTITION BY book ORDER BY CASE WHEN coalesce(why.pm, 0) <= 0 THEN 1 ELSE 0 END, round(why.pm, 9) NULLS LAST, n DESC, token) <= 200")
+def excluded_words_by_book(spark, sf_dir):
     return scoring.excluded_words(_reasons(spark, sf_dir)).withColumn("pm", F.round("pm", 6))
 
 
@@ -308,12 +316,17 @@ s AS (SELECT *, CASE WHEN pos IN ('noun', 'verb', 'adj', 'adv') THEN (rn - 1) //
   CASE pos WHEN 'noun' THEN 'nouns' WHEN 'verb' THEN 'verbs' WHEN 'adj' THEN 'adjectives' WHEN 'adv' THEN 'adverbs' ELSE 'other (' || o || ')' END AS section FROM n)
 SELECT book, word, section, dense_rank() OVER (PARTITION BY book ORDER BY turn, wh) AS section_no, row_number() OVER (PARTITION BY book ORDER BY turn, wh, rn) AS place FROM s"""
 )
-def pos_sections(spark, sf_dir):
+def pos_sections(spark, sf_dir, most=200):
     words = S.dictionary(spark, sf_dir)
-    kept = scoring.candidates(S.book_counts(spark, sf_dir), words).filter("rank <= 200").select("book", "word", "rank")
+    kept = scoring.candidates(S.book_counts(spark, sf_dir), words).filter(F.col("rank") <= most).select("book", "word", "rank")
     return pos_arranged(kept.join(primary_pos(S.word_pos(words)), "word"), "book", "rank").select("book", "word", "section", "section_no", "place")
 
 
+@query(ORACLES["pos_sections"].replace("c.rank <= 200", f"c.rank <= {PAGE}"))
+def pos_sections_page(spark, sf_dir):
+    return pos_sections(spark, sf_dir, PAGE)
+
+
 @query(
     with_(TOKENS, WORDS, candidates_sql(0))
     + """, top AS (SELECT word FROM can0 WHERE book = 'src1' AND rank <= 100), o AS (SELECT c.token AS word, c.book, c.n, row_number() OVER (PARTITION BY c.token ORDER BY c.n DESC, c.book) AS k FROM cnt c JOIN top ON c.token = top.word WHERE c.book <> 'src1')
@@ -344,10 +357,10 @@ def top_family(spark, sf_dir):
     + """, m AS (SELECT c.book, coalesce(r.root, c.token) AS word, string_agg(c.token, '/' ORDER BY c.n DESC, c.token) AS forms, count(*) AS k FROM cnt c JOIN wrd w ON c.token = w.word AND w.alpha LEFT JOIN roo2 r ON r.word = c.token GROUP BY ALL)
 SELECT c.book, string_agg(CASE WHEN k > 1 THEN c.word || ' ' || forms ELSE c.word END, chr(10) ORDER BY rank) AS list FROM can2 c JOIN m ON c.book = m.book AND c.word = m.word WHERE rank <= 50 GROUP BY c.book"""
 )
-def plain_list_export(spark, sf_dir):
+def plain_list_export(spark, sf_dir, most=50):
     words, counts = S.dictionary(spark, sf_dir), S.book_counts(spark, sf_dir)
     rooted, family = S.lemmas(words, 2)
-    top = scoring.candidates(counts, words, rooted, family, 2).filter("rank <= 50").select("book", "word", "rank")
+    top = scoring.candidates(counts, words, rooted, family, 2).filter(F.col("rank") <= most).select("book", "word", "rank")
     known = counts.join(rooted.select(F.col("word").alias("token"), F.col("root").alias("word")), "token")
     forms = known.join(top, ["book", "word"]).groupBy("book", "word", "rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "token"))).alias("f"))  # forms of one word
     line = F.when(F.size("f") > 1, F.concat(F.col("word"), F.lit(" "), F.array_join("f.token", "/"))).otherwise(F.col("word"))
@@ -355,6 +368,11 @@ def plain_list_export(spark, sf_dir):
     return lines.groupBy("book").agg(F.array_join(F.sort_array(F.collect_list(F.struct("rank", "line")))["line"], "\n").alias("list"))
 
 
+@query(ORACLES["plain_list_export"].replace("rank <= 50", f"rank <= {PAGE}"))
+def plain_list_export_page(spark, sf_dir):
+    return plain_list_export(spark, sf_dir, PAGE)
+
+
 @query(with_(TOKENS) + "SELECT DISTINCT token FROM tok WHERE book = 'src1' UNION SELECT DISTINCT token FROM tok WHERE book = 'src2'")
 def union_words(spark, sf_dir):
     counts = S.book_counts(spark, sf_dir)
