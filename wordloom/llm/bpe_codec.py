@@ -21,12 +21,12 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm.common import slices
+from wordloom.llm.common import arrow_map, slices
 from wordloom.llm.tokens import PATTERN, byte_names
 
 WINDOW, MEAN_BITS, LEAST, MOST = 32, 11, 256, 16384
 #: Characters of chunk text that a worker keeps encoded.
-KEPT = 24 << 20
+KEPT = 4 << 20
 
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -107,12 +107,15 @@ class Codec:
             return None
         a, b = first.start(), _LAST.search(text).start()
         if self.held + len(text) > KEPT:
-            self.chunks.clear()
-            self.held = 0
+            self.forget()
         self.held += len(text)
         found = self.chunks[text] = (text[:a], self.piece(text[a:b]), text[b:])
         return found
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.held = 0
+
     def plain(self, text: str) -> list[Piece]:
         """The pieces of a text without special tokens."""
         data, begin, carry, out = text.encode(), 0, "", []
@@ -174,10 +177,11 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", o
         for batch in slices(batches, "text", 1 << 20):
             each = [own.pieces(x or "") for x in batch["text"].to_pylist()]
             yield pa.record_batch([batch["id"], *(pa.array([OUTPUTS[o][1](x) for x in each], _ARROW[OUTPUTS[o][0]]) for o in outputs)], ["id", *outputs])
+        own.forget()
 
     source = docs.select(docs[id].alias("id"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, ", ".join([f"id {kind}", *(f"{o} {OUTPUTS[o][0]}" for o in outputs)])).withColumnRenamed("id", id)
+    return arrow_map(source, run, ", ".join([f"id {kind}", *(f"{o} {OUTPUTS[o][0]}" for o in outputs)])).withColumnRenamed("id", id)
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

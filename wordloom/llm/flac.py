@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm.common import slices, utf8
+from wordloom.llm.common import arrow_map, slices, utf8
 
 #: Samples in a frame, frames worked on at a time, order and precision of the encoder's linear predictor.
 BLOCK, TOGETHER, ORDER, PRECISION = 576, 8192, 4, 12
@@ -479,7 +479,7 @@ def encode_text(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: i
             yield pa.record_batch([batch["id"], pa.array(sizes, pa.int64()), pa.array(encode_payloads(payloads), pa.binary())], ["id", "n_bytes", "media"])
 
     source = docs.select(docs[id].alias("id"), docs[text].alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id)
+    return arrow_map(source, run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id)
 
 
 def pcm_blocks(media: DataFrame, id: str = "doc_id", column: str = "media") -> DataFrame:
@@ -501,7 +501,7 @@ def pcm_blocks(media: DataFrame, id: str = "doc_id", column: str = "media") -> D
 
     source = media.select(media[id].alias("id"), media[column].alias("media"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, block long, sample_offset long, n_samples long, pcm binary").withColumnRenamed("id", id)
+    return arrow_map(source, run, f"id {kind}, block long, sample_offset long, n_samples long, pcm binary").withColumnRenamed("id", id)
 
 
 def text_digests(media: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -524,7 +524,7 @@ def text_digests(media: DataFrame, id: str = "doc_id") -> DataFrame:
 
     source = media.select(media[id].alias("id"), "n_bytes", "media")
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id)
+    return arrow_map(source, run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id)
 
 
 NAMES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, fold, hash_sample, mix, row_key, slices, span_hashes, utf8, words
+from wordloom.llm.common import arrow_map, cut, fold, hash_sample, mix, row_key, slices, span_hashes, utf8, words
 
 STATES, CLASSES, ROUNDS, SEGMENT = 8, 4096, 2, 128
 #: Bounds of what the driver and each worker hold: words in the broadcast table; texts, and characters of each, that
@@ -152,7 +152,7 @@ def word_counts(train: DataFrame) -> DataFrame:
             names, first, n = np.unique(hashes, return_index=True, return_counts=True)
             yield pa.record_batch([pa.array(names), pa.array(kinds[first]), pa.array(n)], ["w", "k", "c"])
 
-    return train.select("text").mapInArrow(run, "w long, k int, c long").groupBy("w").agg(F.min("k").alias("k"), F.sum("c").alias("c"))
+    return arrow_map(train.select("text"), run, "w long, k int, c long").groupBy("w").agg(F.min("k").alias("k"), F.sum("c").alias("c"))
 
 
 def train_hmm(train: DataFrame, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE) -> Hmm:
@@ -188,7 +188,7 @@ def _round(train: DataFrame, model: Hmm) -> Hmm:
             yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "n"])
 
     # At most states * (classes + states + 2) sums come to the driver.
-    rows = train.select("text").mapInArrow(run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    rows = arrow_map(train.select("text"), run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     flat = np.zeros(shape[0] + shape[0] ** 2 + shape[0] * shape[1])
     flat[rows["i"].to_numpy()] = rows["n"].to_numpy()
     start, moves, emits = np.split(flat, [shape[0], shape[0] + shape[0] ** 2])
@@ -252,7 +252,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", states:
             yield pa.record_batch(columns, ["id", "row", "held_out", "n_tokens", "known", "sum", "hidden", "rare"])
 
     kind = source.schema["id"].dataType.simpleString()
-    scored = cut(source.mapInArrow(run, f"id {kind}, row long, held_out boolean, n_tokens long, known long, sum double, hidden double, rare array<long>"))
+    scored = cut(arrow_map(source, run, f"id {kind}, row long, held_out boolean, n_tokens long, known long, sum double, hidden double, rare array<long>"))
     pairs = scored.filter(F.size("rare") > 0).dropDuplicates(["id", "row"]).select("id", "row", F.explode("rare").alias("w")).groupBy("id", "row", "w").agg(F.count("*").alias("n"))
     looked = pairs.join(counts.filter(F.col("c") <= least).select("w", "c"), "w", "left")
     log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, fold, join_anew, mix, row_key, run_hashes, slices, span_hashes, utf8, words
+from wordloom.llm.common import arrow_map, cut, fold, join_anew, mix, row_key, run_hashes, slices, span_hashes, utf8, words
 from wordloom.llm.components import components
 
 SHINGLE, COORDINATE_BITS, PERCENT = 5, 6, 75
@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, id: str, text: str, shingle: int = SHINGLE, bits
             )
 
     source = docs.select(F.col(id).cast("long").alias("id"), row_key(text).alias("row"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "id long, row long, n long, h long, g long, values array<long>")
+    return arrow_map(source, run, "id long, row long, n long, h long, g long, values array<long>")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                         break
             yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return arrow_map(rows, run, "a long, b long")
 
 
 def _matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
         if out := compare(held):
             yield pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return arrow_map(rows, run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int = COORDINATE_BITS) -> DataFrame:

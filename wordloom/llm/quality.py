@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.common import hash_sample, slices
+from wordloom.llm.common import arrow_map, hash_sample, slices
 
 BLOCK, LEVEL, DICTIONARY = 2048, 3, 64 << 10
 #: The fit's bound: so many labelled texts of each label, and so many characters of each. Scores are of whole texts.
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
             yield pa.record_batch([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
     schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def held_out(id: str = "doc_id"):

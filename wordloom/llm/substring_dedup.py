@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import cut, join_anew, mix, row_key, run_hashes, slices, span_hashes, utf8, words
+from wordloom.llm.common import arrow_map, cut, join_anew, mix, row_key, run_hashes, slices, span_hashes, utf8, words
 
 WINDOW, MINIMISER, CROWD = 50, 8, 96
 FILTER_BITS, CROWD_BITS = 1 << 25, 1 << 23
@@ -65,7 +65,7 @@ def _minimisers(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
             of, _, _, m = super_kmers(batch["text"], window, minimiser)
             yield pa.record_batch([batch["id"].take(pa.array(of)), pa.array(m)], ["id", "m"])
 
-    return docs.mapInArrow(run, "id long, m long")
+    return arrow_map(docs, run, "id long, m long")
 
 
 def _filter(keys: DataFrame, bits: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def _travellers(docs: DataFrame, filters, crowded: bool, window: int, minimiser:
             yield pa.record_batch([*common, pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), *sides], ["id", "row", "at", "n", "s", "t", "d", "e"])
 
     more = "s long, t long, d array<long>, e array<long>" if crowded else "m long, packed binary"
-    return docs.mapInArrow(run, f"id long, row long, at int, n int, {more}")
+    return arrow_map(docs, run, f"id long, row long, at int, n int, {more}")
 
 
 def repeated_windows(ids: np.ndarray, packed: list[bytes], counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,7 @@ def _calm(rows: DataFrame, window: int, most: int = 2048) -> DataFrame:
 
     # All windows of equal words have one minimiser, so sorting by it brings them together.
     dealt = rows.select("id", "row", "at", "n", "m", "packed").repartition("m").sortWithinPartitions("m")
-    return dealt.mapInArrow(run, "id long, row long, at int, n int")
+    return arrow_map(dealt, run, "id long, row long, at int, n int")
 
 
 def _crowded_repeats(rows: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
             yield pa.record_batch([batch["id"], *columns], ["id", "n_words", "n_removed", "kept"])
 
     kind = joined.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id)
+    return arrow_map(joined, run, f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm.common import slices
+from wordloom.llm.common import arrow_map, slices
 
 # Fixed value: the pattern of byte-level BPE pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -152,7 +152,7 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
 
     source = docs.select(docs[id].alias("id"), docs[text].alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    out = source.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = arrow_map(source, count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id)
 
 
