@@ -110,17 +110,27 @@ def without_repeats(texts, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("crowd", [96, 1])
-def test_substring_dedup(spark, crowd):
-    assert rows(substring_dedup.remove_repeats(table(spark), crowd=crowd)) == without_repeats(TEXTS, 50)
+@pytest.mark.parametrize("bucket", [256, 1, 0])
+def test_substring_dedup(spark, bucket):
+    """bucket=0: every bucket is split at every level, down to single windows."""
+    assert rows(substring_dedup.remove_repeats(table(spark), bucket=bucket)) == without_repeats(TEXTS, 50)
     assert substring_dedup.remove_repeats(table(spark).limit(0)).count() == 0
 
 
 def test_substring_dedup_of_small_windows(spark):
     rng = np.random.default_rng(3)
     texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 4, 40)), "en", "a") for i in range(30)]
-    got = substring_dedup.remove_repeats(table(spark, texts, extra=False), window=9, minimiser=3, crowd=20)
-    assert rows(got) == without_repeats(texts, 9)
+    for bucket in (256, 3, 0):
+        got = substring_dedup.remove_repeats(table(spark, texts, extra=False), window=9, minimiser=3, bucket=bucket)
+        assert rows(got) == without_repeats(texts, 9)
+
+
+def test_substring_dedup_of_a_passage_that_all_share(spark):
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [(i, " ".join([*(f"a{x}" for x in rng.integers(0, 9**9, rng.integers(3, 30))), *passage, *(f"z{x}" for x in rng.integers(0, 9**9, rng.integers(3, 30)))]), "en", "a") for i in range(60)]
+    got = substring_dedup.remove_repeats(table(spark, texts, extra=False), window=12, minimiser=4, bucket=8)
+    assert rows(got) == without_repeats(texts, 12)
 
 
 def test_hmm_counts(spark):

@@ -2,13 +2,16 @@
 
 A window is `window` consecutive words of a document. Its minimiser is the least hash of the runs of MINIMISER words
 in it. Consecutive windows of equal minimiser form a super-k-mer, which goes as one packed string of words to its
-minimiser's bucket; there windows are sorted and counted exactly, word for word.
+minimiser's bucket; equal strings are counted as one, by partial aggregation, before they travel. In a bucket the
+windows are sorted and counted exactly, word for word.
 
-A minimiser that only one document has can repeat no window. A Bloom filter of FILTER_BITS holds the others, and only
-super-k-mers whose minimiser passes it travel; as the filter's answer depends on the minimiser alone, a false one
-costs traffic and nothing else. A second filter holds the minimisers of more than CROWD super-k-mers. Those buckets
-are split: equal packed strings are counted as one, by digest, after a partial aggregation, and only the strings'
-first documents compare their windows, by 128-bit digests.
+A bucket of more than BUCKET different strings is split: its strings are cut again by the least hash of longer runs of
+words, so that windows of equal words still meet, at the last level by the window itself. What a level finds are
+stretches of windows of its strings, which the level above takes over.
+
+A minimiser that only one document has can repeat no window. A Bloom filter, sized by their number, holds the others,
+and only super-k-mers whose minimiser passes it travel; as the filter's answer depends on the minimiser alone, a false
+one costs traffic and nothing else.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import arrow_map, cut, join_anew, mix, row_key, run_hashes, slices, span_hashes, utf8, words
+from wordloom.llm.common import arrow_map, cut, join_anew, row_key, run_hashes, slices, span_hashes, utf8, words
 
-WINDOW, MINIMISER, CROWD = 50, 8, 96
-FILTER_BITS, CROWD_BITS = 1 << 25, 1 << 23
+WINDOW, MINIMISER, BUCKET = 50, 8, 256
+#: The filter has KEY_BITS bits for each minimiser that it holds, and at most MOST_BITS (128 MB). Beyond that number
+#: of minimisers (67 million) more of the text travels for nothing; the result is the same.
+KEY_BITS, MOST_BITS = 16, 1 << 30
+SPANS = "array<struct<at: int, n: int>>"
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -50,7 +56,8 @@ def super_kmers(texts: pa.Array, window: int, minimiser: int) -> tuple[np.ndarra
     of = np.repeat(np.arange(len(counts)), counts)[: len(least)]
     whole = np.arange(len(least)) + window <= first[of + 1]  # the window ends in its text
     fresh = whole.copy()
-    fresh[1:] &= (least[1:] != least[:-1]) | (of[1:] != of[:-1]) | ~whole[:-1]
+    if minimiser < window:  # else each window stands alone
+        fresh[1:] &= (least[1:] != least[:-1]) | (of[1:] != of[:-1]) | ~whole[:-1]
     at = np.flatnonzero(fresh)
     group = np.cumsum(fresh) - 1
     n = np.bincount(group[whole], minlength=len(at)) if len(at) else np.zeros(0, np.int64)
@@ -85,50 +92,66 @@ def _passes(filter_: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (filter_[places >> 6] >> (places & 63) & 1).astype(bool).all(0)
 
 
-_DIGEST = np.random.default_rng(50).integers(0, 1 << 63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def levels(window: int, minimiser: int) -> list[int]:
+    """The lengths of the runs that name buckets, level by level: from the minimiser to the whole window."""
+    gap = window - minimiser
+    return sorted({minimiser, window - gap // 3, window - gap // 10, window})
+
+
+def _packed(texts: pa.Array, of: np.ndarray, at: np.ndarray, n: np.ndarray, window: int) -> list[bytes]:
+    """The words of each super-k-mer, joined by spaces."""
+    data, bounds = utf8(texts)
+    starts, ends, first = words(data, bounds)
+    begin = first[of] + at
+    raw = data.tobytes()
+    return [b" ".join([raw[s:t] for s, t in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]) for a, b in zip(begin.tolist(), (begin + n + window - 1).tolist(), strict=True)]
+
+
+def _digests(packed: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=16).digest() for p in packed]), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())
 
 
-def _travellers(docs: DataFrame, filters, crowded: bool, window: int, minimiser: int) -> DataFrame:
-    """The super-k-mers of docs (id, row, text) that go to crowded buckets or to calm ones: id, row, at, n and, calm, m
-    and packed (the words, joined by spaces); crowded, s and t (the packed string's digest) and d and e (each window's).
-    filters: a broadcast of the two filters."""
+def _travellers(docs: DataFrame, shared, window: int, minimiser: int, columns: list[str]) -> DataFrame:
+    """The super-k-mers of docs (id, row, text) whose minimiser passes the filter `shared` (a broadcast): the columns
+    asked for of id, row, at (first word), n (windows), m (minimiser), s and t (the packed string's digest), packed."""
+    kinds = {"id": "long", "row": "long", "at": "int", "n": "int", "m": "long", "s": "long", "t": "long", "packed": "binary"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, crowds = filters.value
         for batch in slices(batches, "text"):
             of, at, n, m = super_kmers(batch["text"], window, minimiser)
-            keep = _passes(shared, m)
-            keep[keep] = _passes(crowds, m[keep]) == crowded
+            keep = _passes(shared.value, m)
             of, at, n, m = of[keep], at[keep], n[keep], m[keep]
-            data, bounds = utf8(batch["text"])
-            starts, ends, first = words(data, bounds)
-            begin = first[of] + at
-            last = begin + n + window - 1
+            packed = _packed(batch["text"], of, at, n, window)
             take = pa.array(of, pa.int64())
-            common = [batch["id"].take(take), batch["row"].take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32())]
-            raw = data.tobytes()
-            packed = [b" ".join([raw[s:t] for s, t in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]) for a, b in zip(begin.tolist(), last.tolist(), strict=True)]
-            if not crowded:
-                yield pa.record_batch([*common, pa.array(m), pa.array(packed, pa.binary())], ["id", "row", "at", "n", "m", "packed"])
-                continue
-            digests = [hashlib.blake2b(p, digest_size=16).digest() for p in packed]
-            whole = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            each = span_hashes(data, starts, ends)
-            at_ = np.repeat(begin, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            sides = []
-            for factors in _DIGEST:
-                own = np.zeros(len(at_), np.uint64)
-                for k in range(window):
-                    own += mix(each[at_ + k] ^ factors[k % 4096]) * factors[(k + 1) % 4096]
-                sides.append(pa.ListArray.from_arrays(offsets, pa.array(mix(own).view(np.int64))))
-            yield pa.record_batch([*common, pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), *sides], ["id", "row", "at", "n", "s", "t", "d", "e"])
-
-    more = "s long, t long, d array<long>, e array<long>" if crowded else "m long, packed binary"
-    return arrow_map(docs, run, f"id long, row long, at int, n int, {more}")
-
-
-def repeated_windows(ids: np.ndarray, packed: list[bytes], counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+            s, t = _digests(packed)
+            own = {"id": batch["id"].take(take), "row": batch["row"].take(take), "at": pa.array(at, pa.int32()), "n": pa.array(n, pa.int32()), "m": pa.array(m), "s": s, "t": t}
+            if "packed" in columns:
+                own["packed"] = pa.array(packed, pa.binary())
+            yield pa.record_batch([own[c] for c in columns], columns)
+
+    return arrow_map(docs, run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def _parts(strings: DataFrame, window: int, length: int) -> DataFrame:
+    """The super-k-mers, by runs of `length` words, of strings (s, t, a, packed): s and t, a, at, n, m, u and v (the
+    part's digest), packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "packed"):
+            texts = batch["packed"].cast(pa.string())
+            of, at, n, m = super_kmers(texts, window, length)
+            packed = _packed(texts, of, at, n, window)
+            take = pa.array(of, pa.int64())
+            yield pa.record_batch(
+                [*(batch[c].take(take) for c in "sta"), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(m), *_digests(packed), pa.array(packed, pa.binary())],
+                ["s", "t", "a", "at", "n", "m", "u", "v", "packed"],
+            )
+
+    return arrow_map(strings.select("s", "t", "a", "packed"), run, "s long, t long, a long, at int, n int, m long, u long, v long, packed binary")
+
+
+def repeated_windows(ids: np.ndarray, packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Of super-k-mers of some buckets: which, and at which of its windows, has a word sequence that a smaller id has.
 
     Words are numbered; runs of 2, 4, 8, ... words are then numbered by sorting pairs of numbers, and a window by the
@@ -145,7 +168,7 @@ def repeated_windows(ids: np.ndarray, packed: list[bytes], counts: np.ndarray, w
     if width < window:
         code = _numbered(code[: -(window - width)], code[window - width :])
     lengths = np.array([len(s) for s in split])
-    begin = np.cumsum(lengths) - lengths
+    begin, counts = np.cumsum(lengths) - lengths, lengths - window + 1
     of = np.repeat(np.arange(len(packed)), counts)
     at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
     code = code[begin[of] + at]
@@ -163,9 +186,10 @@ def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
 
 
-def _calm(rows: DataFrame, window: int, most: int = 2048) -> DataFrame:
-    """The repeated windows of calm buckets, as id, row, at, n (a stretch of windows). Each task sorts its buckets and
-    works on about `most` super-k-mers at a time, never parting a bucket."""
+def _sorted_buckets(strings: DataFrame, window: int, most: int = 2048) -> DataFrame:
+    """s, t, a and spans (array of at, n: stretches of windows that a smaller id has) of strings (m, s, t, a, b,
+    packed), where a < b or there are spans. a: the smallest id that has the string, b: the largest. Each task sorts
+    its buckets and works on about `most` strings at a time, never parting a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
@@ -175,56 +199,79 @@ def _calm(rows: DataFrame, window: int, most: int = 2048) -> DataFrame:
             m = table["m"].to_numpy()
             done = int(np.searchsorted(m, m[-1]))  # the last bucket may go on
             if done and (table.num_rows >= most or pa.compute.sum(pa.compute.binary_length(table["packed"])).as_py() >= 1 << 21):
-                yield from work(table.slice(0, done))
+                yield work(table.slice(0, done))
                 table = table.slice(done)
         if table is not None:
-            yield from work(table)
+            yield work(table)
 
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, n = table["id"].to_numpy(), table["n"].to_numpy().astype(np.int64)
-        of, at = repeated_windows(ids, table["packed"].to_pylist(), n, window)
-        if not len(of):
-            return
+    def work(table: pa.Table) -> pa.RecordBatch:
+        ids = table["a"].to_numpy()
+        of, at = repeated_windows(ids, table["packed"].to_pylist(), window)
         order = np.lexsort((at, of))
         of, at = of[order], at[order]
         fresh = np.ones(len(of), bool)
         fresh[1:] = (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(fresh)
         length = np.diff(np.append(first, len(of)))
-        k = of[first]
-        yield pa.record_batch(
-            [pa.array(ids[k]), pa.array(table["row"].to_numpy()[k]), pa.array((table["at"].to_numpy()[k] + at[first]).astype(np.int32)), pa.array(length.astype(np.int32))],
-            ["id", "row", "at", "n"],
-        )
+        counts = np.bincount(of[first], minlength=len(ids))
+        stretches = pa.StructArray.from_arrays([pa.array(at[first].astype(np.int32)), pa.array(length.astype(np.int32))], ["at", "n"])
+        spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), stretches)
+        keep = pa.array(np.flatnonzero((counts > 0) | (ids < table["b"].to_numpy())))
+        return pa.record_batch([*(table[c].combine_chunks().take(keep) for c in "sta"), spans.take(keep)], ["s", "t", "a", "spans"])
 
     # All windows of equal words have one minimiser, so sorting by it brings them together.
-    dealt = rows.select("id", "row", "at", "n", "m", "packed").repartition("m").sortWithinPartitions("m")
-    return arrow_map(dealt, run, "id long, row long, at int, n int")
+    dealt = strings.select("m", "s", "t", "a", "b", "packed").repartition("m").sortWithinPartitions("m")
+    return arrow_map(dealt, run, f"s long, t long, a long, spans {SPANS}")
+
+
+def _distinct(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """The different strings of rows (m, s, t, packed), with a (the least of column low) and b (the greatest of high)."""
+    return cut(rows.groupBy("m", "s", "t", "packed").agg(F.min(low).alias("a"), F.max(high).alias("b")))
+
+
+def _spans(found: DataFrame, key: list[str]) -> DataFrame:
+    """key and all spans of found (key, spans), of one string or document."""
+    return found.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def _resolved(strings: DataFrame, window: int, lengths: list[int], bucket: int) -> DataFrame:
+    """As _sorted_buckets; buckets of more than `bucket` strings are split by runs of the next of lengths, if any."""
+    if not lengths:
+        return _sorted_buckets(strings, window)
+    crowded = cut(strings.groupBy("m").agg(F.count("*").alias("c")).filter(F.col("c") > bucket).select("m"))
+    if crowded.isEmpty():
+        return _sorted_buckets(strings, window)
+    calm = _sorted_buckets(strings.join(crowded, "m", "left_anti"), window)
+    large = strings.join(crowded, "m", "left_semi")
+    parts = cut(_parts(large, window, lengths[0]))
+    own = _distinct(parts.select("m", F.col("u").alias("s"), F.col("v").alias("t"), "packed", "a"), "a", "a")
+    found = cut(_resolved(own, window, lengths[1:], bucket)).select(F.col("s").alias("u"), F.col("t").alias("v"), F.col("a").alias("first"), "spans")
+    met = join_anew(parts.select("s", "t", "a", "at", "n", "u", "v"), found, ["u", "v"]).select("s", "t", _taken("a").alias("spans"))
+    per = _spans(met.filter(F.size("spans") > 0), ["s", "t"])
+    split = large.select("s", "t", "a", "b").join(per, ["s", "t"], "left").filter("a < b OR spans IS NOT NULL")
+    return calm.unionByName(split.select("s", "t", "a", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")))
 
 
-def _crowded_repeats(rows: DataFrame) -> DataFrame:
-    """id, row, spans (array of at, n) of the repeated windows of crowded buckets. Of equal strings only the first
-    document's windows are compared; in later documents all of them are repeats."""
-    firsts = cut(rows.groupBy("s", "t").agg(F.min("id").alias("a"), F.first("d").alias("d"), F.first("e").alias("e")))
-    each = firsts.select("s", "t", F.col("a").alias("id"), F.posexplode(F.arrays_zip("d", "e")).alias("k", "w")).select("s", "t", "id", "k", F.col("w.d").alias("d"), F.col("w.e").alias("e"))
-    least = each.groupBy("d", "e").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("d", "e", "a")
-    hits = join_anew(each, least, ["d", "e"]).filter("a < id").groupBy("s", "t").agg(F.collect_list("k").alias("ks"))  # a super-k-mer's windows
-    one = F.array(F.struct("at", "n"))
-    met = join_anew(rows.select("id", "row", "at", "n", "s", "t"), firsts.join(hits, ["s", "t"], "left").select("s", "t", "a", "ks"), ["s", "t"])
-    some = F.transform("ks", lambda k: F.struct((F.col("at") + k).alias("at"), F.lit(1).alias("n")))
-    return met.filter("a < id OR ks IS NOT NULL").select("id", "row", F.when(F.col("a") < F.col("id"), one).otherwise(some).alias("spans"))
+def _taken(id: str):
+    """The spans that one place of a string (at, n, of document `id`) takes over: all of it, if a smaller id (first)
+    has the string, else the string's own spans."""
+    moved = F.transform("spans", lambda x: F.struct((F.col("at") + x["at"]).alias("at"), x["n"].alias("n")))
+    return F.when(F.col("first") < F.col(id), F.array(F.struct("at", "n"))).otherwise(moved)
 
 
-def repeats(docs: DataFrame, id: str, text: str, window: int = WINDOW, minimiser: int = MINIMISER, crowd: int = CROWD, bits: tuple[int, int] = (FILTER_BITS, CROWD_BITS)) -> DataFrame:
+def repeats(docs: DataFrame, id: str, text: str, window: int = WINDOW, minimiser: int = MINIMISER, bucket: int = BUCKET) -> DataFrame:
     """id, row and spans (array of at, n: windows at .. at + n - 1) for the rows of docs with windows whose word
     sequence also starts in a row of smaller id."""
     source = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), row_key(text).alias("row"), F.col(text).alias("text"))
-    buckets = _minimisers(source, window, minimiser).groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size"))
-    shared = cut(buckets.filter("a < b").select("m", "size"))
-    filters = docs.sparkSession.sparkContext.broadcast((_filter(shared, bits[0]), _filter(shared.filter(F.col("size") > crowd), bits[1])))
-    calm = _calm(_travellers(source, filters, False, window, minimiser), window).select("id", "row", F.array(F.struct("at", "n")).alias("spans"))
-    crowded = _crowded_repeats(cut(_travellers(source, filters, True, window, minimiser)))
-    return calm.unionByName(crowded).groupBy("id", "row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))  # a document's own
+    buckets = _minimisers(source, window, minimiser).groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    shared = cut(buckets.filter("a < b").select("m"))
+    bits = min(MOST_BITS, 1 << (KEY_BITS * shared.count() + 1023).bit_length())
+    passing = docs.sparkSession.sparkContext.broadcast(_filter(shared, bits))
+    first, *longer = levels(window, minimiser)
+    strings = _distinct(_travellers(source, passing, window, first, ["m", "s", "t", "packed", "id"]), "id", "id")
+    found = cut(_resolved(strings, window, longer, bucket))
+    met = join_anew(_travellers(source, passing, window, first, ["id", "row", "at", "n", "s", "t"]), found.withColumnRenamed("a", "first"), ["s", "t"])
+    return _spans(met.select("id", "row", _taken("id").alias("spans")).filter(F.size("spans") > 0), ["id", "row"])  # a document's own
 
 
 def _without(texts: pa.Array, spans: list, window: int) -> Iterator[tuple[int, int, str]]:
@@ -243,7 +290,7 @@ def _without(texts: pa.Array, spans: list, window: int) -> Iterator[tuple[int, i
         yield b - a, b - a - len(own), b" ".join(own).decode()
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, bucket: int = BUCKET) -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed, kept (the words left, joined by one space).
 
     A word goes if a window that covers it has the same words as a window of a document of smaller id; windows are
@@ -251,7 +298,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     nothing to each other; a row with a null id loses nothing and takes nothing. Other columns are ignored, whatever
     their names; an empty table gives no rows.
     """
-    found = repeats(docs, id, text, window, minimiser, crowd).select(F.col("id").alias("_i"), F.col("row").alias("_r"), "spans")
+    found = repeats(docs, id, text, window, minimiser, bucket).select(F.col("id").alias("_i"), F.col("row").alias("_r"), "spans")
     source = docs.select(F.col(id).alias("id"), row_key(text).alias("row"), F.col(text).alias("text"))
     joined = source.join(found, (F.col("id") == F.col("_i")) & (F.col("row") == F.col("_r")), "left").select("id", "text", "spans")
 
