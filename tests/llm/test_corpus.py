@@ -125,6 +125,13 @@ def test_substring_dedup_of_small_windows(spark):
         assert rows(got) == without_repeats(texts, 9)
 
 
+def test_substring_dedup_of_text_that_repeats_itself(spark):
+    texts = [(i, " ".join([*["x", "y", "z"] * (4 + i % 9), f"own{i % 4}", *["x"] * (i % 23)]), "en", "a") for i in range(40)]
+    for bucket in (256, 0):
+        got = substring_dedup.remove_repeats(table(spark, texts, extra=False), window=9, minimiser=3, bucket=bucket)
+        assert rows(got) == without_repeats(texts, 9)
+
+
 def test_substring_dedup_of_a_passage_that_all_share(spark):
     rng = np.random.default_rng(8)
     passage = [f"p{k}" for k in range(40)]

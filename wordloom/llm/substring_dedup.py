@@ -134,21 +134,29 @@ def _travellers(docs: DataFrame, shared, window: int, minimiser: int, columns: l
 
 
 def _parts(strings: DataFrame, window: int, length: int) -> DataFrame:
-    """The super-k-mers, by runs of `length` words, of strings (s, t, a, packed): s and t, a, at, n, m, u and v (the
-    part's digest), packed."""
+    """The super-k-mers, by runs of `length` words, of strings (s, t, a, packed): s and t, a, ats (where they begin),
+    n, m, u and v (the part's digest), packed. Equal parts of one string, as text that repeats itself has, are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "packed"):
             texts = batch["packed"].cast(pa.string())
             of, at, n, m = super_kmers(texts, window, length)
             packed = _packed(texts, of, at, n, window)
-            take = pa.array(of, pa.int64())
+            ats: dict[tuple[int, bytes], list[int]] = {}
+            first = []
+            for k, (i, p, x) in enumerate(zip(of.tolist(), at.tolist(), packed, strict=True)):
+                if (places := ats.setdefault((i, x), [])) == []:
+                    first.append(k)
+                places.append(p)
+            own = np.array(first, np.int64)
+            packed = [packed[k] for k in first]
+            take = pa.array(of[own], pa.int64())
             yield pa.record_batch(
-                [*(batch[c].take(take) for c in "sta"), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(m), *_digests(packed), pa.array(packed, pa.binary())],
-                ["s", "t", "a", "at", "n", "m", "u", "v", "packed"],
+                [*(batch[c].take(take) for c in "sta"), pa.array(list(ats.values()), pa.list_(pa.int32())), pa.array(n[own], pa.int32()), pa.array(m[own]), *_digests(packed), pa.array(packed, pa.binary())],
+                ["s", "t", "a", "ats", "n", "m", "u", "v", "packed"],
             )
 
-    return arrow_map(strings.select("s", "t", "a", "packed"), run, "s long, t long, a long, at int, n int, m long, u long, v long, packed binary")
+    return arrow_map(strings.select("s", "t", "a", "packed"), run, "s long, t long, a long, ats array<int>, n int, m long, u long, v long, packed binary")
 
 
 def repeated_windows(ids: np.ndarray, packed: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,17 +254,18 @@ def _resolved(strings: DataFrame, window: int, lengths: list[int], bucket: int)
     parts = cut(_parts(large, window, lengths[0]))
     own = _distinct(parts.select("m", F.col("u").alias("s"), F.col("v").alias("t"), "packed", "a"), "a", "a")
     found = cut(_resolved(own, window, lengths[1:], bucket)).select(F.col("s").alias("u"), F.col("t").alias("v"), F.col("a").alias("first"), "spans")
-    met = join_anew(parts.select("s", "t", "a", "at", "n", "u", "v"), found, ["u", "v"]).select("s", "t", _taken("a").alias("spans"))
+    met = join_anew(parts.select("s", "t", "a", "ats", "n", "u", "v"), found, ["u", "v"])
+    met = met.select("s", "t", F.flatten(F.transform("ats", lambda at: _taken("a", at))).alias("spans"))
     per = _spans(met.filter(F.size("spans") > 0), ["s", "t"])
     split = large.select("s", "t", "a", "b").join(per, ["s", "t"], "left").filter("a < b OR spans IS NOT NULL")
     return calm.unionByName(split.select("s", "t", "a", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")))
 
 
-def _taken(id: str):
-    """The spans that one place of a string (at, n, of document `id`) takes over: all of it, if a smaller id (first)
+def _taken(id: str, at):
+    """The spans that a place of a string (at, with n windows, of document `id`) takes over: all of it, if a smaller id (first)
     has the string, else the string's own spans."""
-    moved = F.transform("spans", lambda x: F.struct((F.col("at") + x["at"]).alias("at"), x["n"].alias("n")))
-    return F.when(F.col("first") < F.col(id), F.array(F.struct("at", "n"))).otherwise(moved)
+    moved = F.transform("spans", lambda x: F.struct((at + x["at"]).alias("at"), x["n"].alias("n")))
+    return F.when(F.col("first") < F.col(id), F.array(F.struct(at.alias("at"), "n"))).otherwise(moved)
 
 
 def repeats(docs: DataFrame, id: str, text: str, window: int = WINDOW, minimiser: int = MINIMISER, bucket: int = BUCKET) -> DataFrame:
@@ -271,7 +280,7 @@ def repeats(docs: DataFrame, id: str, text: str, window: int = WINDOW, minimiser
     strings = _distinct(_travellers(source, passing, window, first, ["m", "s", "t", "packed", "id"]), "id", "id")
     found = cut(_resolved(strings, window, longer, bucket))
     met = join_anew(_travellers(source, passing, window, first, ["id", "row", "at", "n", "s", "t"]), found.withColumnRenamed("a", "first"), ["s", "t"])
-    return _spans(met.select("id", "row", _taken("id").alias("spans")).filter(F.size("spans") > 0), ["id", "row"])  # a document's own
+    return _spans(met.select("id", "row", _taken("id", F.col("at")).alias("spans")).filter(F.size("spans") > 0), ["id", "row"])  # a document's own
 
 
 def _without(texts: pa.Array, spans: list, window: int) -> Iterator[tuple[int, int, str]]:
