@@ -180,16 +180,45 @@ def test_hmm_expected_counts():
     rng = np.random.default_rng(5)
     _, classes, offsets = hmm.tokens(pa.array(["a bb ccc", "", "dd a a"]))
     model = hmm.Hmm.of_counts(np.ones(2), rng.random((2, 2)), rng.random((hmm.CLASSES + 1, 2)))
-    start, moves, emits = hmm.expected_counts(model, classes, offsets)
+    start, moves, emits, log = hmm.expected_counts(model, classes, offsets)
+    assert log == pytest.approx(hmm.log10_likelihoods(model, classes, offsets).sum(), rel=1e-5)
     assert start.sum() == pytest.approx(3) and emits.sum() == pytest.approx(len(classes)) and moves.sum() == pytest.approx(len(classes) - 3)
     before = hmm.log10_likelihoods(model, classes, offsets).sum()
     for _ in range(5):
-        model = hmm.Hmm.of_counts(*hmm.expected_counts(model, classes, offsets))
+        model = hmm.Hmm.of_counts(*hmm.expected_counts(model, classes, offsets)[:3])
     assert hmm.log10_likelihoods(model, classes, offsets).sum() > before
 
 
-def test_hmm_beats_word_counts_on_held_out_text(spark):
-    r = hmm.op7_hmm(spark, "/root/testdata/sf0.001").filter("held_out").selectExpr("sum(base_score)", "sum(score)").first()
+def test_hmm_scores_end_to_end(spark):
+    """score against a plain forward pass over the words with the trained weights."""
+    texts = [*TEXTS, *((i, f"some words {i % 7} here ## {i}", "en", "a") for i in range(20, 60))]
+    docs = table(spark, texts)
+    trained = hmm.train(docs)
+    own = [[*words(low(t)), None] for _, t, *_ in texts]
+    c = Counter(w for (i, *_), ws in zip(texts, own, strict=True) if i is None or zlib.crc32(str(i).encode()) % 10 for w in ws)
+    kind = lambda w: hmm.CLASSES if w is None else int(hmm.tokens(pa.array([w]))[1][0])
+    mass = defaultdict(float)
+    for w, n in c.items():
+        mass[kind(w)] += n + 0.1
+    m = trained.model
+    got = defaultdict(list)
+    for r in hmm.score_texts(docs, trained=trained).collect():
+        got[r["doc_id"], r["n_tokens"]].append(r["score"])
+    for (i, *_), ws in zip(texts, own, strict=True):
+        alpha, log = m.start, 0.0
+        for k, w in enumerate(ws):
+            alpha = (alpha if k == 0 else alpha @ m.moves) * m.emits[kind(w)] * (c[w] + 0.1) / (mass[kind(w)] + 0.1)
+            log += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert got[i, len(ws)][0] == pytest.approx(log, rel=1e-6)
+
+
+def test_hmm_learns(spark):
+    """Each round's likelihood is no worse than the one before; held-out text gains on word counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    trained = hmm.train(docs)
+    assert len(trained.seen) > 1 and all(b >= a - 1e-6 * abs(a) for a, b in zip(trained.seen, trained.seen[1:], strict=False))
+    r = hmm.score_texts(docs, trained=trained).filter("held_out").selectExpr("sum(base_score)", "sum(score)").first()
     assert r[1] > r[0]
 
 

@@ -1,9 +1,11 @@
 """A hidden Markov language model.
 
 A state emits a word by the word's class (a hash of its last bytes, CLASSES of them), and within its class by its
-smoothed count; the text's end is a class of its own. Word counts come from all training text. Transitions and class
-emissions are trained by Baum-Welch: a bounded sample gives the start, then each round adds up the expected counts of
-all training text across partitions. Scores are exact: the scaled forward recursion runs over whole texts.
+smoothed count; the text's end is a class of its own. Transitions and class emissions are trained by Baum-Welch on all
+training text, whole: the counts of neighbouring classes, folded into COARSE, give the states their start (Baum-Welch
+over all pairs of neighbours, by their counts); then rounds over the texts add up expected counts across partitions
+until the likelihood of a token gains less than GAIN, ROUNDS at most. Scores are exact: the scaled forward recursion
+runs over whole texts.
 
 The counts of up to TABLE words, those above the least count that allows it, are broadcast; texts' other words go to
 the full counts by a join.
@@ -19,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import arrow_map, cut, fold, hash_sample, mix, row_key, slices, span_hashes, utf8, words
+from wordloom.llm.common import arrow_map, cut, fold, mix, row_key, slices, span_hashes, utf8, words
 
-STATES, CLASSES, ROUNDS, SEGMENT = 8, 4096, 2, 128
-#: Bounds of what the driver and each worker hold: words in the broadcast table; texts, and characters of each, that
-#: give Baum-Welch its start, and rounds over them.
-TABLE, SAMPLE, SAMPLE_CHARS, SAMPLE_ROUNDS = 1 << 20, 1500, 2000, 25
+STATES, CLASSES, SEGMENT = 8, 4096, 128
+#: Starts and rounds over the counts of pairs, rounds over the texts at most, and the gain (log10 of a token's likelihood) below
+#: which the latter end.
+COARSE, STARTS, PAIR_ROUNDS, ROUNDS, GAIN = 1024, 4, 40, 5, 5e-4
+#: The bound of what each worker holds: words in the broadcast table.
+TABLE = 1 << 20
 SMOOTH = 0.1
 #: The hash that stands for the end of a text.
 END = 0x454E44
@@ -63,9 +67,10 @@ class Hmm:
         return Hmm(start / start.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0, keepdims=True))
 
 
-def expected_counts(model: Hmm, classes: np.ndarray, offsets: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The expected counts of starts, moves and emissions, texts taken in segments of at most `segment` tokens; the
-    parts of a text after its first segment start like the average position, so they add nothing to the starts."""
+def expected_counts(model: Hmm, classes: np.ndarray, offsets: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The expected counts of starts, moves and emissions, and log10 of the likelihood, texts taken in segments of at
+    most `segment` tokens; the parts of a text after its first segment start from all states alike, so they add nothing
+    to the starts."""
     states = len(model.start)
     counts = np.diff(offsets)
     parts = -(-counts // segment)
@@ -79,15 +84,17 @@ def expected_counts(model: Hmm, classes: np.ndarray, offsets: np.ndarray, segmen
     active = np.searchsorted(-length, -np.arange(longest), "left")  # how many segments are longer than t
     start_sum, move_sum, emit_sum = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES + 1, states))
     if not longest:
-        return start_sum, move_sum, emit_sum
+        return start_sum, move_sum, emit_sum, 0.0
     emits, moves = model.emits.astype(np.float32), model.moves.astype(np.float32)
-    alphas, shown = [], []
+    alphas, shown, log = [], [], 0.0
     alpha = np.where(lead[:, None], model.start[None], model.start.mean() * np.ones((1, states))).astype(np.float32)
     for t in range(longest):
         m = active[t]
         e = emits[classes[begin[:m] + t]]
         alpha = (alpha[:m] if t == 0 else alpha[:m] @ moves) * e
-        alpha /= alpha.sum(1, keepdims=True)
+        scale = alpha.sum(1, keepdims=True)
+        log += float(np.log10(scale).sum(dtype=np.float64))
+        alpha /= scale
         alphas.append(alpha)
         shown.append(e)
     beta = np.ones((0, states), np.float32)
@@ -112,7 +119,7 @@ def expected_counts(model: Hmm, classes: np.ndarray, offsets: np.ndarray, segmen
     gamma = np.concatenate(alphas)
     for s in range(states):
         emit_sum[:, s] = np.bincount(at, gamma[:, s], CLASSES + 1)
-    return start_sum, move_sum, emit_sum
+    return start_sum, move_sum, emit_sum, log
 
 
 def log10_likelihoods(model: Hmm, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -155,44 +162,106 @@ def word_counts(train: DataFrame) -> DataFrame:
     return arrow_map(train.select("text"), run, "w long, k int, c long").groupBy("w").agg(F.min("k").alias("k"), F.sum("c").alias("c"))
 
 
-def train_hmm(train: DataFrame, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE) -> Hmm:
-    """Baum-Welch over all of train (id, text). The start comes from the `sample` rows of least hash of the id."""
-    some = hash_sample(train.select("id", F.substring("text", 1, SAMPLE_CHARS).alias("text")), "id", sample, train.select("id").count()).toArrow()
-    some = some.sort_by([("id", "ascending"), ("text", "ascending")])
-    texts = some["text"].combine_chunks() if some.num_rows else pa.array([""])
-    _, classes, offsets = tokens(texts if isinstance(texts, pa.Array) else texts.chunk(0))
-    seen = np.bincount(classes, minlength=CLASSES + 1)[:, None] + 0.05
-    noise = np.random.default_rng(11).gamma(1.0, 1.0, (CLASSES + 1, states))
-    model = Hmm.of_counts(np.ones(states), np.eye(states) * 30 + 1, seen * noise)
-    for _ in range(SAMPLE_ROUNDS):
-        start, moves, emits = expected_counts(model, classes, offsets)
-        model = Hmm.of_counts(start, moves + 0.1, emits + 0.02 * seen / seen.sum())
+def coded(train: DataFrame) -> DataFrame:
+    """The classes of each text of train, as 16-bit numbers in a binary, written for the rounds to read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            _, classes, offsets = tokens(batch["text"])
+            data = classes.astype(np.int16).tobytes()
+            yield pa.record_batch([pa.array([data[2 * a : 2 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["codes"])
+
+    return cut(arrow_map(train.select("text"), run, "codes binary"))
+
+
+def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    rows = batch["codes"].to_pylist()
+    return np.frombuffer(b"".join(rows), np.int16).astype(np.int32), np.cumsum([0, *(len(r) // 2 for r in rows)])
+
+
+def pair_counts(codes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, n: how often coarse class j follows i within texts. At most (COARSE + 1) ** 2 rows, of each task and to
+    the driver (16 MB)."""
+    wide = COARSE + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(wide * wide, np.int64)
+        for batch in slices(batches, "codes"):
+            classes, _ = _codes(batch)
+            coarse = np.where(classes == CLASSES, COARSE, classes % COARSE)
+            total += np.bincount((coarse[:-1] * wide + coarse[1:])[coarse[:-1] != COARSE], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["k", "n"])
+
+    rows = arrow_map(codes, run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = rows["k"].to_numpy(), rows["n"].to_numpy()
+    order = np.argsort(k)
+    return *divmod(k[order], wide), n[order].astype(np.float64)
+
+
+def pair_model(i: np.ndarray, j: np.ndarray, n: np.ndarray, states: int, seed: int, rounds: int = PAIR_ROUNDS, block: int = 1 << 16) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Baum-Welch over pairs of neighbouring coarse classes (i, j), n of each, from a start drawn by seed: log10 of the
+    likelihood before the last round, and share of the states, moves, emissions."""
+    wide, rng = COARSE + 1, np.random.default_rng(seed)
+    seen = (np.bincount(i, n, wide) + np.bincount(j, n, wide))[:, None] + 0.05
+    share, moves, emits, log = np.ones(states) / states, np.eye(states) * 30 + 1, seen * rng.gamma(3.0, 1.0, (wide, states)), 0.0
+    for _ in range(rounds):
+        moves, emits = moves / moves.sum(1, keepdims=True), emits / emits.sum(0, keepdims=True)
+        first, move_sum, emit_sum, log = np.zeros(states), np.full((states, states), 0.1), 0.02 * seen / seen.sum() * np.ones(states), 0.0
+        for a in range(0, len(n), block):
+            left, right, own = share * emits[i[a : a + block]], emits[j[a : a + block]], n[a : a + block]
+            ahead = right @ moves.T
+            total = (left * ahead).sum(1)
+            log += float(own @ np.log10(total))
+            weight = (own / total)[:, None]
+            before, after = left * ahead * weight, (left @ moves) * right * weight
+            move_sum += moves * ((left * weight).T @ right)
+            first += before.sum(0)
+            for s in range(states):
+                emit_sum[:, s] += np.bincount(i[a : a + block], before[:, s], wide) + np.bincount(j[a : a + block], after[:, s], wide)
+        share, moves, emits = (first + 1e-3) / (first + 1e-3).sum(), move_sum, emit_sum
+    return log, (share, moves / moves.sum(1, keepdims=True), emits / emits.sum(0, keepdims=True))
+
+
+def train_hmm(train: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, list[float]]:
+    """The model after Baum-Welch over all of train (text), and log10 of the likelihood of all of its classes, under the
+    model that each round began with. mass: the weight of each class in train."""
+    codes = coded(train)
+    pairs = pair_counts(codes)
+    share, moves, coarse = max((pair_model(*pairs, states, seed) for seed in range(STARTS)), key=lambda x: x[0])[1]
+    of = np.append(np.arange(CLASSES) % COARSE, COARSE)
+    within = (mass + 1e-3) / np.bincount(of, mass + 1e-3)[of]
+    model, seen = Hmm.of_counts(share, moves, coarse[of] * within[:, None] * max(mass.sum(), 1.0)), []
     for _ in range(rounds):
-        model = _round(train, model)
-    return model
+        model, log = _round(codes, model)
+        seen.append(log)
+        if len(seen) > 1 and seen[-1] - seen[-2] < GAIN * mass.sum():
+            break
+    return model, seen
 
 
-def _round(train: DataFrame, model: Hmm) -> Hmm:
-    """One round of Baum-Welch over all rows: each task adds up its own expected counts, Spark those of the tasks."""
+def _round(codes: DataFrame, model: Hmm) -> tuple[Hmm, float]:
+    """One round of Baum-Welch over all texts: each task adds up its own expected counts, Spark those of the tasks.
+    Also log10 of the likelihood under the given model."""
     shape = (len(model.start), CLASSES + 1)
-    shared = train.sparkSession.sparkContext.broadcast((model.start, model.moves, model.emits))
+    shared = codes.sparkSession.sparkContext.broadcast((model.start, model.moves, model.emits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = Hmm(*shared.value), None
-        for batch in slices(batches, "text"):
-            _, classes, offsets = tokens(batch["text"])
-            got = np.concatenate([x.ravel() for x in expected_counts(own, classes, offsets)])
+        for batch in slices(batches, "codes"):
+            got = np.concatenate([np.ravel(x) for x in expected_counts(own, *_codes(batch))])
             total = got if total is None else total + got
         if total is not None:
-            at = np.flatnonzero(total > 1e-9)
+            at = np.flatnonzero(np.abs(total) > 1e-9)
             yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "n"])
 
     # At most states * (classes + states + 2) sums come to the driver.
-    rows = arrow_map(train.select("text"), run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(shape[0] + shape[0] ** 2 + shape[0] * shape[1])
+    rows = arrow_map(codes, run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    flat = np.zeros(shape[0] + shape[0] ** 2 + shape[0] * shape[1] + 1)
     flat[rows["i"].to_numpy()] = rows["n"].to_numpy()
-    start, moves, emits = np.split(flat, [shape[0], shape[0] + shape[0] ** 2])
-    return Hmm.of_counts(start, moves.reshape(shape[0], shape[0]), emits.reshape(shape[1], shape[0]))
+    start, moves, emits, log = np.split(flat, np.cumsum([shape[0], shape[0] ** 2, shape[0] * shape[1]]))
+    shared.unpersist()
+    return Hmm.of_counts(start, moves.reshape(shape[0], shape[0]), emits.reshape(shape[1], shape[0])), float(log[0])
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -206,24 +275,43 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return 0
 
 
-def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, table: int = TABLE) -> DataFrame:
-    """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Rows that aren't held out train the model. Tokens are the words with A-Z lower-cased, then one end. base_score is
-    the log10 probability by smoothed word counts, score that of the hidden Markov model. A null text counts as empty:
-    its one token is the end. A row with a null id trains, and is scored. Rows equal in id and text are counted each,
-    and get equal scores. Other columns are ignored, whatever their names. If nothing trains, all counts are 0 and the
-    model is that of no counts; an empty table gives no rows.
-    """
-    source = docs.select(F.col(id).alias("id"), row_key(text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(id).alias("held_out"))
-    train = source.filter("NOT held_out").select("id", "text")
-    counts = cut(word_counts(train))
+@dataclass
+class Trained:
+    """What training gives: the words' counts (w, k, c), all tokens, distinct ones, the weight of each class, the model,
+    and log10 of the likelihood of the training text's classes before each round over the texts."""
+
+    counts: DataFrame
+    total: int
+    distinct: int
+    mass: np.ndarray
+    model: Hmm
+    seen: list[float]
+
+
+def train(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> Trained:
+    """Counts and model of the rows of docs that aren't held out."""
+    own = docs.filter(~held_out(id)).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counts = cut(word_counts(own))
     mass = np.zeros(CLASSES + 1)
     total = distinct = 0
     for k, c, n in counts.groupBy("k").agg(F.sum("c"), F.count("*")).collect():
         mass[k] = c + SMOOTH * n
         total, distinct = total + c, distinct + n
-    model = train_hmm(train, states, rounds)
+    return Trained(counts, total, distinct, mass, *train_hmm(own, mass, states, rounds))
+
+
+def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, table: int = TABLE, trained: Trained | None = None) -> DataFrame:
+    """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Rows that aren't held out train the model, unless one is given. Tokens are the words with A-Z lower-cased, then one
+    end. base_score is the log10 probability by smoothed word counts, score that of the hidden Markov model. A null
+    text counts as empty: its one token is the end. A row with a null id trains, and is scored. Rows equal in id and
+    text are counted each, and get equal scores. Other columns are ignored, whatever their names. If nothing trains,
+    all counts are 0 and the model is that of no counts; an empty table gives no rows.
+    """
+    trained = trained or train(docs, id, text, states, rounds)
+    counts, total, distinct, mass, model = trained.counts, trained.total, trained.distinct, trained.mass, trained.model
+    source = docs.select(F.col(id).alias("id"), row_key(text).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(id).alias("held_out"))
     least = _least_count(counts, table)
     top = counts.filter(F.col("c") > least).select("w", "c").toArrow()
     order = np.argsort(top["w"].to_numpy())
