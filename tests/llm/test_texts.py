@@ -1,11 +1,13 @@
 """Token counts, BPE, FLAC and quality: against the libraries, by round trip, on held-out rows."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -160,6 +162,23 @@ def test_quality_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in scored.collect())
 
 
+def test_quality_scores_by_hand(spark):
+    """score against plain zstandard sizes and the curve."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    press = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_FULLDICT if d[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for r in quality.score(docs.limit(60), model).collect():
+        data = (r["text"] or "").encode()
+        k = max(1, round(len(data) / 2048))
+        blocks = [data[len(data) * i // k : len(data) * (i + 1) // k] for i in range(k)] if data else []
+        g, b = ([len(p.compress(x)) for x in blocks] for p in press)
+        d = (sum(b) - sum(g)) / (sum(b) + sum(g) + 160)
+        shrunk = sum(math.log((len(x) + 32) / (max(u, v) + 32)) for x, u, v in zip(blocks, g, b, strict=True)) / k
+        z = model.weights[0] + model.weights[1] * 10 * d + model.weights[2] * 2 * d * math.log1p(len(data))
+        z += sum(w * max(0, shrunk - bend) for w, bend in zip(model.weights[3:], model.bends, strict=True))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z))))) and r["predicted"] == (r["score"] >= 0.7)
+
+
 @pytest.mark.parametrize("marks", [[], [(1, 1)], [(1, 0)], [(i, i % 2) for i in range(1, 14)] + [(1, 1), (None, 1), (2, None)]])
 def test_quality_cases(spark, marks):
     labels = spark.createDataFrame(marks, "doc_id long, quality int")
