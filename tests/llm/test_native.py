@@ -37,20 +37,21 @@ def test_chunks_make_up_the_text(spark):
 
 @pytest.mark.parametrize("band", [0.15, 5.0])
 def test_line_dedup(spark, band):
-    docs = table(spark)
+    # A null site is a site of its own.
+    texts = [*TEXTS, (30, "a line of no site and one\nown 30", None, None), (31, "a line of no site and one\nown 31", None, "z"), (32, "only of no site\nx", None, None), (33, "only of no site\ny", None, None)]
+    docs = table(spark, texts)
     out = line_dedup.remove_boilerplate(docs, min_sites=2, band=band)
     assert out.columns == [c for c in docs.columns if c != "n_removed"] + ["n_lines", "n_removed"]
     sites, first = defaultdict(set), {}
-    for i, t, _, s in TEXTS:
+    for i, t, _, s in texts:
         for line in (t or "").split("\n"):
             if line:
                 sites[line].add(s)
                 first[line] = min((x for x in (first.get(line), i) if x is not None), default=None)
-    # One null site is a site of its own, as in the sketch.
     expected = []
-    for i, t, *_ in TEXTS:
+    for i, t, *_ in texts:
         lines = t.split("\n") if t is not None else []
-        kept = [x for x in lines if not (x and len(sites[x] - {None}) >= 2 and first[x] != i)]
+        kept = [x for x in lines if not (x and len(sites[x]) >= 2 and first[x] != i)]
         expected.append((i, "\n".join(kept) if t is not None else None, len(lines), len(lines) - len(kept)))
     assert rows(out.select("doc_id", "text", "n_lines", "n_removed")) == sorted(expected, key=str)
     assert line_dedup.remove_boilerplate(docs.limit(0)).count() == 0
@@ -97,7 +98,29 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(taken[s] - t) <= 0.01 * t + 10 for s, t in target.items())
     got = mixing.mixed_documents(docs)
     assert got.columns == docs.columns
-    assert sum(len(words(r["text"])) for r in got.select("text").collect()) == sum(taken.values())
+    ordered = got.select("text", "source").collect()
+    assert sum(len(words(r["text"])) for r in ordered) == sum(taken.values())
+    budget, so_far = sum(target.values()), Counter()
+    for k, r in enumerate(ordered):  # every beginning of the mix is near the targets' shares
+        so_far[r["source"]] += len(words(r["text"]))
+        if k >= 200 and k % 50 == 0:
+            assert all(abs(so_far[s] - t * sum(so_far.values()) / budget) <= 30 for s, t in target.items())
+
+
+@pytest.mark.parametrize("range_rows", [1, 7, 1 << 16])
+def test_mix_is_cut_where_the_budget_ends(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    texts = [(i, "w " * (i % 5), "en", f"s{i % 3}") for i in range(40)]
+    out = mixing.mix(table(spark, texts)).collect()
+    copies = sorted(((e * r["source_size"] + r["cum"]) / r["target"], r["size"]) for r in out if r["size"] for e in range(3))
+    stop, spent = -1.0, 0
+    for v in sorted({v for v, _ in copies}):
+        spent += sum(n for x, n in copies if x == v)
+        if spent > sum({r["source"]: r["target"] for r in out}.values()) * (1 + 1e-12):
+            break
+        stop = v
+    for r in out:
+        assert r["copies"] == (1 if not r["size"] else sum((e * r["source_size"] + r["cum"]) / r["target"] <= stop for e in range(3)))
 
 
 def test_mix_without_words(spark):

@@ -18,7 +18,7 @@ MIN_SITES, BAND, LG_K = 8, 0.15, 12
 def lines_of(docs: DataFrame, id: str, text: str, site: str) -> DataFrame:
     """A row for each line that isn't empty: _id, _row, site hash, position, and two hashes of the line."""
     return (
-        docs.select(F.col(id).alias("_id"), row_key(text).alias("_row"), F.xxhash64(site).alias("_site"), F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
+        docs.select(F.col(id).alias("_id"), row_key(text).alias("_row"), F.when(F.col(site).isNull(), F.lit(0)).otherwise(F.xxhash64(site)).alias("_site"), F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
         .filter("_line <> ''")
         .select("_id", "_row", "_site", "_at", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), F.col("_line")).alias("_g"))
     )
@@ -81,7 +81,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-bad AS (SELECT line, min(doc_id) AS f FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
+bad AS (SELECT line, min(doc_id) AS f FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) + max((source IS NULL)::INT) >= {MIN_SITES}),
 k AS (SELECT l.doc_id, l.pos, l.line, bad.line IS NOT NULL AND bad.f <> l.doc_id AS gone FROM l LEFT JOIN bad ON l.line = bad.line),
 r AS (SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_removed, string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY pos) AS kept FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled (by a hash of the id) and repeated up to `most` times; a copy's virtual finish
-time is the source's tokens up to and including it, divided by the source's target. All copies are range-sorted by
-finish time and the mix is cut where the total budget is used up, so every source stands at about the same share of
-its target wherever the mix is cut. Running sums go down a fixed tree of 256 x 256 ranges for each source, so that no
-task holds a whole source, however large.
+Each source's documents are shuffled (by a hash of id and text) and repeated up to `most` times; a copy's virtual
+finish time is the source's tokens up to and including it, divided by the source's target. All copies are range-sorted
+by finish time, sums run over the ranges and within them, and the order is truncated where the total budget is used
+up, so every source stands at about the same share of its target wherever the mix is cut. A source's running sums go
+down a fixed tree of 256 x 256 ranges, so that no task holds a whole source, however large.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import cut, row_key
 
 WEIGHTS, MOST = (1, 2, 3), 3
-#: Ranges of finish time for each unit of it, on the first and second level of the global order.
-RANGES = 1024
+#: Copies in a range of the global order, about.
+RANGE_ROWS = 1 << 16
 
 
 def n_words(text):
@@ -57,14 +57,15 @@ def _down(levels: list[DataFrame], keys: list[str]) -> DataFrame:
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.0, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """One row for each row of docs: doc_id, row (tells rows of one id apart), size, source, source_size, target,
-    copies (how often the mix takes the document, 0 to most) and taken (copies * size).
+    cum (the source's tokens up to and including it), copies (how often the mix takes the document, 0 to most) and taken
+    (copies * size).
 
     Copies are taken whole, in order of finish time, while the sum of all taken up to and including those of equal
     finish time is within the budget (the sum of the targets). The order within a source is by md5 of the id (null as
-    'null'), then id, then row. Documents without words are taken once and cost nothing; so are those of a source
+    'null') and the text, then id, then row. Documents without words are taken once and cost nothing; so are those of a source
     without words, whose target is 0. Rows equal in id and text have one place each. An empty table gives no rows.
     """
-    digest = F.md5(F.coalesce(F.col(id).cast("string"), F.lit("null")).cast("binary"))
+    digest = F.md5(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("null")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
     slim = cut(
         docs.select(F.col(id).alias("doc_id"), row_key(text).alias("row"), n_words(F.col(text)).alias("size"), F.col(source).alias("source"), digest.alias("h"))
         .withColumn("a", F.substring("h", 1, 2)).withColumn("b", F.substring("h", 3, 2))
@@ -79,10 +80,10 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
     queued = summed.join(placed, on).select("doc_id", "row", "size", "source", "source_size", "target", (F.col("_before") + F.col("_own")).alias("cum"))
     queued = cut(queued)
-    at = _cut_time(queued, most)
+    at = cut_time(queued, most)
     copies = sum((F.when(_finish(e) <= F.lit(at), 1).otherwise(0) for e in range(most)), F.lit(0))
     copies = F.when(F.col("size") == 0, 1).otherwise(copies).cast("int")
-    return queued.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).drop("cum")
+    return queued.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
 def _finish(epoch):
@@ -90,55 +91,49 @@ def _finish(epoch):
     return (F.lit(epoch) * F.col("source_size") + F.col("cum")) / F.col("target")
 
 
-def _cut_time(queued: DataFrame, most: int) -> float:
+def cut_time(queued: DataFrame, most: int) -> float:
     """The latest finish time whose copies, with all earlier ones, fit in the budget; -1 if none does.
 
-    The copies' times go into ranges, and the sums of ranges tell the one in which the budget runs out; its copies go
-    into RANGES finer ranges, until that one range has few copies, which are sorted. The driver gets at most a few
-    thousand sums or copies at a time.
+    The copies are range-sorted by finish time and written with their range's number; a range's sum of earlier ranges,
+    of which there is one row each, and the running sum within it say where the budget runs out.
     """
     budget = queued.groupBy("source").agg(F.max("target").alias("t")).agg(F.sum("t")).first()[0]
-    copies = queued.filter("size > 0 AND target > 0").withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select("size", _finish(F.col("e")).alias("v"))
-    low, high, spent, best = 0.0, 2.0**40, 0, -1.0
-    width = 1.0 / RANGES  # ranges of the first pass; all that finishes after 2 is one range
-    while budget:
-        inside = copies.filter((F.col("v") > low) & (F.col("v") <= high)) if spent or best >= 0 or high < 2.0**40 else copies
-        step = F.least(F.ceil((F.col("v") - low) / width), F.lit(2 * RANGES + 1))
-        sums = sorted(tuple(r) for r in inside.groupBy(step.alias("k")).agg(F.sum("size"), F.max("v"), F.min("v"), F.count("*")).collect())
-        over = None
-        for r in sums:
-            if spent + r[1] > budget * (1 + 1e-12):
-                over = r
-                break
-            spent, best = spent + r[1], r[2]
-        if over is None or over[2] == over[3]:
-            return best
-        low, high = (best if best >= 0 else 0.0), over[2]
-        if over[4] <= 4096:
-            tail = queued_rows(copies, low, high)
-            for v, size in tail:
-                if spent + size > budget * (1 + 1e-12):
-                    return best
-                spent, best = spent + size, v
-            return best
-        width = max((high - low) / RANGES, 1e-300)
-    return best
-
-
-def queued_rows(copies: DataFrame, low: float, high: float) -> list[tuple[float, int]]:
-    """The summed sizes of the copies of each finish time in (low, high], in order; the caller has counted them."""
-    return sorted(tuple(r) for r in copies.filter((F.col("v") > low) & (F.col("v") <= high)).groupBy("v").agg(F.sum("size")).collect())
+    if not budget:
+        return -1.0
+    costly = queued.filter("size > 0 AND target > 0")
+    ranges = max(1, -(-costly.count() * most // RANGE_ROWS))
+    copies = costly.withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).select("size", _finish(F.col("e")).alias("v"))
+    ordered = cut(copies.repartitionByRange(ranges, "v").withColumn("k", F.spark_partition_id()))
+    sums = ordered.groupBy("k").agg(F.sum("size").alias("s"), F.min("v").alias("low")).withColumn("before", F.coalesce(F.sum("s").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    room = F.lit(budget * (1 + 1e-12))
+    last = sums.filter(F.col("before") <= room).agg(F.max(F.struct("k", "before", "low", "s")).alias("x")).select("x.*").first()
+    # All ranges before the last one that begins within the budget fit whole; that one is cut.
+    own = ordered.filter(F.col("k") == last["k"]).groupBy("v").agg(F.sum("size").alias("s"))
+    spent = own.withColumn("spent", F.lit(last["before"]) + F.sum("s").over(W.orderBy("v")))
+    at = spent.filter(F.col("spent") <= room).agg(F.max("v")).first()[0]
+    if at is None:
+        at = ordered.filter(F.col("k") < last["k"]).agg(F.max("v")).first()[0]
+    return -1.0 if at is None else at
 
 
 def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.0, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes it, with the columns of docs."""
+    """The rows of docs that the mix takes, each as often as it takes it, with the columns of docs, in order of finish
+    time: every beginning of the result, as files or partitions in order, is near the targets' shares. Documents
+    without words come first."""
     plan = mix(docs, id, text, source, share, weights, most).filter("copies > 0")
-    plan = plan.groupBy("doc_id", "row", "source").agg(F.array_sort(F.collect_list("copies")).alias("__wl_copies")).select(F.col("doc_id").alias("__wl_id"), F.col("row").alias("__wl_same"), F.col("source").alias("__wl_source"), "__wl_copies")
-    order = W.partitionBy(id, "__wl_row", source).orderBy(F.lit(1))
-    rows = docs.withColumn("__wl_row", row_key(text)).withColumn("__wl_n", F.row_number().over(order))
-    on = F.col(id).eqNullSafe(F.col("__wl_id")) & (F.col("__wl_row") == F.col("__wl_same")) & F.col(source).eqNullSafe(F.col("__wl_source"))
-    joined = rows.join(plan, on).withColumn("__wl_times", F.try_element_at("__wl_copies", F.col("__wl_n"))).filter("__wl_times > 0")
-    return joined.withColumn("__wl_copy", F.explode(F.sequence(F.lit(1), F.col("__wl_times")))).select(*docs.columns)
+    key = lambda *c: F.xxhash64(*c)
+    turns = F.array_sort(F.collect_list(F.struct("copies", "cum", "source_size", "target")))  # rows equal in id, text and source
+    plan = plan.groupBy("doc_id", "row", "source").agg(turns.alias("__wl_turns"))
+    plan = plan.select(key("doc_id", "row", "source").alias("__wl_key"), F.col("doc_id").alias("__wl_id"), F.col("row").alias("__wl_same"), F.col("source").alias("__wl_source"), "__wl_turns")
+    rows = docs.withColumn("__wl_row", row_key(text)).withColumn("__wl_k", key(id, "__wl_row", source))
+    on = (F.col("__wl_k") == F.col("__wl_key")) & F.col(id).eqNullSafe(F.col("__wl_id")) & (F.col("__wl_row") == F.col("__wl_same")) & F.col(source).eqNullSafe(F.col("__wl_source"))
+    single, several = plan.filter(F.size("__wl_turns") == 1), plan.filter(F.size("__wl_turns") > 1)
+    nth = F.row_number().over(W.partitionBy("__wl_k", id, "__wl_row", source).orderBy(F.lit(1)))
+    once = rows.join(single, on).withColumn("__wl_turn", F.col("__wl_turns")[0])
+    again = rows.join(several, on).withColumn("__wl_n", nth).withColumn("__wl_turn", F.try_element_at("__wl_turns", F.col("__wl_n"))).drop("__wl_n")
+    taken = once.unionByName(again).filter("__wl_turn.copies > 0").withColumn("__wl_copy", F.explode(F.expr("sequence(0, __wl_turn.copies - 1)")))
+    at = F.when(F.col("__wl_turn.target") > 0, (F.col("__wl_copy") * F.col("__wl_turn.source_size") + F.col("__wl_turn.cum")) / F.col("__wl_turn.target")).otherwise(0.0)
+    return taken.withColumn("__wl_at", at).repartitionByRange("__wl_at").sortWithinPartitions("__wl_at", "__wl_key").select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +142,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (list_value(1.0::DOUBLE, 2.0, 3.0))[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 c AS (SELECT *, (source_size * {MOST})::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
