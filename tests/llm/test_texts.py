@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
@@ -30,6 +31,24 @@ def test_agrees_with_the_library(text):
     assert bpe_codec.OUTPUTS["decoded"][1](pieces) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", [" " * 300_000, "\n " * 150_000, "ab " * 50_000 + " " * 100_000 + "c", "x" * 200_000])
+def test_long_runs_take_time_in_proportion(text):
+    pairs = tokens.byte_pairs(PATH)
+    began = time.process_time()
+    assert pairs.count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
+    short = time.process_time() - began
+    assert short < 20
+
+
+def test_white_space_is_linear():
+    pairs, took = tokens.byte_pairs(PATH), []
+    for n in (200_000, 1_600_000):
+        began = time.process_time()
+        pairs.count(" \n" * (n // 2))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 1
+
+
 def test_token_rows(spark):
     got = rows(tokens.count_tokens(table(spark), PATH))
     expected = []

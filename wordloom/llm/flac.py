@@ -504,6 +504,15 @@ def pcm_blocks(media: DataFrame, id: str = "doc_id", column: str = "media") -> D
     return arrow_map(source, run, f"id {kind}, block long, sample_offset long, n_samples long, pcm binary").withColumnRenamed("id", id)
 
 
+def joined(blocks: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """The first channel's samples of PCM blocks (sample offset, samples), put together by their offsets."""
+    blocks = sorted(blocks, key=lambda b: b[0])
+    at = np.cumsum([0, *(b.shape[1] for _, b in blocks)])
+    if [offset for offset, _ in blocks] != at[:-1].tolist():
+        raise BadStream("blocks are missing or overlap")
+    return np.concatenate([b[0] for _, b in blocks]) if blocks else np.zeros(0, np.int64)
+
+
 def text_digests(media: DataFrame, id: str = "doc_id") -> DataFrame:
     """What the media of encode_text() hold, read back: payload and media sizes and digests, and a feature string of
     the sound (blocks, mean, root mean square, zero crossings, peak). Takes id, n_bytes, media."""
@@ -513,7 +522,7 @@ def text_digests(media: DataFrame, id: str = "doc_id") -> DataFrame:
             streams = batch["media"].to_pylist()
             rows = []
             for stream, blocks in zip(streams, decode(streams), strict=True):
-                x = np.concatenate([b[0] for _, b in blocks])
+                x = joined(blocks)
                 payload = (x + 128).astype(np.uint8).tobytes()
                 crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
                 feature = f"blocks={len(blocks)};mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={crossings};peak={int(np.abs(x).max())}"

@@ -26,8 +26,8 @@ from wordloom.llm.common import arrow_map, cut, fold, join_anew, mix, row_key, r
 from wordloom.llm.components import components
 
 SHINGLE, COORDINATE_BITS, PERCENT = 5, 6, 75
-#: Members of a posting list in a block, and members compared with one pivot in a task.
-BLOCK, MEMBERS = 192, 64
+#: Members of a posting list in a block, shingles of a block about, and members compared with one pivot in a task.
+BLOCK, BLOCK_SHINGLES, MEMBERS = 192, 1 << 18, 64
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -134,12 +134,13 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int =
 
 
 def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The links (a, b) between components among members (group, id, component), on full sets.
+    """The links (a, b) between components among members (group, id, component, n), on full sets.
 
     A group's documents outside its own component are compared with all of the group, in blocks, each pair of blocks
     in a place of its own. Of the links of two blocks only those that join components are given.
     """
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("nj"), F.ceil(F.count(F.when(F.col("component") != F.col("group"), 1)) / BLOCK).alias("ni"))
+    blocks = lambda own: F.greatest(F.ceil(F.count(F.when(own, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES))
+    sizes = members.groupBy("group").agg(blocks(F.lit(True)).alias("nj"), blocks(F.col("component") != F.col("group")).alias("ni"))
     sized = join_anew(members, sizes, ["group"])
     block = lambda n: F.pmod(F.xxhash64("id"), n)
     all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -224,6 +225,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
     open_ = labelled.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("v")
     # Lists whose pivots are in one component have mostly the same members, so they are one group.
     members = cut(join_anew(labelled, open_, ["v"]).select("group", "id", "component").distinct())
+    members = cut(join_anew(members, member.groupBy("id").agg(F.max("n").alias("n")), ["id"]))
     more = cut(_rest(members, texts, shingle, percent))
     last = first if more.isEmpty() else cut(components(links.unionByName(more)))
 

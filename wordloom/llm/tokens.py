@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -24,7 +25,8 @@ from wordloom.llm.common import arrow_map, slices
 # Fixed value: the pattern of byte-level BPE pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHED = 1 << 20
+#: Counts that a worker keeps, of pieces and parts of up to CACHED_CHARS characters each.
+CACHED, CACHED_CHARS = 1 << 20, 64
 
 _CLOSE = re.compile(r"\s |^ ")
 
@@ -47,9 +49,11 @@ class Parts(dict):
         self.pairs = pairs
 
     def __missing__(self, part: str) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        n = self[part] = self.pairs.whole(" " + part)
+        n = self.pairs.whole(" " + part)
+        if len(part) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[part] = n
         return n
 
 
@@ -76,17 +80,20 @@ class BytePairs(dict):
         self.parts = Parts(self)
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHED:
-            self.clear()
         data = piece.encode()
-        n = self[piece] = len(data) - self.merges(data)
+        n = len(data) - self.merges(data)
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = n
         return n
 
     def merges(self, data: bytes) -> int:
         """How many merges a piece goes through."""
         n, ranks, wide, made = len(data), self.ranks, self.wide, self.made
-        at = [self.symbols[b] for b in data]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        numbers = list if n < 1 << 14 else partial(array, "i")  # a very long piece takes little memory
+        at = numbers([self.symbols[b] for b in data])
+        after, before = numbers(range(1, n + 1)), numbers(range(-1, n - 1))
         heap = [r * n + i for i in range(n - 1) if (r := ranks.get(at[i] * wide + at[i + 1])) is not None]
         heapify(heap)
         done = 0
@@ -120,13 +127,14 @@ class BytePairs(dict):
         """The number of tokens of a text without special tokens."""
         first, *parts = text.split(" ")
         if _CLOSE.search(text):  # a space after white space: such parts belong together
-            joined = [first]
+            joined, last = [[first]], first
             for x in parts:
-                if joined[-1] == "" or joined[-1][-1].isspace():
-                    joined[-1] += " " + x
+                if last == "" or last[-1].isspace():
+                    joined[-1].append(x)
                 else:
-                    joined.append(x)
-            first, *parts = joined
+                    joined.append([x])
+                last = x or " "
+            first, *parts = map(" ".join, joined)
         return self.whole(first) + sum(map(self.parts.__getitem__, parts))
 
 
