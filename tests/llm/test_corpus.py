@@ -68,6 +68,22 @@ def test_near_groups_of_many_copies(spark, monkeypatch):
     check_groups(near_dedup.near_groups(table(spark, texts, extra=False)), texts)
 
 
+def test_near_groups_find_pairs_about_the_threshold(spark):
+    """Recall on random pairs, short and long, whose similarity lies between 0.70 and 0.85: every link is found."""
+    rng = np.random.default_rng(17)
+    texts = []
+    for k in range(400):
+        n = int(rng.choice([12, 30, 80, 200, 600]))
+        base = [f"v{x}" for x in rng.integers(0, 10**6, n)]
+        other = list(base)
+        for p in rng.choice(n, max(1, round(n * rng.uniform(0.015, 0.04))), replace=False):
+            other[p] = f"c{k}_{p}"
+        texts += [(2 * k + 1, " ".join(base), "en", "a"), (2 * k + 2, " ".join(other), "en", "b")]
+    linked = sum(100 * len(a & b) >= 75 * len(a | b) for a, b in ((shingles(texts[i][1]), shingles(texts[i + 1][1])) for i in range(0, len(texts), 2)))
+    assert 100 < linked < 390
+    check_groups(near_dedup.near_groups(table(spark, texts, extra=False)), texts)
+
+
 def test_common_counts():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 30))).astype(np.uint64) for _ in range(12)]

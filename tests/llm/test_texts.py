@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,6 +71,17 @@ def test_codec_rows(spark):
     assert bpe_codec.encode(table(spark).limit(0), PATH).count() == 0
 
 
+def test_joins_widen_until_they_agree(monkeypatch):
+    """Places at which the encodings don't agree are noticed, and the result stays right."""
+    own = bpe_codec.Codec(PATH)
+    monkeypatch.setattr(bpe_codec, "_AGREE", regex.compile(r"(?<=\S)(?=\S)"))
+    monkeypatch.setattr(bpe_codec, "_LAST", regex.compile(r"(?r)(?<=\S)(?=\S)"))
+    monkeypatch.setattr(bpe_codec, "LEAST", 16)
+    monkeypatch.setattr(bpe_codec, "MEAN_BITS", 4)
+    text = "Understanding incomprehensibilities, they're internationalisation's counterrevolutionaries; 1234567 don't " * 6
+    assert bpe_codec.OUTPUTS["ids"][1](own.pieces(text)) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_chunks_are_shared():
     body = "".join(f"sentence number {i} of the shared body. " for i in range(400)).encode()
     one, two = (x + body for x in (b"", b"a different beginning, "))

@@ -2,9 +2,10 @@
 
 A text is cut where a rolling hash of its last WINDOW bytes says so, so passages that documents share give the same
 chunks. Each worker encodes a chunk once and keeps the result. Around every chunk join the encoding may differ from
-that of the whole text; there the text between the nearest places at which both agree is encoded again. Those places
-are where white space follows another character: no piece of the tokenizer's pattern reaches over such a place, so the
-encoding left of it never depends on what is right of it. A chunk without such a place joins its neighbours whole.
+that of the whole text; there the text between the nearest places at which both should agree is encoded again, and the
+encoding of a span that reaches one stretch further on either side tells whether they do: if not, the span is widened
+to all of the text so far. The places are where white space follows another character; a chunk without such a place joins
+its neighbours whole.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -64,6 +66,20 @@ class Piece(NamedTuple):
     decoded: bytes
 
 
+class Chunk(NamedTuple):
+    """A chunk's text before its first place of agreement, between the places (and encoded) and after the last; the
+    first and last stretch between two places, and their ids."""
+
+    head: str
+    middle: str
+    piece: Piece
+    tail: str
+    left: str
+    right: str
+    left_ids: list[int]
+    right_ids: list[int]
+
+
 _AGREE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\r\n])")
 _LAST = regex.compile("(?r)" + _AGREE.pattern)
 
@@ -88,7 +104,7 @@ class Codec:
         self.bytes, self.digits = [b""] * top, [str(i) for i in range(top)]
         for token, i in [*vocab.items(), *((k.encode(), v) for k, v in self.special.items())]:
             self.bytes[i] = token
-        self.chunks: dict[str, tuple[str, Piece, str]] = {}
+        self.chunks: dict[str, Chunk] = {}
         self.held = 0
 
     def decode(self, ids) -> bytes:
@@ -98,41 +114,58 @@ class Codec:
         ids = self.encode_plain(text)
         return Piece(len(ids), ",".join(map(self.digits.__getitem__, ids)), self.decode(ids))
 
-    def chunk(self, text: str) -> tuple[str, Piece, str] | None:
-        """What comes before the chunk's first place of agreement, the encoded middle, what comes after the last."""
+    def chunk(self, text: str) -> Chunk | None:
+        """The parts of a chunk; None if it has no place of agreement."""
         if (found := self.chunks.get(text)) is not None:
             return found
         first = _AGREE.search(text)
         if not first:
             return None
         a, b = first.start(), _LAST.search(text).start()
+        middle = text[a:b]
+        ends = [m.start() for m in islice(_AGREE.finditer(middle), 1)]
+        left, right = middle[: ends[0]] if ends else middle, middle[m.start() :] if (m := _LAST.search(middle)) else middle
         if self.held + len(text) > KEPT:
             self.forget()
         self.held += len(text)
-        found = self.chunks[text] = (text[:a], self.piece(text[a:b]), text[b:])
+        found = self.chunks[text] = Chunk(text[:a], middle, self.piece(middle), text[b:], left, right, self.encode_plain(left), self.encode_plain(right))
         return found
 
+    def agree(self, before: Chunk | None, join: str, after: Chunk | None) -> bool:
+        """Whether encoding a stretch more on either side of join gives what the parts give."""
+        left, left_ids = (before.right, before.right_ids) if before else ("", [])
+        right, right_ids = (after.left, after.left_ids) if after else ("", [])
+        return self.encode_plain(left + join + right) == left_ids + (self.encode_plain(join) if join else []) + right_ids
+
     def forget(self) -> None:
         self.chunks.clear()
         self.held = 0
 
     def plain(self, text: str) -> list[Piece]:
         """The pieces of a text without special tokens."""
-        data, begin, carry, out = text.encode(), 0, "", []
-        for end in cuts(data):
-            part = data[begin:end].decode()
-            begin = end
-            if (found := self.chunk(part)) is None:
-                carry += part
-                continue
-            join = carry + found[0]
-            if join:
-                out.append(self.piece(join))
-            if found[1].n:
-                out.append(found[1])
-            carry = found[2]
-        if carry:
-            out.append(self.piece(carry))
+        data, begin, carry, before = text.encode(), 0, "", None
+        out: list[Piece] = []
+        parts: list[str] = []  # the text of each piece
+        for end in [*cuts(data), 0]:
+            after = None
+            if end:
+                part = data[begin:end].decode()
+                begin = end
+                if (after := self.chunk(part)) is None:
+                    carry += part
+                    continue
+            join, carry = (carry + after.head, after.tail) if after else (carry, "")
+            if self.agree(before, join, after):
+                if join:
+                    out.append(self.piece(join))
+                    parts.append(join)
+                if after and after.middle:
+                    out.append(after.piece)
+                    parts.append(after.middle)
+            else:  # widened to all of the text so far
+                parts = ["".join(parts) + join + (after.middle if after else "")]
+                out = [self.piece(parts[0])]
+            before = after
         return out
 
     def pieces(self, text: str) -> list[Piece]:
