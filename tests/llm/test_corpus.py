@@ -260,3 +260,32 @@ def test_pipeline(spark):
     for r in mixed:
         times[r["doc_id"]] += 1
     assert max(times.values()) <= 3
+
+
+def test_pipeline_stages_take_anything(spark, tmp_path):
+    """Null, empty and repeated rows, clashing names, no n_chars, an empty table; every stage."""
+    import corpus_pipeline as p
+
+    texts = [*TEXTS, *((40 + i, f"shared line\nown text {i} of some length", "en", f"s{i}") for i in range(9)), (60, "shared line\nmore", "en", None)]
+    spark.createDataFrame([(1, 1), (8, 1), (11, 0), (None, 0), (12, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(p.STAGES)
+    wide = table(spark, texts)
+    for docs in (wide, wide.drop("n_chars"), wide.limit(0)):
+        many = docs.count()
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            assert out.columns == (docs.columns if name != "bpe_codec" else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            assert many or not got
+            if name in ("line_dedup", "bpe_codec"):
+                assert len(got) == many
+            if name in ("quality_classifier", "near_dedup"):
+                assert set(got) <= set(docs.collect())
+    lines = {(r["doc_id"], r["source"]): r for r in stages["line_dedup"](spark, wide, str(tmp_path)).collect()}
+    assert lines[40, "s0"]["text"] == "shared line\nown text 0 of some length" and lines[60, None]["text"] == "more" and lines[60, None]["n_chars"] == 4
+    assert lines[44, "s4"]["score"] == "y" and lines[44, "s4"]["n_removed"] == 7
+    near = stages["near_dedup"](spark, wide, str(tmp_path)).collect()
+    component = groups(texts)
+    assert sorted(str(r["doc_id"]) for r in near) == sorted(str(i) for i, *_ in texts if i is None or component[i] == i)
+    taken = stages["mixing"](spark, wide, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in taken if not words(r["text"])} == {3, 4, 5}
