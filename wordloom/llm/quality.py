@@ -103,7 +103,7 @@ def _blocks(own: DataFrame, most: int) -> dict[tuple[int, int], list[bytes]]:
             yield pa.record_batch([pa.array([x[0] for x in found], batch["id"].type), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.binary())], ["id", "y", "k", "block"])
 
     kind = own.schema["id"].dataType.simpleString()
-    each = arrow_map(own.select("id", F.col("y").cast("int").alias("y"), "text"), run, f"id {kind}, y int, k int, block binary").withColumn("half", _half("id"))
+    each = cut(arrow_map(own.select("id", F.col("y").cast("int").alias("y"), "text"), run, f"id {kind}, y int, k int, block binary").withColumn("half", _half("id")))
     out = {}
     for y in (0, 1):
         for half in (0, 1):
