@@ -36,7 +36,7 @@ def test_lemma_levels(spark):
     w = words(spark, ("trembling", 1, 0), ("tremble", 2, 0), ("untrembling", 1, 0), ("importantly", 1, 0), ("important", 3, 1), ("darkness", 1, 0), ("dark", 5, 1), ("baker", 1, 0), ("bake", 4, 0), ("taller", 1, 0), ("tall", 2, 1), ("hatter", 1, 0), ("hat", 9, 0), ("hatt", 1, 0), ("illegal", 1, 1), ("legal", 5, 1), ("import", 5, 0), ("port", 9, 0))
     close = {"hatter": [1, 0], "hat": [1, 0], "illegal": [0, 1], "legal": [0, 1], "import": [1, 0], "port": [0, 1], "baker": [0, 1], "bake": [1, 0], "hatt": [0, 1]}
     v = spark.createDataFrame([(k, [float(x) for x in y]) for k, y in close.items()], "word string, vector array<float>")
-    found = {n: dict(rows(lemma.roots(w, lemma.steps(w, n, v)))) for n in (1, 2, 3)}
+    found = {n: dict(rows(lemma.roots(w, lemma.two_steps(lemma.steps(w, n, v))))) for n in (1, 2, 3)}
     assert found[1]["trembling"] == "tremble" and found[1]["taller"] == "tall" and found[1]["importantly"] == "importantly" and found[1]["baker"] == "baker"
     assert found[2]["importantly"] == "important" and found[2]["darkness"] == "dark" and found[2]["baker"] == "baker" and found[2]["untrembling"] == "untrembling"
     assert found[3]["untrembling"] == "tremble" and found[3]["illegal"] == "legal" and found[3]["import"] == "import" and found[3]["hatter"] == "hat" and found[3]["baker"] == "baker"
@@ -45,7 +45,7 @@ def test_lemma_levels(spark):
 def test_lemma_cycle_ends(spark):
     w = words(spark, ("a", 1, 0), ("b", 1, 0))
     step = spark.createDataFrame([("a", "b"), ("b", "a")], "word string, next string")
-    assert rows(lemma.roots(w, step)) == [("a", "b"), ("b", "a")]
+    assert rows(lemma.roots(w, lemma.two_steps(step))) == [("a", "b"), ("b", "a")]
 
 
 def test_derivations(spark):

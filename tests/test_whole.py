@@ -1,9 +1,13 @@
 """Queries that take every row, against plain versions."""
 
+import difflib
 import hashlib
+import html
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 
 from wordloom import queries
@@ -38,7 +42,7 @@ def test_sentence_examples_of_all_books_and_tokens(spark):
             for t in TOKEN.findall(sentence.lower()):
                 counts[d["source"], t] += 1
                 examples.setdefault((d["source"], t), (sentence.strip(), t))
-    rows = queries.QUERIES["sentence_examples_all"](spark, SF).collect()
+    rows = queries.QUERIES["sentence_examples"](spark, SF).collect()
     assert len(rows) == len(counts) and {(r["book"], r["token"]): r["count"] for r in rows} == counts
     assert {(r["book"], r["token"]): r["example"] for r in rows} == {k: snippet(*v) for k, v in examples.items()}
     assert any("…" in r["example"] for r in rows)
@@ -46,11 +50,11 @@ def test_sentence_examples_of_all_books_and_tokens(spark):
 
 def test_segments_and_headers_of_all_documents(spark):
     ids = [d["doc_id"] for d in documents()]
-    for name in ("segments", "header_fields_all", "marked_body_all"):
+    for name in ("segments", "header_fields", "marked_body"):
         assert sorted(r["doc_id"] for r in queries.QUERIES[name](spark, SF).collect()) == ids
     plain = {d["doc_id"]: hashlib.sha256(d["text"].encode()).hexdigest() for d in documents() if d["doc_id"] % 3}
-    assert {r["doc_id"]: r["body_sha256"] for r in queries.QUERIES["marked_body_all"](spark, SF).collect() if r["doc_id"] % 3} == plain
-    assert all(r["title"] is r["author"] is r["source_id"] is r["year"] is None for r in queries.QUERIES["header_fields_all"](spark, SF).collect() if r["doc_id"] % 3)
+    assert {r["doc_id"]: r["body_sha256"] for r in queries.QUERIES["marked_body"](spark, SF).collect() if r["doc_id"] % 3} == plain
+    assert all(r["title"] is r["author"] is r["source_id"] is r["year"] is None for r in queries.QUERIES["header_fields"](spark, SF).collect() if r["doc_id"] % 3)
 
 
 def plain_steps(words, vectors):
@@ -98,10 +102,124 @@ def test_level_3_steps(spark):
     assert found != dict(lemma.steps(table, 3, close).collect())
 
 
-def test_level_queries_have_level_3(spark, monkeypatch):
-    monkeypatch.setattr(P, "level_candidates", lambda spark, sf_dir, level: spark.createDataFrame([("b", level)], "book string, level int"))
-    assert sorted(r["level"] for r in P.candidates_levels_0_to_3(spark, SF).collect()) == [0, 1, 2, 3]
-    assert sorted(r["level"] for r in P.rollup_levels(spark, SF).filter("level IS NOT NULL").collect()) == [0, 1, 2, 3]
+def dictionary(spark):
+    return {r["word"]: r.asDict() for r in S.dictionary(spark, SF).collect()}
+
+
+def plain_root(word, step, most=6):
+    seen = [word]
+    while len(seen) <= most and step.get(seen[-1]) is not None and step[seen[-1]] not in seen:
+        seen.append(step[seen[-1]])
+    return seen[-1]
+
+
+def test_lemma_level3_on_the_whole_table(spark):
+    table = S.words_table(spark, SF)
+    words = {w: r for w, r in dictionary(spark).items() if r["alpha_only"]}
+    vectors = {r["word"]: r["vector"] for r in S.word_vectors(spark, SF, table).collect()}
+    step = plain_steps(words, vectors)
+    expected = {w: plain_root(w, step) for w in words}
+    got = {r["word"]: r["root"] for r in queries.QUERIES["lemma_level3"](spark, SF).collect()}
+    assert got == {w: r for w, r in expected.items() if w != r} and got
+
+
+def test_candidates_of_all_levels(spark):
+    """All four levels against a plain version, with a bound on frequency that keeps rows of the small table."""
+    most = 1000.0
+    table, words = S.words_table(spark, SF), dictionary(spark)
+    counts = [(r["book"], r["token"], r["count"]) for r in S.book_counts(spark, SF).collect()]
+    expected = {}
+    for level in range(4):
+        roots = {}
+        if level:
+            more = (S.word_vectors(spark, SF, table), S.derivations(table)) if level == 3 else ()
+            roots = {r["word"]: r["root"] for r in S.lemmas(table, level, *more)[0].collect()}
+        members = Counter(roots.values())
+        family = Counter()
+        for w, root in roots.items():
+            family[root] += words[w]["pm_lc"] or 0.0
+        group = {}
+        for book, token, n in counts:
+            if token in words and words[token]["alpha_only"]:
+                group.setdefault((book, roots.get(token, token)), []).append(n)
+        for (book, word), found in group.items():
+            r = words[word]
+            pm = family[word] if members[word] >= 2 else r["pm_lc"]
+            if not r["in_wiktionary"] or r["is_offensive"] or r["cap_ratio"] > 0.5 or r["length"] < 3 or pm > most:
+                continue
+            rarity = 5.0 if pm <= 0 else max(0.0, min(5.0, -math.log10(pm)))
+            origin = 2.0 if r["etymology_lang"] and r["etymology_lang"] not in scoring.COMMON_ORIGINS else 0.0
+            look = 0.5 * len(r["rare_letters"] or "") + 0.5 * (6 <= r["length"] <= 13) + 0.5 * (3 <= r["syllables"] <= 5)
+            expected[book, level, word] = (sum(found), len(found), rarity + 0.6 * math.log1p(sum(found)) + 1.5 * origin + 0.5 * look)
+    got = {(r["book"], r["level"], r["word"]): (r["in_book"], r["n_forms"], r["score"], r["rank"]) for r in P.level_candidates(spark, SF, 0, 1, 2, 3, max_pm=most).collect()}
+    assert set(got) == set(expected) and {level for _, level, _ in got} == {0, 1, 2, 3}
+    for key, (n, forms, score) in expected.items():
+        assert got[key][:2] == (n, forms) and abs(got[key][2] - score) < 1e-6
+    by = {}
+    for (book, level, word), (_, _, score, rank) in got.items():
+        by.setdefault((book, level), []).append((-score, word, rank))
+    assert all([x[2] for x in sorted(rows)] == list(range(1, len(rows) + 1)) for rows in by.values())
+
+
+def test_html_text_of_all_pages(spark):
+    pages = {r["page_id"]: r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()}
+
+    def visible(page):
+        page = re.sub(r"(?is)<(script|style|head|title)\b.*?</\1\s*>", "", re.sub(r"(?s)<!--.*?-->", "", page))
+        page = re.sub(r"(?i)</?(p|div|br|li|tr|h[1-6]|blockquote|section|article|td|th)\b[^>]*>", " ", page)
+        return " ".join(html.unescape(re.sub(r"<[^>]*>", "", page)).split())
+
+    got = {r["page_id"]: " ".join(r["text"].split()) for r in queries.QUERIES["html_text"](spark, SF).collect()}
+    assert got == {i: visible(p) for i, p in pages.items()}
+
+
+def test_segments_of_all_documents(spark):
+    got = {r["doc_id"]: r for r in queries.QUERIES["segments"](spark, SF).collect()}
+    for d in documents():
+        r, n = got[d["doc_id"]], len(d["text"])
+        if d["doc_id"] % 3 == 0:  # header, credits, contents, text, notes, licence
+            assert r["n_segments"] == 6 and r["kept_chars"] == n and r["stripped_chars"] > 200
+        else:
+            assert (r["n_segments"], r["kept_chars"], r["stripped_chars"]) == ((1, n, 0) if d["text"].strip() else (0, 0, 0))
+
+
+def test_text_diff_of_all_turns(spark):
+    turns = {(r["conv_id"], r["turn"]): (r["text"] or "").split() for r in pq.read_table(f"{SF}/conversations.parquet").to_pylist()}
+    got = {(r["conv_id"], r["turn"]): (r["ratio"], r["n_ops"]) for r in queries.QUERIES["text_diff"](spark, SF).collect()}
+    expected = {}
+    for (c, t), a in turns.items():
+        if (c, t + 1) in turns:
+            m = difflib.SequenceMatcher(None, a, turns[c, t + 1], autojunk=False)
+            expected[c, t] = (round(m.ratio(), 6), len(m.get_opcodes()))
+    assert got == expected
+
+
+def test_varied_choice_and_clusters_of_all_vectors(spark):
+    rows = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
+    groups = {}
+    for r in sorted(rows, key=lambda r: r["vec_id"]):
+        groups.setdefault(r["label"], []).append((r["vec_id"], np.array(r["embedding"], np.float64)))
+    chosen = {}
+    for label, members in groups.items():
+        taken = []
+        for i, v in members:
+            if len(taken) < 20 and all(float(v @ u) < 0.55 for _, u in taken):
+                taken.append((i, v))
+        chosen[label] = {i for i, _ in taken}
+    got = {}
+    for r in queries.QUERIES["shadow_pick"](spark, SF).collect():
+        got.setdefault(r["label"], set()).add(r["id"])
+    assert got == chosen
+    clusters = {}
+    for r in queries.QUERIES["spherical_kmeans"](spark, SF).collect():
+        clusters.setdefault(r["label"], {})[r["id"]] = r["cluster"]
+    for label, members in groups.items():
+        own = clusters[label]
+        assert set(own) == {i for i, _ in members}
+        centre = {c: sum(v for i, v in members if own[i] == c) for c in set(own.values())}
+        centre = {c: v / np.linalg.norm(v) for c, v in centre.items()}
+        for i, v in members:  # at rest: each vector is with its nearest centre
+            assert float(v @ centre[own[i]]) >= max(float(v @ c) for c in centre.values()) - 1e-3
 
 
 def test_excluded_words_of_each_book(spark):
@@ -109,8 +227,3 @@ def test_excluded_words_of_each_book(spark):
     table = spark.createDataFrame(reasons, "book string, token string, count long, pm double, why string")
     got = sorted((r["book"], r["token"]) for r in scoring.excluded_words(table, 2).collect())
     assert got == [("a", "t0"), ("a", "t1"), ("b", "t0"), ("b", "t1")]
-
-
-def test_page_and_export_take_400():
-    for name in ("pos_sections_page", "plain_list_export_page"):
-        assert "rank <= 400" in queries.ORACLES[name] and name in queries.QUERIES

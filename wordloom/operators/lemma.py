@@ -104,14 +104,24 @@ def steps(words: DataFrame, level: int, vectors: DataFrame | None = None, deriva
     return out.groupBy("word").agg(F.min_by("next", "o").alias("next"))
 
 
-def roots(words: DataFrame, step: DataFrame, most: int = MAX_STEPS) -> DataFrame:
-    """word, root (itself if no step applies): steps followed at most `most` times; a cycle ends before it repeats."""
-    now = words.select("word", F.col("word").alias("root"), F.array("word").alias("seen"))
-    moves = step.select(F.col("word").alias("root"), "next")
-    for _ in range(most):
-        now = now.join(moves, "root", "left").withColumn("go", F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next")))
-        now = now.select("word", F.when(F.col("go"), F.col("next")).otherwise(F.col("root")).alias("root"), F.when(F.col("go"), F.array_append("seen", F.col("next"))).otherwise(F.col("seen")).alias("seen"))
-    return now.select("word", "root")
+def two_steps(step: DataFrame) -> DataFrame:
+    """word, first, second: the step of each word and the one after it (null if there is none)."""
+    after = step.select(F.col("word").alias("first"), F.col("next").alias("second"))
+    return step.withColumnRenamed("next", "first").join(after, "first", "left").select("word", "first", "second")
+
+
+def roots(words: DataFrame, two: DataFrame, most: int = MAX_STEPS) -> DataFrame:
+    """word, root (itself if no step applies): steps followed at most `most` times, two at a time; a cycle ends before it
+    repeats. two: the table of two_steps(), written if it is dear."""
+    path = words.select("word", F.col("word").alias("_0"))
+    for k in range(0, most, 2):
+        path = path.join(two.select(F.col("word").alias(f"_{k}"), F.col("first").alias(f"_{k + 1}"), F.col("second").alias(f"_{k + 2}")), f"_{k}", "left")
+    way = [F.col(f"_{k}") for k in range(most + 1)]
+    root, open_ = way[0], F.lit(True)
+    for k in range(1, most + 1):  # the way goes on as long as there is a step to a word that isn't on it yet
+        open_ = open_ & way[k].isNotNull() & ~F.coalesce(way[k].isin(*way[:k]), F.lit(False))
+        root = F.when(open_, way[k]).otherwise(root)
+    return path.select("word", root.alias("root"))
 
 
 def families(words: DataFrame, rooted: DataFrame) -> DataFrame:

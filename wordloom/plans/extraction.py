@@ -42,25 +42,15 @@ def segments(spark, sf_dir):
     return X.segment_totals(found, ["doc_id"])
 
 
-@query("SELECT doc_id, 'Book ' || doc_id AS title, 'A. Writer' AS author, '12' AS source_id, 1999 AS year FROM documents WHERE doc_id % 3 = 0")
-def header_fields(spark, sf_dir):
-    return _books(spark, sf_dir).filter("doc_id % 3 = 0").select("doc_id", *[c.alias(k) for k, c in X.header_fields(F.col("text")).items()])
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Book ' || doc_id END AS title, CASE WHEN doc_id % 3 = 0 THEN 'A. Writer' END AS author, CASE WHEN doc_id % 3 = 0 THEN '12' END AS source_id, CASE WHEN doc_id % 3 = 0 THEN 1999 END AS year FROM documents")
-def header_fields_all(spark, sf_dir):
-    """header_fields of all documents; those without a header have nulls."""
+def header_fields(spark, sf_dir):
+    """The fields of all documents; those without a header have nulls."""
     return _books(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in X.header_fields(F.col("text")).items()])
 
 
-@query(r"SELECT doc_id, sha256(chr(10) || 'Produced by Someone' || chr(10) || chr(10) || 'CONTENTS' || chr(10) || chr(10) || 'Chapter 1' || chr(10) || 'Chapter 2' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Transcriber''s Notes: none' || chr(10)) AS body_sha256 FROM documents WHERE doc_id % 3 = 0")
-def marked_body(spark, sf_dir):
-    return _books(spark, sf_dir).filter("doc_id % 3 = 0").select("doc_id", F.sha2(X.strip_marks(F.col("text")), 256).alias("body_sha256"))
-
-
 @query(r"SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Produced by Someone' || chr(10) || chr(10) || 'CONTENTS' || chr(10) || chr(10) || 'Chapter 1' || chr(10) || 'Chapter 2' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Transcriber''s Notes: none' || chr(10) ELSE text END) AS body_sha256 FROM documents")
-def marked_body_all(spark, sf_dir):
-    """marked_body of all documents; those without marks stay as they are."""
+def marked_body(spark, sf_dir):
+    """What stands between the marks; documents without marks stay as they are."""
     return _books(spark, sf_dir).select("doc_id", F.sha2(X.strip_marks(F.col("text")), 256).alias("body_sha256"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators import frequency, lemma
+from wordloom.sources.written import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,17 +23,23 @@ def book_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.token_counts(docs, ["book"])
 
 
+def counts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book_counts, written once."""
+    return written(book_counts(spark, sf_dir))
+
+
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token, count, count_lc, lang, toxic (the least label of the labelled documents) for each token and language."""
+    """token, count, count_lc, lang, toxic (the least label of the labelled documents) for each token and language;
+    written once, so that totals don't read the documents again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
     each = labelled.select("lang", "toxic", F.explode(T.surface_tokens(F.col("text"))).alias("t"))
-    return each.groupBy(F.lower("t").alias("token"), "lang").agg(F.count("*").alias("count"), F.sum((F.col("t") == F.lower("t")).cast("long")).alias("count_lc"), F.min("toxic").alias("toxic"))
+    return written(each.groupBy(F.lower("t").alias("token"), "lang").agg(F.count("*").alias("count"), F.sum((F.col("t") == F.lower("t")).cast("long")).alias("count_lc"), F.min("toxic").alias("toxic")))
 
 
-def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token, count, count_lc, cap_ratio, pm, pm_lc of all documents."""
-    merged = surface(spark, sf_dir).groupBy("token").agg(F.sum("count").alias("count"), F.sum("count_lc").alias("count_lc"))
+def frequencies(by: DataFrame) -> DataFrame:
+    """token, count, count_lc, cap_ratio, pm, pm_lc of all documents. by: surface()."""
+    merged = by.groupBy("token").agg(F.sum("count").alias("count"), F.sum("count_lc").alias("count_lc"))
     return frequency.per_million(merged.withColumn("cap_ratio", (F.col("count") - F.col("count_lc")) / F.col("count")))
 
 
@@ -59,10 +66,16 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def words_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary, written once, for plans that join it several times."""
+    return written(dictionary(spark, sf_dir))
+
+
 def lemmas(words: DataFrame, level: int, vectors: DataFrame | None = None, derivations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(word, root) of the words of letters at a level, and their families."""
     letters = words.filter("alpha_only")
-    rooted = lemma.roots(letters, lemma.steps(letters, level, vectors, derivations))
+    two = written(lemma.two_steps(written(lemma.steps(letters, level, vectors, derivations))))
+    rooted = written(lemma.roots(letters, two))
     return rooted, lemma.families(letters, rooted)
 
 
@@ -70,7 +83,7 @@ def word_vectors(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFram
     """word, vector: the embeddings in order of vec_id for the most frequent words of letters."""
     vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("rank"), F.col("embedding").alias("vector"))
     ranked = frequency.positional_rank(words.filter("alpha_only").select("word", "count"), "count", "word")
-    return ranked.join(vectors, "rank").select("word", "vector")
+    return written(ranked.join(vectors, "rank").select("word", "vector"))
 
 
 def derivations(words: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def token_histogram(spark, sf_dir):
 
 @query(with_(TOKENS, SURFACE) + "SELECT c.book, sum(n)::BIGINT AS n_tokens, count(*) AS n_types, count(f.token) AS n_matched FROM cnt c LEFT JOIN frq f ON c.token = f.token GROUP BY 1")
 def book_totals(spark, sf_dir):
-    known = S.frequencies(spark, sf_dir).select("token", F.lit(1).alias("m"))
+    known = S.frequencies(S.surface(spark, sf_dir)).select("token", F.lit(1).alias("m"))
     joined = S.book_counts(spark, sf_dir).join(known, "token", "left")
     return joined.groupBy("book").agg(F.sum("count").alias("n_tokens"), F.count("*").alias("n_types"), F.count("m").alias("n_matched"))
 
@@ -104,19 +104,16 @@ def content_hash_dups(spark, sf_dir):
 @query(
     r"""WITH p AS (SELECT doc_id, source AS book, string_split(regexp_replace(replace(regexp_replace(text, '\s+', ' ', 'g'), '’', ''''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents),
 s AS (SELECT doc_id, book, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS i FROM p),
-t AS (SELECT *, unnest(regexp_extract_all(lower(sentence), '[a-z]+(?:[''’-][a-z]+)*')) AS token FROM s)
-SELECT book, token, count(*) AS count, arg_min(trim(sentence), (doc_id, i)) AS example FROM t WHERE book IN ('src1', 'src2', 'src3') GROUP BY ALL HAVING max(length(sentence)) <= 280"""
+t AS (SELECT *, unnest(regexp_extract_all(lower(sentence), '[a-z]+(?:[''’-][a-z]+)*')) AS token FROM s),
+f AS (SELECT book, token, count(*) AS n, trim(arg_min(sentence, (doc_id, i))) AS x FROM t GROUP BY ALL),
+m AS (SELECT *, regexp_extract(' ' || x || ' ', '(?i)[^a-z]' || token || '[^a-z]') AS hit FROM f),
+w AS (SELECT *, CASE WHEN hit = '' THEN -1 ELSE strpos(' ' || x || ' ', hit) - 1 END AS start, greatest(0, (280 - length(token)) // 2) AS half FROM m),
+h AS (SELECT *, least(length(x), greatest(start - half, 0) + 280) AS high FROM w)
+SELECT book, token, n AS count, CASE WHEN length(x) <= 280 THEN x WHEN start < 0 THEN rtrim(left(x, 280)) || '…'
+  ELSE CASE WHEN high > 280 THEN '…' ELSE '' END || trim(substr(x, greatest(0, high - 280) + 1, high - greatest(0, high - 280))) || CASE WHEN high < length(x) THEN '…' ELSE '' END END AS example FROM h"""
 )
 def sentence_examples(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents").filter(F.col("source").isin("src1", "src2", "src3"))
-    long = docs.select(F.col("source").alias("book"), F.explode(T.sentences(T.normalise(F.col("text")))).alias("s")).filter("length(s) > 280")
-    in_long = long.select("book", F.explode(F.array_distinct(T.tokens(F.col("s")))).alias("token")).distinct()
-    return frequency.histogram(docs).join(in_long, ["book", "token"], "left_anti")
-
-
-@query()
-def sentence_examples_all(spark, sf_dir):
-    """sentence_examples of all books and tokens; a long sentence is cut around the token."""
+    """Every token of every book, with its first sentence; a long one is cut around the token."""
     return frequency.histogram(S.table(spark, sf_dir, "documents"))
 
 
@@ -128,7 +125,7 @@ def surface_freq(spark, sf_dir):
 
 @query(with_(SURFACE) + "SELECT token, c AS count, round(pm, 6) AS pm, round(pm * lc / c, 6) AS pm_lc, row_number() OVER (ORDER BY c DESC, token) AS rank FROM wfr")
 def freq_rank(spark, sf_dir):
-    freq = frequency.positional_rank(S.frequencies(spark, sf_dir))
+    freq = frequency.positional_rank(S.frequencies(S.surface(spark, sf_dir)))
     return freq.select("token", "count", F.round("pm", 6).alias("pm"), F.round("pm_lc", 6).alias("pm_lc"), "rank")
 
 
@@ -140,7 +137,7 @@ SELECT w.token, round(pm, 6) AS pm, round(fic_pm, 6) AS fic_pm, round((fic_pm +
 def fiction_weirdness(spark, sf_dir):
     by = S.surface(spark, sf_dir)
     special = by.filter("lang = 'en'").groupBy("token").agg(F.sum("count").alias("count"), F.sum("count_lc").alias("count_lc"))
-    out = frequency.weirdness(S.frequencies(spark, sf_dir), frequency.per_million(special))
+    out = frequency.weirdness(S.frequencies(by), frequency.per_million(special))
     return out.select("token", *[F.round(c, 6).alias(c) for c in ("pm", "fic_pm", "weirdness")])
 
 
@@ -154,7 +151,7 @@ CASE WHEN regexp_matches(token, '^[a-z]+$') THEN list_sum(list_transform(string_
 list_aggregate(list_sort(list_distinct(regexp_extract_all(token, '[jkqxz]'))), 'string_agg', '') AS rare_letters FROM frq"""
 )
 def word_shape(spark, sf_dir):
-    return S.frequencies(spark, sf_dir).select(F.col("token").alias("word")).withColumns(T.word_shape(F.col("word")))
+    return S.frequencies(S.surface(spark, sf_dir)).select(F.col("token").alias("word")).withColumns(T.word_shape(F.col("word")))
 
 
 @query(with_(WORDS) + "SELECT word, c AS count, round(cap, 9) AS cap_ratio, round(pm_lc, 6) AS pm_lc, ety AS etymology_lang, wikt AS in_wiktionary, off AS is_offensive FROM wrd")
@@ -172,7 +169,7 @@ def dictionary_stats(spark, sf_dir):
 
 def _lemma_query(level):
     def run(spark, sf_dir):
-        rooted, _ = S.lemmas(S.dictionary(spark, sf_dir), level)
+        rooted, _ = S.lemmas(S.words_table(spark, sf_dir), level)
         return rooted.filter("word <> root")
 
     run.__name__ = f"lemma_level{level}"
@@ -184,22 +181,27 @@ lemma_level1, lemma_level2 = _lemma_query(1), _lemma_query(2)
 
 @query()
 def lemma_level3(spark, sf_dir):
-    words = S.dictionary(spark, sf_dir)
+    words = S.words_table(spark, sf_dir)
     rooted, _ = S.lemmas(words, 3, S.word_vectors(spark, sf_dir, words), S.derivations(words))
     return rooted.filter("word <> root")
 
 
 @query(with_(WORDS, lemma_sql(2)) + "SELECT root, round(pm, 6) AS pm, round(pm_lc, 6) AS pm_lc, n AS n_members FROM fam2")
 def family_freq(spark, sf_dir):
-    _, family = S.lemmas(S.dictionary(spark, sf_dir), 2)
+    _, family = S.lemmas(S.words_table(spark, sf_dir), 2)
     return family.select("root", F.round("pm", 6).alias("pm"), F.round("pm_lc", 6).alias("pm_lc"), "n_members")
 
 
-def level_candidates(spark, sf_dir, level, max_pm=scoring.MAX_PM):
-    words = S.dictionary(spark, sf_dir)
-    more = (S.word_vectors(spark, sf_dir, words), S.derivations(words)) if level == 3 else ()
-    rooted, family = S.lemmas(words, level, *more) if level else (None, None)
-    return scoring.candidates(S.book_counts(spark, sf_dir), words, rooted, family, level, max_pm)
+def level_candidates(spark, sf_dir, *levels, max_pm=scoring.MAX_PM):
+    """The candidates of all books at some levels; the dictionary and the books' counts are made once for all."""
+    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    out = None
+    for level in levels:
+        more = (S.word_vectors(spark, sf_dir, words), S.derivations(words)) if level == 3 else ()
+        rooted, family = S.lemmas(words, level, *more) if level else (None, None)
+        own = scoring.candidates(counts, words, rooted, family, level, max_pm)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 @query(with_(TOKENS, WORDS, candidates_sql(0)) + "SELECT * FROM can0 WHERE rank <= 30")
@@ -212,26 +214,38 @@ def flagship(spark, sf_dir, max_pm=1000.0):
     return scoring.candidates(S.book_counts(spark, sf_dir), S.dictionary(spark, sf_dir), max_pm=max_pm).filter("rank <= 30")
 
 
-@query(with_(TOKENS, WORDS, lemma_sql(1), lemma_sql(2), candidates_sql(0), candidates_sql(1), candidates_sql(2)) + "SELECT * FROM can0 UNION ALL SELECT * FROM can1 UNION ALL SELECT * FROM can2")
-def candidates_all_levels(spark, sf_dir):
-    return level_candidates(spark, sf_dir, 0).unionByName(level_candidates(spark, sf_dir, 1)).unionByName(level_candidates(spark, sf_dir, 2))
+_LEVELS = (TOKENS, WORDS, lemma_sql(1), lemma_sql(2), candidates_sql(0), candidates_sql(1), candidates_sql(2))
+_UNION = "SELECT * FROM can0 UNION ALL SELECT * FROM can1 UNION ALL SELECT * FROM can2"
 
 
-@query(with_(TOKENS, WORDS, candidates_sql(0)) + "SELECT book, level, count(*) AS n FROM can0 GROUP BY ROLLUP (book, level)")
-def rollup_candidates(spark, sf_dir):
-    return level_candidates(spark, sf_dir, 0).rollup("book", "level").agg(F.count("*").alias("n"))
+@query(with_(*_LEVELS) + _UNION)
+def candidates_levels_0_to_2(spark, sf_dir):
+    """The levels that SQL can express; candidates_all_levels has level 3 too."""
+    return level_candidates(spark, sf_dir, 0, 1, 2)
 
 
 @query()
-def candidates_levels_0_to_3(spark, sf_dir):
-    """candidates_all_levels with level 3, which SQL can't express."""
-    return candidates_all_levels(spark, sf_dir).unionByName(level_candidates(spark, sf_dir, 3))
+def candidates_all_levels(spark, sf_dir):
+    return level_candidates(spark, sf_dir, 0, 1, 2, 3)
+
+
+def rolled_up(kept):
+    """book, level, n: candidates of each book and level, of each book, and of all (0 if there are none)."""
+    by = kept.groupBy("book", "level").agg(F.count("*").alias("n"))
+    books = by.groupBy("book").agg(F.lit(None).cast("int").alias("level"), F.sum("n").alias("n"))
+    whole = by.agg(F.lit(None).cast("string").alias("book"), F.lit(None).cast("int").alias("level"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return by.unionByName(books).unionByName(whole)
+
+
+@query(with_(*_LEVELS) + f"SELECT book, level, count(*) AS n FROM ({_UNION}) GROUP BY ROLLUP (book, level)")
+def rollup_levels_0_to_2(spark, sf_dir):
+    return rolled_up(candidates_levels_0_to_2(spark, sf_dir))
 
 
 @query()
-def rollup_levels(spark, sf_dir):
-    """rollup_candidates of all four levels."""
-    return candidates_levels_0_to_3(spark, sf_dir).rollup("book", "level").agg(F.count("*").alias("n"))
+def rollup_candidates(spark, sf_dir):
+    """The totals of all four levels."""
+    return rolled_up(candidates_all_levels(spark, sf_dir))
 
 
 WHY = """why AS (SELECT c.book, c.token, c.n, w.pm_lc AS pm, CASE WHEN w.word IS NULL THEN 'nodict' WHEN NOT alpha THEN 'nonalpha' WHEN k.word IS NOT NULL THEN '' WHEN NOT wikt THEN 'nowikt' WHEN off THEN 'offensive'
@@ -239,7 +253,7 @@ WHY = """why AS (SELECT c.book, c.token, c.n, w.pm_lc AS pm, CASE WHEN w.word IS
 
 
 def _reasons(spark, sf_dir):
-    words, counts = S.dictionary(spark, sf_dir), S.book_counts(spark, sf_dir)
+    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
     return scoring.exclusion_reasons(counts, words, scoring.candidates(counts, words))
 
 
@@ -248,14 +262,8 @@ def exclusion_report(spark, sf_dir):
     return scoring.reason_counts(_reasons(spark, sf_dir))
 
 
-@query(with_(TOKENS, WORDS, candidates_sql(0), WHY) + "SELECT book, token, n AS count, round(pm, 6) AS pm, why FROM why WHERE why <> '' ORDER BY CASE WHEN coalesce(pm, 0) <= 0 THEN 1 ELSE 0 END, round(why.pm, 9) NULLS LAST, n DESC, book, token LIMIT 200")
-def excluded_words(spark, sf_dir):
-    first = scoring.excluded_words(_reasons(spark, sf_dir)).orderBy(*scoring.left_out_order(), "book", "token").limit(200)
-    return first.withColumn("pm", F.round("pm", 6))
-
-
 @query(with_(TOKENS, WORDS, candidates_sql(0), WHY) + "SELECT book, token, n AS count, round(pm, 6) AS pm, why FROM why WHERE why <> '' QUALIFY row_number() OVER (PARTITION BY book ORDER BY CASE WHEN coalesce(why.pm, 0) <= 0 THEN 1 ELSE 0 END, round(why.pm, 9) NULLS LAST, n DESC, token) <= 200")
-def excluded_words_by_book(spark, sf_dir):
+def excluded_words(spark, sf_dir):
     return scoring.excluded_words(_reasons(spark, sf_dir)).withColumn("pm", F.round("pm", 6))
 
 
@@ -276,7 +284,7 @@ def origin_tiers(spark, sf_dir):
 SELECT pos AS category, count(DISTINCT c.word) AS n FROM can0 c JOIN ps ON c.word = ps.word GROUP BY 1"""
 )
 def category_counts(spark, sf_dir):
-    words = S.dictionary(spark, sf_dir)
+    words = S.words_table(spark, sf_dir)
     kept = scoring.candidates(S.book_counts(spark, sf_dir), words).select("word").distinct()
     return S.word_pos(words).join(kept, "word", "left_semi").groupBy(F.col("pos").alias("category")).agg(F.countDistinct("word").alias("n"))
 
@@ -309,32 +317,27 @@ def pos_arranged(items, key: str, order: str, chunk: int = 20):
 
 @query(
     with_(TOKENS, WORDS, candidates_sql(0))
-    + """, ps AS (SELECT word, CASE WHEN rare IS NOT NULL THEN 'noun' WHEN ends_with(word, 'ing') OR ends_with(word, 'ed') THEN 'verb' WHEN ends_with(word, 'ly') THEN 'adv' WHEN regexp_matches(word, '(able|ible|ish|al|ous)$') THEN 'adj' WHEN length(word) <= 2 THEN 'prep' ELSE 'noun' END AS pos FROM wrd),
-j AS (SELECT c.book, c.word, c.rank, ps.pos FROM can0 c JOIN ps ON c.word = ps.word WHERE c.rank <= 200),
+    + f""", ps AS (SELECT word, CASE WHEN rare IS NOT NULL THEN 'noun' WHEN ends_with(word, 'ing') OR ends_with(word, 'ed') THEN 'verb' WHEN ends_with(word, 'ly') THEN 'adv' WHEN regexp_matches(word, '(able|ible|ish|al|ous)$') THEN 'adj' WHEN length(word) <= 2 THEN 'prep' ELSE 'noun' END AS pos FROM wrd),
+j AS (SELECT c.book, c.word, c.rank, ps.pos FROM can0 c JOIN ps ON c.word = ps.word WHERE c.rank <= {PAGE}),
 n AS (SELECT *, row_number() OVER (PARTITION BY book, CASE WHEN pos IN ('noun', 'verb', 'adj', 'adv') THEN pos END ORDER BY rank) AS rn, count(*) FILTER (pos NOT IN ('noun', 'verb', 'adj', 'adv')) OVER (PARTITION BY book) AS o FROM j),
 s AS (SELECT *, CASE WHEN pos IN ('noun', 'verb', 'adj', 'adv') THEN (rn - 1) // 20 ELSE 1073741824 END AS turn, CASE pos WHEN 'noun' THEN 1 WHEN 'verb' THEN 2 WHEN 'adj' THEN 3 WHEN 'adv' THEN 4 ELSE 9 END AS wh,
   CASE pos WHEN 'noun' THEN 'nouns' WHEN 'verb' THEN 'verbs' WHEN 'adj' THEN 'adjectives' WHEN 'adv' THEN 'adverbs' ELSE 'other (' || o || ')' END AS section FROM n)
 SELECT book, word, section, dense_rank() OVER (PARTITION BY book ORDER BY turn, wh) AS section_no, row_number() OVER (PARTITION BY book ORDER BY turn, wh, rn) AS place FROM s"""
 )
-def pos_sections(spark, sf_dir, most=200):
-    words = S.dictionary(spark, sf_dir)
+def pos_sections(spark, sf_dir, most=PAGE):
+    words = S.words_table(spark, sf_dir)
     kept = scoring.candidates(S.book_counts(spark, sf_dir), words).filter(F.col("rank") <= most).select("book", "word", "rank")
     return pos_arranged(kept.join(primary_pos(S.word_pos(words)), "word"), "book", "rank").select("book", "word", "section", "section_no", "place")
 
 
-@query(ORACLES["pos_sections"].replace("c.rank <= 200", f"c.rank <= {PAGE}"))
-def pos_sections_page(spark, sf_dir):
-    return pos_sections(spark, sf_dir, PAGE)
-
-
 @query(
     with_(TOKENS, WORDS, candidates_sql(0))
     + """, top AS (SELECT word FROM can0 WHERE book = 'src1' AND rank <= 100), o AS (SELECT c.token AS word, c.book, c.n, row_number() OVER (PARTITION BY c.token ORDER BY c.n DESC, c.book) AS k FROM cnt c JOIN top ON c.token = top.word WHERE c.book <> 'src1')
 SELECT word, book, n AS count FROM o WHERE k <= 20"""
 )
 def also_in(spark, sf_dir):
-    counts = S.book_counts(spark, sf_dir)
-    top = scoring.candidates(counts, S.dictionary(spark, sf_dir)).filter("book = 'src1' AND rank <= 100").select(F.col("word").alias("token"))
+    counts = S.counts_table(spark, sf_dir)
+    top = scoring.candidates(counts, S.words_table(spark, sf_dir)).filter("book = 'src1' AND rank <= 100").select(F.col("word").alias("token"))
     other = counts.filter("book <> 'src1'").join(top, "token", "left_semi")
     rank = F.row_number().over(W.partitionBy("token").orderBy(F.col("count").desc(), "book"))
     return other.withColumn("k", rank).filter("k <= 20").select(F.col("token").alias("word"), "book", "count")
@@ -345,7 +348,7 @@ def also_in(spark, sf_dir):
     + """SELECT root, word, round(pm, 6) AS pm, k AS place FROM (SELECT r.root, w.word, w.pm, row_number() OVER (PARTITION BY r.root ORDER BY w.pm DESC NULLS LAST, w.word) AS k FROM roo2 r JOIN wrd w ON r.word = w.word JOIN fam2 f ON f.root = r.root) WHERE k <= 15"""
 )
 def top_family(spark, sf_dir):
-    words = S.dictionary(spark, sf_dir)
+    words = S.words_table(spark, sf_dir)
     rooted, family = S.lemmas(words, 2)
     members = rooted.join(family.select("root"), "root", "left_semi").join(words.select("word", "pm"), "word")
     place = F.row_number().over(W.partitionBy("root").orderBy(F.col("pm").desc_nulls_last(), "word")).cast("long")
@@ -354,11 +357,11 @@ def top_family(spark, sf_dir):
 
 @query(
     with_(TOKENS, WORDS, lemma_sql(2), candidates_sql(2))
-    + """, m AS (SELECT c.book, coalesce(r.root, c.token) AS word, string_agg(c.token, '/' ORDER BY c.n DESC, c.token) AS forms, count(*) AS k FROM cnt c JOIN wrd w ON c.token = w.word AND w.alpha LEFT JOIN roo2 r ON r.word = c.token GROUP BY ALL)
-SELECT c.book, string_agg(CASE WHEN k > 1 THEN c.word || ' ' || forms ELSE c.word END, chr(10) ORDER BY rank) AS list FROM can2 c JOIN m ON c.book = m.book AND c.word = m.word WHERE rank <= 50 GROUP BY c.book"""
+    + f""", m AS (SELECT c.book, coalesce(r.root, c.token) AS word, string_agg(c.token, '/' ORDER BY c.n DESC, c.token) AS forms, count(*) AS k FROM cnt c JOIN wrd w ON c.token = w.word AND w.alpha LEFT JOIN roo2 r ON r.word = c.token GROUP BY ALL)
+SELECT c.book, string_agg(CASE WHEN k > 1 THEN c.word || ' ' || forms ELSE c.word END, chr(10) ORDER BY rank) AS list FROM can2 c JOIN m ON c.book = m.book AND c.word = m.word WHERE rank <= {PAGE} GROUP BY c.book"""
 )
-def plain_list_export(spark, sf_dir, most=50):
-    words, counts = S.dictionary(spark, sf_dir), S.book_counts(spark, sf_dir)
+def plain_list_export(spark, sf_dir, most=PAGE):
+    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
     rooted, family = S.lemmas(words, 2)
     top = scoring.candidates(counts, words, rooted, family, 2).filter(F.col("rank") <= most).select("book", "word", "rank")
     known = counts.join(rooted.select(F.col("word").alias("token"), F.col("root").alias("word")), "token")
@@ -368,19 +371,14 @@ def plain_list_export(spark, sf_dir, most=50):
     return lines.groupBy("book").agg(F.array_join(F.sort_array(F.collect_list(F.struct("rank", "line")))["line"], "\n").alias("list"))
 
 
-@query(ORACLES["plain_list_export"].replace("rank <= 50", f"rank <= {PAGE}"))
-def plain_list_export_page(spark, sf_dir):
-    return plain_list_export(spark, sf_dir, PAGE)
-
-
 @query(with_(TOKENS) + "SELECT DISTINCT token FROM tok WHERE book = 'src1' UNION SELECT DISTINCT token FROM tok WHERE book = 'src2'")
 def union_words(spark, sf_dir):
-    counts = S.book_counts(spark, sf_dir)
+    counts = S.counts_table(spark, sf_dir)
     return counts.filter("book = 'src1'").select("token").union(counts.filter("book = 'src2'").select("token")).distinct()
 
 
 @query(with_(TOKENS) + "SELECT token, n AS count, token IN (SELECT token FROM cnt WHERE book = 'src2') AS shared FROM cnt WHERE book = 'src1'")
 def semi_anti_join(spark, sf_dir):
-    counts = S.book_counts(spark, sf_dir)
+    counts = S.counts_table(spark, sf_dir)
     own, other = counts.filter("book = 'src1'").select("token", "count"), counts.filter("book = 'src2'").select("token")
     return own.join(other, "token", "left_semi").withColumn("shared", F.lit(True)).unionByName(own.join(other, "token", "left_anti").withColumn("shared", F.lit(False)))
