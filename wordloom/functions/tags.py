@@ -54,6 +54,20 @@ def interest_rank(interest: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, INTEREST)), interest), F.lit(1)) - 1
 
 
+def interest_place(interest: Column) -> Column:
+    """Interesting first, then neutral, then uninteresting."""
+    return F.when(interest == "interesting", 0).when(interest == "uninteresting", 2).otherwise(1)
+
+
+def sanitize_book_tag(name: Column) -> Column:
+    """The canonical form of a book's tag, null if it is none: a tag name, or two with one colon between them."""
+    lowered = F.lower(F.trim(name))
+    halves = F.split(lowered, ":", 2)
+    both = F.concat(sanitize_tag(halves[0]), F.lit(":"), sanitize_tag(F.try_element_at(halves, F.lit(2))))
+    clean = F.when(F.regexp_count(lowered, F.lit(":")) > 1, None).when(F.contains(lowered, F.lit(":")), both).otherwise(sanitize_tag(lowered))
+    return F.when(F.length(clean) <= 60, clean)
+
+
 def interest_name(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, INTEREST)), (F.coalesce(rank, F.lit(0)) + 1).cast("int"))
 
