@@ -50,6 +50,48 @@ def safe_name(name: Column, most: int = 80) -> Column:
     return F.substring(F.btrim(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), F.lit("_")), 1, most)
 
 
+def looks_wrong(content: Column, fmt: Column) -> Column:
+    """Why a downloaded file can't be the book that was asked for; empty if it may be."""
+    head = F.substring(F.ltrim(F.regexp_replace(F.substring(content, 1, 4096).cast("string"), r"^\s+", "")), 1, 1)
+    return (
+        F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, "empty response")
+        .when((fmt == "epub") & (F.substring(content, 1, 2) != F.lit(b"PK")), "not a zip (epub) — probably an error or interstitial page")
+        .when((fmt == "txt") & (head == "<"), "looks like HTML, not plain text")
+        .otherwise("")
+    )
+
+
+def title_of_file(path: Column) -> Column:
+    """A title from a file's name: without folder and last extension, underscores as spaces."""
+    name = F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
+    return F.trim(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def shortened(text: Column, n: int) -> Column:
+    """At most n characters of a text, with … where some are missing; null as empty."""
+    return F.coalesce(F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text), F.lit(""))
+
+
+def byline(author: Column, year: Column) -> Column:
+    """Author and year as one line, either alone if the other is missing."""
+    names = F.regexp_replace(F.trim(F.coalesce(author, F.lit(""))), "; ?", ", ")
+    return F.concat_ws(" · ", F.nullif(names, F.lit("")), year.cast("string"))
+
+
+def settings(lines: list[str], environment: dict[str, str]) -> dict[str, str]:
+    """KEY=VALUE lines as a dictionary, without comments and quotes; the environment's values come before them."""
+    pairs = (line.partition("=") for line in lines if line.strip() and not line.lstrip().startswith("#"))
+    return {k.strip(): v.strip().strip("\"'") for k, mark, v in pairs if mark} | environment
+
+
+def digest(text: str) -> int:
+    """A 64-bit FNV-1a hash of a text, as the name of a selection."""
+    h = 0xCBF29CE484222325
+    for b in text.encode():
+        h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
+    return h
+
+
 def commas(n: Column) -> Column:
     return F.format_number(n, 0)
 

@@ -9,6 +9,33 @@ from pyspark.sql import functions as F
 INTEREST = ("neutral", "uninteresting", "interesting")
 
 
+# What a definition's scope and interest may be, and the parts of speech that have longer names.
+SCOPES = ("book", "word")
+POS_NAMES = {"intj": "interjection", "prep": "preposition", "pron": "pronoun", "conj": "conjunction", "num": "numeral", "det": "determiner"}
+
+
+def pos_label(pos: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in POS_NAMES.items() for x in pair])[pos], pos)
+
+
+def valid_scope(scope: Column) -> Column:
+    return F.coalesce(scope.isin(*SCOPES), F.lit(False))
+
+
+def valid_interest(interest: Column) -> Column:
+    return F.coalesce(interest.isin(*INTEREST), F.lit(False))
+
+
+def valid_source(source: Column, known: tuple[str, ...]) -> Column:
+    """Whether a catalogue is one of the known ones."""
+    return F.coalesce(source.isin(*known), F.lit(False))
+
+
+def valid_source_id(source_id: Column) -> Column:
+    """Whether an id of a catalogue can stand in a path: letters, digits, and - _ . / but no '..'."""
+    return F.coalesce(source_id.rlike(r"^[A-Za-z0-9/_.-]{1,200}$") & ~F.contains(source_id, F.lit("..")), F.lit(False))
+
+
 def sanitize_tag(name: Column) -> Column:
     """The canonical form of a tag name, null if it is no usable tag: 1 to 4 dotted segments of a-z, 0-9, spaces and
     dashes, 1 to 30 characters each with a letter; pick heads nothing, star has no children."""

@@ -18,8 +18,8 @@ from wordloom.functions import text as X
 from wordloom.operators import tags as TG
 from wordloom.operators.scoring import uncommon_origin
 
-# Rows of a page, of a family, of other books, of examples; characters of an example.
-PAGE, FAMILY, ALSO_IN, EXAMPLES, MOST_EXAMPLES, EXAMPLE_CHARS = 400, 15, 20, 20, 40, 400
+# Rows of a page, of a family, of other books, of examples; characters of an example; rows of a report.
+PAGE, FAMILY, ALSO_IN, EXAMPLES, MOST_EXAMPLES, EXAMPLE_CHARS, TOP = 400, 15, 20, 20, 40, 400, 12
 # The classes that are buckets of their own, and the categories that are none.
 CONTENT_POS, NO_BUCKET = ("noun", "verb", "adj", "adv"), "noun.Tops"
 
@@ -42,6 +42,24 @@ def matching(kept: DataFrame, spec: str, words: DataFrame, pos: DataFrame, categ
     return kept.join(asked.select("word"), "word", "left_semi")
 
 
+def filter_options(kept: DataFrame, words: DataFrame, pos: DataFrame, categories: DataFrame, eras: DataFrame) -> DataFrame:
+    """option, n: every filter of candidates with how many words it lets through. kept is read once for each kind."""
+    own = kept.select("word").distinct()
+    count = lambda rows, option: rows.join(own, "word", "left_semi").groupBy(option.alias("option")).agg(F.countDistinct("word").alias("n"))
+    one = lambda rows, option: rows.join(own, "word", "left_semi").agg(F.countDistinct("word").alias("n")).select(F.lit(option).alias("option"), "n")
+    origin = F.col("etymology_lang")
+    out = count(pos, F.concat(F.lit("pos:"), "pos")).unionByName(count(categories, F.col("category"))).unionByName(count(eras.filter("era IS NOT NULL"), F.concat(F.lit("era:"), "era")))
+    return out.unionByName(one(words.filter(uncommon_origin(origin)), "origin:uncommon")).unionByName(one(words.filter(uncommon_origin(origin, True)), "origin:rare")).unionByName(one(eras.filter("obsolete"), "status:obsolete"))
+
+
+def dictionary_report(words: DataFrame, categories: DataFrame, most: int = TOP) -> DataFrame:
+    """kind, name, n, place: the languages of origin and the categories with the most words."""
+    langs = words.filter("etymology_lang IS NOT NULL").groupBy(F.lit("language").alias("kind"), F.col("etymology_lang").alias("name")).agg(F.count("*").alias("n"))
+    named = categories.groupBy(F.lit("category").alias("kind"), F.col("category").alias("name")).agg(F.countDistinct("word").alias("n"))
+    place = F.row_number().over(W.partitionBy("kind").orderBy(F.col("n").desc(), "name")).cast("long")
+    return langs.unionByName(named).withColumn("place", place).filter(F.col("place") <= most)
+
+
 def buckets(pos: DataFrame, categories: DataFrame) -> DataFrame:
     """word, bucket: content classes and categories, without catch-all ones."""
     own = pos.filter(F.col("pos").isin(*CONTENT_POS)).select("word", F.col("pos").alias("bucket"))

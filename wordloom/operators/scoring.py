@@ -26,6 +26,10 @@ UNKNOWN_RARITY, MAX_RARITY, MIN_LENGTH, MAX_PM, MAX_CAPS = 4.0, 5.0, 3, 12.0, 0.
 REASONS = {"nodict": "not in the dictionary", "nonalpha": "not only letters", "nowikt": "no known word", "formof": "a form of another word", "proper": "a proper noun", "offensive": "offensive", "capitalised": "mostly capitalised", "short": "too short", "common": "too common", "": "kept"}
 
 
+def reason_label(why: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])[why]
+
+
 def rarity(pm: Column) -> Column:
     return F.when(pm.isNull(), UNKNOWN_RARITY).when(pm <= 0, MAX_RARITY).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(MAX_RARITY), -F.log10(pm))))
 

@@ -103,10 +103,43 @@ def _under(tag: Column, name: str) -> Column:
     return (tag == name) | tag.startswith(f"{name}.")
 
 
-def rename_tag(table: DataFrame, old: str, new: str, column: str = "tag") -> DataFrame:
-    """A tag and its descendants under another name. star keeps its name, and no tag goes below itself."""
+def register(defs: DataFrame, name: str) -> DataFrame:
+    """defs with a tag and its missing ancestors, for a tag that is applied before it is defined."""
+    return add_definitions(defs, defs.sparkSession.range(1).select(F.lit(name).alias("name"), F.lit(None).cast("string").alias("comment")))
+
+
+def set_definition(defs: DataFrame, name: str, **fields) -> DataFrame:
+    """defs with other values of one tag's fields, such as interest and fav."""
+    if "interest" in fields and fields["interest"] not in T.INTEREST:
+        raise ValueError(f"no interest: {fields['interest']}")
+    return defs.withColumns({c: F.when(F.col("name") == name, F.lit(v)).otherwise(F.col(c)).cast(defs.schema[c].dataType) for c, v in fields.items()})
+
+
+def visible(rows: DataFrame, interest: DataFrame, on: list[str]) -> DataFrame:
+    """rows without the words whose effective interest is uninteresting."""
+    return rows.join(interest.filter("interest = 'uninteresting'"), on, "left_anti")
+
+
+def scope_order(by: str = "sort") -> list[Column]:
+    """The orders of definitions: sort, name, interest; star always comes first."""
+    first = {"sort": [F.col("sort")], "name": [], "interest": [T.interest_place(F.col("interest"))]}
+    return [(F.col("name") != "star"), *first[by], F.col("name")]
+
+
+def is_known(defs: DataFrame, text: str) -> bool:
+    """Whether a tag of exactly this name is there."""
+    return not defs.filter(F.col("name") == text.strip().lower()).isEmpty()
+
+
+def rename_tag(table: DataFrame, old: str, new: str, column: str = "tag", defs: DataFrame | None = None) -> DataFrame:
+    """A tag and its descendants under another name. star keeps its name, no tag goes below itself, and with defs no
+    name that one of them has is taken."""
     if old == "star" or new == old or new.startswith(f"{old}."):
         raise ValueError(f"{old} can't become {new}")
+    if defs is not None:
+        moved = defs.filter(_under(F.col("name"), old)).select(F.concat(F.lit(new), F.substring("name", F.lit(len(old) + 1), F.length("name"))).alias("name"))
+        if not defs.filter(~_under(F.col("name"), old)).join(moved, "name", "left_semi").isEmpty():
+            raise ValueError(f"{new} is there already")
     tag = F.col(column)
     return table.withColumn(column, F.when(_under(tag, old), F.concat(F.lit(new), F.substring(tag, F.lit(len(old) + 1), F.length(tag)))).otherwise(tag))
 
@@ -122,9 +155,11 @@ def clamp_levels(word_tags: DataFrame, name: str, scale_max: int) -> DataFrame:
 
 
 def to_word_scope(word_tags: DataFrame, name: str) -> DataFrame:
-    """A tag's rows in books collapsed to one for each word everywhere; a value-less row counts as level 1."""
+    """A tag's rows in books collapsed to one for each word (and rater, if there is one) everywhere, of the latest time
+    (ts, if there is one); a value-less row counts as level 1."""
     own = word_tags.filter(F.col("tag") == name)
-    folded = own.groupBy("word", "tag").agg(F.max(F.coalesce("value", F.lit(1))).alias("value")).withColumn("book", F.lit(EVERYWHERE))
+    keys, latest = [c for c in ("word", "tag", "rater") if c in word_tags.columns], [F.max(c).alias(c) for c in word_tags.columns if c == "ts"]
+    folded = own.groupBy(*keys).agg(F.max(F.coalesce("value", F.lit(1))).alias("value"), *latest).withColumn("book", F.lit(EVERYWHERE))
     return word_tags.filter(F.col("tag") != name).unionByName(folded.select(*word_tags.columns))
 
 

@@ -10,6 +10,10 @@ RARE_PM, RECENT_FROM, FIRST_DECADE, DEFAULT_END = 0.10, 1980, 1800, 2000
 ERA_LABELS = {"ahead": "ahead of its time", "rising": "on the rise", "of": "of its time", "after": "declining", "timeless": "timeless", "rare": "always rare"}
 
 
+def era_label(era: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in ERA_LABELS.items() for x in pair])[era]
+
+
 def decade(year: Column) -> Column:
     return (F.floor(year / 10) * 10).cast("int")
 

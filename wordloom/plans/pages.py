@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from wordloom.operators import frequency
 from wordloom.operators import pages as P
+from wordloom.operators import tags as TG
 from wordloom.operators import trajectory as TR
 from wordloom.plans import standin as S
 from wordloom.plans import tables as TB
 from wordloom.plans import words as WD
 from wordloom.plans.words import TOKENS, WORDS, candidates_sql, lemma_sql, with_
+from wordloom.sources.writers import plain_list
 
 QUERIES, ORACLES = {}, {}
 
@@ -231,3 +233,53 @@ def list_books(spark, sf_dir):
 @query(f"SELECT book, word, place, row_number() OVER (PARTITION BY book ORDER BY in_book DESC, place) AS text_place FROM ({ORACLES['candidate_page']})")
 def most_in_text(spark, sf_dir):
     return P.most_in_text(page(spark, sf_dir)).select("book", "word", "place", "text_place")
+
+
+@query(
+    with_(TOKENS, WORDS, lemma_sql(2), candidates_sql(2), USAGE, ERAS, PARTS)
+    + f""", src AS (SELECT DISTINCT c.word FROM can2 c WHERE book = 'src1')
+SELECT 'pos:' || pos AS option, count(DISTINCT src.word) AS n FROM src JOIN ps ON ps.word = src.word GROUP BY 1 UNION ALL SELECT category, count(DISTINCT src.word) FROM src JOIN ctg ON ctg.word = src.word GROUP BY 1
+UNION ALL SELECT 'origin:uncommon', count(*) FROM src JOIN wrd ON wrd.word = src.word WHERE ety IS NOT NULL AND ety NOT IN ({WD._common(WD.scoring.FILTER_COMMON)})
+UNION ALL SELECT 'origin:rare', count(*) FROM src JOIN wrd ON wrd.word = src.word WHERE ety IS NOT NULL AND ety NOT IN ({WD._common((*WD.scoring.FILTER_COMMON, *WD.scoring.FILTER_ROMANCE))})
+UNION ALL SELECT 'era:' || era, count(*) FROM src JOIN era ON era.word = src.word WHERE era IS NOT NULL GROUP BY 1 UNION ALL SELECT 'status:obsolete', count(*) FROM src JOIN obs ON obs.word = src.word"""
+)
+def filter_options(spark, sf_dir):
+    """What the candidates of a book can be filtered by, each with how many it lets through."""
+    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    rooted, family = S.lemmas(words, 2)
+    kept = WD.scoring.candidates(counts, words, rooted, family, 2).filter("book = 'src1'")
+    return P.filter_options(S.written(kept), words, S.word_pos(words), categories(words), eras(spark, sf_dir))
+
+
+@query(
+    with_(WORDS, PARTS)
+    + f"""SELECT kind, name, n, place FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, name) AS place FROM (SELECT 'language' AS kind, ety AS name, count(*) AS n FROM wrd WHERE ety IS NOT NULL GROUP BY ety UNION ALL SELECT 'category', category, count(DISTINCT word) FROM ctg GROUP BY category)) WHERE place <= {P.TOP}"""
+)
+def dictionary_report(spark, sf_dir):
+    words = S.words_table(spark, sf_dir)
+    return P.dictionary_report(words, categories(words))
+
+
+@query(
+    with_(TOKENS, WORDS, candidates_sql(0), WORD_TAGS)
+    + f""", pge AS (SELECT book, word, rank, CASE WHEN length(word) > 8 THEN 'long' ELSE 'short' END AS section FROM can0 WHERE rank <= {P.PAGE}),
+tgs AS (SELECT p.book, p.word, string_agg(DISTINCT '#' || t.tag, ' ' ORDER BY '#' || t.tag) AS tags FROM pge p JOIN wtg t ON t.word = p.word AND t.book = p.book WHERE rater = 'me' AND coalesce(value, 1) >= 1 GROUP BY ALL),
+lin AS (SELECT p.book, rank, CASE WHEN section IS DISTINCT FROM lag(section) OVER (PARTITION BY p.book ORDER BY rank) THEN '# ' || section || chr(10) ELSE '' END || p.word || coalesce(' // ' || tags, '') AS line FROM pge p LEFT JOIN tgs ON tgs.book = p.book AND tgs.word = p.word)
+SELECT book, string_agg(line, chr(10) ORDER BY rank) AS list FROM lin GROUP BY book"""
+)
+def tagged_list_export(spark, sf_dir):
+    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    top = WD.scoring.candidates(counts, words).filter(F.col("rank") <= P.PAGE).select("book", "word", F.col("rank").alias("place"))
+    on = word_tags(spark, sf_dir, words).filter("rater = 'me' AND coalesce(value, 1) >= 1").groupBy("book", "word").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    section = F.when(F.length("word") > 8, "long").otherwise("short")
+    return plain_list(top.join(on, ["book", "word"], "left").withColumn("section", section))
+
+
+@query(
+    with_(WORDS, WORD_TAGS)
+    + "SELECT book, word, tag, rater, max(value) AS value, max(ts) AS ts, count(*) AS n FROM (SELECT '*' AS book, word, tag, rater, max(coalesce(value, 1)) AS value, max(ts) AS ts FROM wtg WHERE tag = 'click.a' GROUP BY word, tag, rater UNION ALL SELECT book, word, tag, rater, value, ts FROM wtg WHERE tag <> 'click.a') GROUP BY book, word, tag, rater"
+)
+def tag_scope_of_raters(spark, sf_dir):
+    """A tag's rows collapsed to words, of each rater, with the latest time."""
+    table = word_tags(spark, sf_dir, S.words_table(spark, sf_dir))
+    return TG.to_word_scope(table, "click.a").groupBy("book", "word", "tag", "rater").agg(F.max("value").alias("value"), F.max("ts").alias("ts"), F.count("*").alias("n"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import re
+import sqlite3
 import zipfile
 from collections.abc import Iterator
+from contextlib import closing
 from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -51,20 +53,8 @@ def ngrams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zipped_ngrams(spark: SparkSession, path: str) -> DataFrame:
-    """The same of zip archives, which Hadoop's codecs don't open: each archive is one task's stream."""
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(z.namelist()):
-                        with z.open(name) as f:
-                            lines = io.TextIOWrapper(f, "utf-8")
-                            while part := lines.readlines(1 << 20):
-                                yield pd.DataFrame({"value": [x.rstrip("\n") for x in part]})
-
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
-    return _ngram_fields(raw.select(F.split("value", "\t").alias("f")).filter(F.size("f") >= 3))
+    """The same of zip archives."""
+    return _ngram_fields(zipped_lines(spark, path).select(F.split("value", "\t").alias("f")).filter(F.size("f") >= 3))
 
 
 def _ngram_fields(lines: DataFrame) -> DataFrame:
@@ -124,10 +114,69 @@ def word_list(spark: SparkSession, *paths: str, letters: int = 5) -> DataFrame:
     return spark.read.text(list(paths)).select(word.alias("word")).filter(F.col("word").rlike(rf"^\p{{L}}{{{letters}}}$")).distinct()
 
 
+def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of the files in zip archives, which Hadoop's codecs don't open. Each archive is one task's
+    stream; its compressed bytes come as one value, so an archive has at most 2 GB."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in sorted(z.namelist()):
+                        with z.open(name) as f:
+                            lines = io.TextIOWrapper(f, "utf-8")
+                            while part := lines.readlines(1 << 20):
+                                yield pd.DataFrame({"value": [x.rstrip("\n") for x in part]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
+
+
+def sqlite_rows(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
+    """The rows of a query over SQLite files (read-only), each opened by one task from its bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with closing(sqlite3.connect(":memory:")) as db:
+                    db.deserialize(content)
+                    cursor = db.execute(sql)
+                    names = [d[0] for d in cursor.description]
+                    while rows := cursor.fetchmany(1 << 14):
+                        yield pd.DataFrame(rows, columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
+# The tables of the WordNet database that are read.
+WORDNET = {
+    "words": "wordid long, lemma string", "senses": "wordid long, synsetid long, tagcount long, sensenum long", "synsets": "synsetid long, pos string, lexdomainid long",
+    "lexdomains": "lexdomainid long, lexdomainname string", "semlinks": "synset1id long, synset2id long, linkid long", "lexlinks": "word1id long, word2id long, linkid long", "linktypes": "linkid long, link string",
+}
+
+
+def wordnet(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a WordNet database as SQLite, by name; relations and senses are joined by Spark."""
+    return {name: sqlite_rows(spark, path, f"SELECT {', '.join(x.split()[0] for x in schema.split(', '))} FROM {name}", schema) for name, schema in WORDNET.items()}
+
+
+def stored_files(spark: SparkSession, *folders: str) -> DataFrame:
+    """book, path: the file of each book, by the extension that comes first (pdf, epub, txt), then by the folder that
+    does. The files aren't read."""
+    out = None
+    for k, folder in enumerate(folders):
+        own = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,epub,txt}").load(folder).select("path", F.lit(k).alias("k"))
+        out = own if out is None else out.unionByName(own)
+    name = F.substring_index("path", "/", -1)
+    kind = F.array_position(F.array(F.lit("pdf"), F.lit("epub"), F.lit("txt")), F.substring_index(name, ".", -1))
+    return out.withColumn("book", F.regexp_replace(name, r"\.[^.]*$", "")).groupBy("book").agg(F.min_by("path", F.struct("k", kind.alias("e"))).alias("path"))
+
+
 def vectors(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """word, vector of a text file of vectors, its header line aside; with wanted (word), only those."""
+    """word, vector of a text file of vectors, plain or in a zip archive, its header line aside; with wanted (word),
+    only those."""
     f = F.split(F.rtrim("value"), " ")
-    rows = spark.read.text(path).filter(F.size(f) > 2).select(f[0].alias("word"), F.transform(F.slice(f, F.lit(2), F.size(f) - 1), lambda x: x.try_cast("float")).alias("vector"))
+    lines = zipped_lines(spark, path) if path.endswith(".zip") else spark.read.text(path)
+    rows = lines.filter(F.size(f) > 2).select(f[0].alias("word"), F.transform(F.slice(f, F.lit(2), F.size(f) - 1), lambda x: x.try_cast("float")).alias("vector"))
     return rows.join(wanted.select("word").distinct(), "word", "left_semi") if wanted is not None else rows
 
 
