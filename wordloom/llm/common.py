@@ -3,46 +3,25 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.sources.written import shared_dir
+from wordloom.sources.written import written as cut
+
+__all__ = ["WORD", "arrow_map", "ascii_lower", "cut", "fold", "hash_sample", "join_anew", "mix", "release", "row_key", "run_hashes", "shared_dir", "slices", "span_hashes", "utf8", "words"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A word is a longest run of characters other than these six white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a temporary one where the master is local."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
-        found = tempfile.mkdtemp(prefix="wordloom-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: later steps neither recompute it nor depend on
-    an executor's disk. The files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/wordloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: How many bytes the JVM gathers for one Arrow batch, unless the session says otherwise.
 BATCH_BYTES = 8 << 20
 
