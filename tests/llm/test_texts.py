@@ -12,6 +12,7 @@ import regex
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.cases import TEXTS, rows, table
@@ -27,9 +28,23 @@ ALPHABET = st.sampled_from([*"abcdefgh,.!'’ \n\t\r0189ÀéßЖ中文😀٣½\x
 def test_agrees_with_the_library(text):
     ids = LIBRARY.encode(text, add_special_tokens=False).ids
     assert tokens.byte_pairs(PATH).count(text) == len(ids)
-    pieces = bpe_codec.codec(PATH).pieces(text)
-    assert bpe_codec.OUTPUTS["ids"][1](pieces) == ids
-    assert bpe_codec.OUTPUTS["decoded"][1](pieces) == LIBRARY.decode(ids, skip_special_tokens=False)
+    own = bpe_codec.codec(PATH)
+    for shared in (lambda c: True, lambda c: False, lambda c: len(c) % 2 == 0):
+        assert resolved(own, text, shared) == ids
+    assert bpe_codec.OUTPUTS["decoded"][1](own, ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+
+
+def resolved(own, text, shared):
+    """The ids of a text, with those of referred chunks put in."""
+    return [i for x in own.ids(text, shared) for i in (own.encode_plain(bpe_codec.places(x).middle) if isinstance(x, str) else x)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["the sea", " and", "\n\n", "  ", " don't", "中文", " <|endoftext|>", ". ", "\t", "12 34", "\x85", " a"]), min_size=60, max_size=600).map("".join))
+def test_joins_of_chunks(text):
+    own = bpe_codec.codec(PATH)
+    ids = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert resolved(own, text, lambda c: True) == ids == resolved(own, text, lambda c: len(c) % 3 == 0)
 
 
 @pytest.mark.parametrize("text", [" " * 300_000, "\n " * 150_000, "ab " * 50_000 + " " * 100_000 + "c", "x" * 200_000])
@@ -79,7 +94,21 @@ def test_joins_widen_until_they_agree(monkeypatch):
     monkeypatch.setattr(bpe_codec, "LEAST", 16)
     monkeypatch.setattr(bpe_codec, "MEAN_BITS", 4)
     text = "Understanding incomprehensibilities, they're internationalisation's counterrevolutionaries; 1234567 don't " * 6
-    assert bpe_codec.OUTPUTS["ids"][1](own.pieces(text)) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(bpe_codec.chunks(text)) > 5
+    assert resolved(own, text, lambda c: True) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_are_encoded_once(spark):
+    body = " ".join(f"sentence number {i} of the shared body." for i in range(300))
+    texts = [(i, f"beginning {i} {body} end {i}", "en", "a") for i in range(6)]
+    source = table(spark, texts, extra=False).select(F.col("doc_id").alias("id"), "text")
+    shared = spark.sparkContext.broadcast(bpe_codec.bloom_filter(bpe_codec.repeated_chunks(source, PATH), "s"))
+    store = bpe_codec.chunk_store(source, PATH, shared)
+    items = bpe_codec._items(source, PATH, shared)
+    assert store.count() == store.select("s", "t").distinct().count() >= 2
+    assert items.filter("s IS NOT NULL").count() >= 5 * store.count() and items.filter("s IS NOT NULL").join(store, ["s", "t"], "left_anti").count() == 0
+    got = {r["doc_id"]: r["ids"] for r in bpe_codec.encode(table(spark, texts), PATH).collect()}
+    assert got == {i: LIBRARY.encode(t, add_special_tokens=False).ids for i, t, *_ in texts}
 
 
 def test_chunks_are_shared():

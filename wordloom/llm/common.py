@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wordloom.sources.written import shared_dir
 from wordloom.sources.written import written as cut
 
-__all__ = ["WORD", "arrow_map", "ascii_lower", "cut", "fold", "hash_sample", "join_anew", "mix", "release", "row_key", "run_hashes", "shared_dir", "slices", "span_hashes", "utf8", "words"]
+__all__ = ["WORD", "arrow_map", "ascii_lower", "bloom_filter", "bloom_passes", "cut", "fold", "hash_sample", "join_anew", "mix", "release", "row_key", "run_hashes", "shared_dir", "slices", "span_hashes", "utf8", "words"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -167,3 +167,26 @@ def hash_sample(df: DataFrame, id: str, most: int, total: int) -> DataFrame:
     place = F.pmod(F.xxhash64(id), F.lit(1 << 30))
     share = min(1.0, (2 * most + 100) / max(total, 1))
     return df.filter(place < int(share * (1 << 30))).orderBy(place, id).limit(most)
+
+
+#: A filter has KEY_BITS bits for each key that it holds, and at most MOST_BITS (128 MB). Beyond that number of keys
+#: (67 million) it lets more of the others through; as it only says what travels, results stay the same.
+KEY_BITS, MOST_BITS = 16, 1 << 30
+
+
+def bloom_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of a written table's keys (64-bit hashes), sized by their number: bits / 64 numbers at most come to
+    the driver. A key's low bits name its two places."""
+    bits = min(MOST_BITS, 1 << (KEY_BITS * keys.count() + 1023).bit_length())
+    size, m = bits.bit_length() - 1, F.col(key)
+    at = keys.select(F.explode(F.array(m.bitwiseAND(F.lit(bits - 1)), F.shiftright(m, size).bitwiseAND(F.lit(bits - 1)))).alias("p"))
+    rows = at.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return out
+
+
+def bloom_passes(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bits = 64 * len(filter_)
+    places = np.stack([keys & (bits - 1), (keys >> (bits.bit_length() - 1)) & (bits - 1)])
+    return (filter_[places >> 6] >> (places & 63) & 1).astype(bool).all(0)

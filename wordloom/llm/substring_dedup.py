@@ -24,12 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import arrow_map, cut, join_anew, row_key, run_hashes, slices, span_hashes, utf8, words
+from wordloom.llm.common import arrow_map, bloom_filter, bloom_passes, cut, join_anew, row_key, run_hashes, slices, span_hashes, utf8, words
 
 WINDOW, MINIMISER, BUCKET = 50, 8, 256
-#: The filter has KEY_BITS bits for each minimiser that it holds, and at most MOST_BITS (128 MB). Beyond that number
-#: of minimisers (67 million) more of the text travels for nothing; the result is the same.
-KEY_BITS, MOST_BITS = 16, 1 << 30
 SPANS = "array<struct<at: int, n: int>>"
 
 
@@ -75,23 +72,6 @@ def _minimisers(docs: DataFrame, window: int, minimiser: int) -> DataFrame:
     return arrow_map(docs, run, "id long, m long")
 
 
-def _filter(keys: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of keys (m): bits / 64 numbers at most come to the driver, whatever the number of keys. A
-    minimiser is a hash itself, so its low bits name its two places."""
-    size, m = bits.bit_length() - 1, F.col("m")
-    at = keys.select(F.explode(F.array(m.bitwiseAND(F.lit(bits - 1)), F.shiftright(m, size).bitwiseAND(F.lit(bits - 1)))).alias("p"))
-    rows = at.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
-    return out
-
-
-def _passes(filter_: np.ndarray, m: np.ndarray) -> np.ndarray:
-    bits = 64 * len(filter_)
-    places = np.stack([m & (bits - 1), (m >> (bits.bit_length() - 1)) & (bits - 1)])
-    return (filter_[places >> 6] >> (places & 63) & 1).astype(bool).all(0)
-
-
 def levels(window: int, minimiser: int) -> list[int]:
     """The lengths of the runs that name buckets, level by level: from the minimiser to the whole window."""
     gap = window - minimiser
@@ -120,7 +100,7 @@ def _travellers(docs: DataFrame, shared, window: int, minimiser: int, columns: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             of, at, n, m = super_kmers(batch["text"], window, minimiser)
-            keep = _passes(shared.value, m)
+            keep = bloom_passes(shared.value, m)
             of, at, n, m = of[keep], at[keep], n[keep], m[keep]
             packed = _packed(batch["text"], of, at, n, window)
             take = pa.array(of, pa.int64())
@@ -274,8 +254,7 @@ def repeats(docs: DataFrame, id: str, text: str, window: int = WINDOW, minimiser
     source = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), row_key(text).alias("row"), F.col(text).alias("text"))
     buckets = _minimisers(source, window, minimiser).groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     shared = cut(buckets.filter("a < b").select("m"))
-    bits = min(MOST_BITS, 1 << (KEY_BITS * shared.count() + 1023).bit_length())
-    passing = docs.sparkSession.sparkContext.broadcast(_filter(shared, bits))
+    passing = docs.sparkSession.sparkContext.broadcast(bloom_filter(shared, "m"))
     first, *longer = levels(window, minimiser)
     strings = _distinct(_travellers(source, passing, window, first, ["m", "s", "t", "packed", "id"]), "id", "id")
     found = cut(_resolved(strings, window, longer, bucket))
