@@ -3,6 +3,7 @@
 import sqlite3
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from wordloom.operators import library as L
 from wordloom.operators import pages as P
 from wordloom.operators import scoring, trajectory
 from wordloom.operators import tags as TG
+from wordloom.operators import vectors as V
 from wordloom.sources import readers as R
 from wordloom.sources import writers as Wr
 from wordloom.sources.written import shared_dir, written
@@ -142,6 +144,21 @@ def test_job_list_and_text_order(spark):
     assert [r["place"] for r in P.most_in_text(page).orderBy("text_place").collect()] == [2, 3, 1]
 
 
+def test_nearest_vectors_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4)).round(3)
+    x[7] = x[3]  # a tie
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [0.0] * 4), (99, None)], "id long, vector array<double>").repartition(3)
+    for block in (4096, 2):
+        got = rows(V.top_similar(table.filter("id % 10 = 3"), table, 4, block))
+        expected = []
+        for q in (3, 13, 23, 33, 43, 53):
+            near = sorted((-round(float(x[q] @ x[i]), 6), i) for i in range(60) if i != q)[:4]
+            expected += [(q, i, -s, k + 1) for k, (s, i) in enumerate(near)]
+        assert got == sorted(expected, key=str)
+    assert V.top_similar(table.limit(0), table).count() == 0
+
+
 def test_written_tables(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     out = written(df)

@@ -6,12 +6,12 @@ import duckdb
 import pytest
 
 from wordloom import queries
-from wordloom.plans import words
+from wordloom.plans import pages, words
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
 #: Queries that keep nothing of the smallest tables.
-LARGER = set(words.QUERIES)
+LARGER = {*words.QUERIES, *pages.QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.operators.lemma import cosine
 
-SHADOW, TOP, ROUNDS = 0.55, 20, 60
+SHADOW, TOP, ROUNDS, CLUSTERS = 0.55, 20, 60, 12
+#: Queries that a worker holds at a time.
+QUERY_BLOCK = 4096
 
 
 def normalise(vector: Column) -> Column:
@@ -19,13 +24,44 @@ def normalise(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
 
 
-def top_similar(queries: DataFrame, vectors: DataFrame, most: int = 5) -> DataFrame:
+def top_similar(queries: DataFrame, vectors: DataFrame, most: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, similarity, place: the nearest of vectors (id, vector) for each query (id, vector), itself aside.
-    queries is a stated set that the caller keeps small; it is broadcast."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
-    pairs = vectors.crossJoin(F.broadcast(q)).filter("id <> query_id").withColumn("similarity", F.round(cosine(F.col("q"), F.col("vector")), 6))
+
+    queries is a stated set. It meets all vectors in blocks of about `block` queries, each one broadcast; a task gives
+    the nearest of each Arrow batch only, so what is shuffled grows with batches and not with pairs. Rows without an id
+    or a vector find and are found by nothing."""
+    queries, vectors = (x.select("id", "vector").filter("id IS NOT NULL AND vector IS NOT NULL") for x in (queries, vectors))
+    parts = max(1, -(-queries.count() // block))
+    kind, found = vectors.schema["id"].dataType.simpleString(), None
+    for part in range(parts):
+        own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toArrow()
+        if not own.num_rows:
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast((own["id"].to_numpy(), np.array(own["vector"].to_pylist(), np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            for batch in batches:
+                ids = batch["id"].to_numpy(zero_copy_only=False)
+                for a in range(0, len(ids), 2048):
+                    own_ids = ids[a : a + 2048]
+                    close = np.round(np.array(batch["vector"].slice(a, 2048).to_pylist(), np.float64) @ q.T, 6)
+                    close[own_ids[:, None] == names[None]] = -np.inf
+                    rows, columns = [], []
+                    for j in range(len(names)):
+                        best = np.lexsort((own_ids, -close[:, j]))[:most]
+                        best = best[close[best, j] > -np.inf]
+                        rows.append(best)
+                        columns.append(np.full(len(best), j))
+                    at, of = np.concatenate(rows), np.concatenate(columns)
+                    yield pa.record_batch([pa.array(names[of]), pa.array(own_ids[at]), pa.array(close[at, of])], ["query_id", "id", "similarity"])
+
+        near = vectors.mapInArrow(run, f"query_id {kind}, id {kind}, similarity double")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, similarity double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id"))
-    return pairs.withColumn("place", place.cast("long")).filter(F.col("place") <= most).select("query_id", "id", "similarity", "place")
+    return found.withColumn("place", place.cast("long")).filter(F.col("place") <= most).select("query_id", "id", "similarity", "place")
 
 
 def sphere_clusters(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
@@ -64,7 +100,7 @@ def varied(x: np.ndarray, shadow: float = SHADOW, top: int = TOP) -> list[int]:
     return chosen
 
 
-def clusters_and_picks(ranked: DataFrame, keys: list[str], k: int = 8, shadow: float = SHADOW, top: int = TOP) -> DataFrame:
+def clusters_and_picks(ranked: DataFrame, keys: list[str], k: int = CLUSTERS, shadow: float = SHADOW, top: int = TOP) -> DataFrame:
     """ranked (keys, id, rank, vector) with cluster and selected for each group of keys. A group is the candidates of one
     book and level, some thousands of rows, and the choice goes down their ranks, so a group is one task's work."""
 

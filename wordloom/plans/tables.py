@@ -55,6 +55,16 @@ def era_classes(spark, sf_dir):
     return TR.summarise(usage(spark, sf_dir), ["word"], F.lit(1850), F.lit(2000)).select("word", "era")
 
 
+@query(
+    "WITH "
+    + USAGE.replace("BETWEEN 1840 AND 1860", "BETWEEN 1990 AND 2010").replace("decade <= 1830", "decade <= 1980").replace("decade >= 1870", "decade >= 2020")
+    + """ SELECT word, CASE WHEN n < 3 THEN NULL WHEN peak < 0.1 THEN 'rare' WHEN last > prev * 1.15 AND last >= peak * 0.9 THEN 'rising' WHEN greatest(a, b, l) <= 0 OR (greatest(a, b, l) - least(a, b, l)) / greatest(a, b, l) < 0.25 THEN 'timeless' WHEN a >= b AND a >= l THEN 'of' WHEN l > b THEN 'ahead' ELSE 'after' END AS era FROM win"""
+)
+def era_classes_of_2000(spark, sf_dir):
+    """The eras of words in a book of the corpus's last decade, the only one whose words can be rising."""
+    return TR.summarise(usage(spark, sf_dir), ["word"], F.lit(2000), F.lit(2000)).select("word", "era")
+
+
 @query("WITH " + USAGE + " SELECT word FROM win WHERE n >= 3 AND peak >= 0.1 AND recent < 0.1 AND recent < 0.15 * peak")
 def obsolete_words(spark, sf_dir):
     return TR.summarise(usage(spark, sf_dir), ["word"], F.lit(1850), F.lit(2000)).filter("obsolete").select("word")

@@ -335,10 +335,11 @@ def pos_sections(spark, sf_dir, most=PAGE):
     + """, top AS (SELECT word FROM can0 WHERE book = 'src1' AND rank <= 100), o AS (SELECT c.token AS word, c.book, c.n, row_number() OVER (PARTITION BY c.token ORDER BY c.n DESC, c.book) AS k FROM cnt c JOIN top ON c.token = top.word WHERE c.book <> 'src1')
 SELECT word, book, n AS count FROM o WHERE k <= 20"""
 )
-def also_in(spark, sf_dir):
+def also_in(spark, sf_dir, book="src1"):
+    """Where else the first candidates of a book occur."""
     counts = S.counts_table(spark, sf_dir)
-    top = scoring.candidates(counts, S.words_table(spark, sf_dir)).filter("book = 'src1' AND rank <= 100").select(F.col("word").alias("token"))
-    other = counts.filter("book <> 'src1'").join(top, "token", "left_semi")
+    top = scoring.candidates(counts, S.words_table(spark, sf_dir)).filter((F.col("book") == book) & (F.col("rank") <= 100)).select(F.col("word").alias("token"))
+    other = counts.filter(F.col("book") != book).join(top, "token", "left_semi")
     rank = F.row_number().over(W.partitionBy("token").orderBy(F.col("count").desc(), "book"))
     return other.withColumn("k", rank).filter("k <= 20").select(F.col("token").alias("word"), "book", "count")
 
@@ -372,13 +373,14 @@ def plain_list_export(spark, sf_dir, most=PAGE):
 
 
 @query(with_(TOKENS) + "SELECT DISTINCT token FROM tok WHERE book = 'src1' UNION SELECT DISTINCT token FROM tok WHERE book = 'src2'")
-def union_words(spark, sf_dir):
-    counts = S.counts_table(spark, sf_dir)
-    return counts.filter("book = 'src1'").select("token").union(counts.filter("book = 'src2'").select("token")).distinct()
+def union_words(spark, sf_dir, one="src1", two="src2"):
+    """The words of two books."""
+    return S.book_counts(spark, sf_dir).filter(F.col("book").isin(one, two)).select("token").distinct()
 
 
 @query(with_(TOKENS) + "SELECT token, n AS count, token IN (SELECT token FROM cnt WHERE book = 'src2') AS shared FROM cnt WHERE book = 'src1'")
-def semi_anti_join(spark, sf_dir):
+def semi_anti_join(spark, sf_dir, one="src1", two="src2"):
+    """The words of one book, those shared with another marked."""
     counts = S.counts_table(spark, sf_dir)
-    own, other = counts.filter("book = 'src1'").select("token", "count"), counts.filter("book = 'src2'").select("token")
+    own, other = counts.filter(F.col("book") == one).select("token", "count"), counts.filter(F.col("book") == two).select("token")
     return own.join(other, "token", "left_semi").withColumn("shared", F.lit(True)).unionByName(own.join(other, "token", "left_anti").withColumn("shared", F.lit(False)))
