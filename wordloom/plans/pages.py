@@ -73,7 +73,7 @@ def eras(spark, sf_dir):
 
 def page(spark, sf_dir, spec="", limit=P.PAGE, level=2):
     """The page of each book at a level, under a filter."""
-    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    words, counts = S.words_and_counts(spark, sf_dir)
     rooted, family = S.lemmas(words, level) if level else (None, None)
     kept = WD.scoring.candidates(counts, words, rooted, family, level)
     pos = S.word_pos(words)
@@ -110,7 +110,7 @@ _page_query("candidate_page_obsolete", "status:obsolete", "c.word IN (SELECT wor
 
 def detail(spark, sf_dir, book, word, level=2):
     """word_detail over the stand-in tables. word: a word, or a function that picks one from (words, candidates, rooted)."""
-    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    words, counts = S.words_and_counts(spark, sf_dir)
     rooted, family = S.lemmas(words, level)
     if callable(word):
         word = word(words, WD.scoring.candidates(counts, words, rooted, family, level).filter(F.col("book") == book), rooted)
@@ -172,7 +172,7 @@ SELECT place, total, form, CASE WHEN length(x) <= {P.EXAMPLE_CHARS} THEN x WHEN
   ELSE CASE WHEN high > {P.EXAMPLE_CHARS} THEN '…' ELSE '' END || trim(substr(x, greatest(0, high - {P.EXAMPLE_CHARS}) + 1, high - greatest(0, high - {P.EXAMPLE_CHARS}))) || CASE WHEN high < length(x) THEN '…' ELSE '' END END AS text FROM u"""
 )
 def word_examples(spark, sf_dir):
-    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    words, counts = S.words_and_counts(spark, sf_dir)
     rooted, family = S.lemmas(words, 2)
     word = first_of_several(words, WD.scoring.candidates(counts, words, rooted, family, 2).filter("book = 'src1'"), rooted)
     return P.word_examples(S.table(spark, sf_dir, "documents").filter("source = 'src1'"), P.searched_forms(counts, rooted, "src1", word))
@@ -245,7 +245,7 @@ UNION ALL SELECT 'era:' || era, count(*) FROM src JOIN era ON era.word = src.wor
 )
 def filter_options(spark, sf_dir):
     """What the candidates of a book can be filtered by, each with how many it lets through."""
-    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    words, counts = S.words_and_counts(spark, sf_dir)
     rooted, family = S.lemmas(words, 2)
     kept = WD.scoring.candidates(counts, words, rooted, family, 2).filter("book = 'src1'")
     return P.filter_options(S.written(kept), words, S.word_pos(words), categories(words), eras(spark, sf_dir))
@@ -268,7 +268,7 @@ lin AS (SELECT p.book, rank, CASE WHEN section IS DISTINCT FROM lag(section) OVE
 SELECT book, string_agg(line, chr(10) ORDER BY rank) AS list FROM lin GROUP BY book"""
 )
 def tagged_list_export(spark, sf_dir):
-    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    words, counts = S.words_and_counts(spark, sf_dir)
     top = WD.scoring.candidates(counts, words).filter(F.col("rank") <= P.PAGE).select("book", "word", F.col("rank").alias("place"))
     on = word_tags(spark, sf_dir, words).filter("rater = 'me' AND coalesce(value, 1) >= 1").groupBy("book", "word").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
     section = F.when(F.length("word") > 8, "long").otherwise("short")

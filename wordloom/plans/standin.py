@@ -5,6 +5,8 @@ Books are the documents of one source; the dictionary is what the documents them
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,13 @@ def words_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(dictionary(spark, sf_dir))
 
 
+def words_and_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """words_table and counts_table, written at the same time."""
+    with ThreadPoolExecutor(2) as pool:
+        words, counts = pool.submit(words_table, spark, sf_dir), pool.submit(counts_table, spark, sf_dir)
+        return words.result(), counts.result()
+
+
 def lemmas(words: DataFrame, level: int, vectors: DataFrame | None = None, derivations: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(word, root) of the words of letters at a level, and their families."""
     letters = words.filter("alpha_only")

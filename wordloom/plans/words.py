@@ -194,7 +194,7 @@ def family_freq(spark, sf_dir):
 
 def level_candidates(spark, sf_dir, *levels, max_pm=scoring.MAX_PM):
     """The candidates of all books at some levels; the dictionary and the books' counts are made once for all."""
-    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    words, counts = S.words_and_counts(spark, sf_dir)
     out = None
     for level in levels:
         more = (S.word_vectors(spark, sf_dir, words), S.derivations(words)) if level == 3 else ()
@@ -253,7 +253,7 @@ WHY = """why AS (SELECT c.book, c.token, c.n, w.pm_lc AS pm, CASE WHEN w.word IS
 
 
 def _reasons(spark, sf_dir):
-    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    words, counts = S.words_and_counts(spark, sf_dir)
     return scoring.exclusion_reasons(counts, words, scoring.candidates(counts, words))
 
 
@@ -284,8 +284,8 @@ def origin_tiers(spark, sf_dir):
 SELECT pos AS category, count(DISTINCT c.word) AS n FROM can0 c JOIN ps ON c.word = ps.word GROUP BY 1"""
 )
 def category_counts(spark, sf_dir):
-    words = S.words_table(spark, sf_dir)
-    kept = scoring.candidates(S.book_counts(spark, sf_dir), words).select("word").distinct()
+    words, counts = S.words_and_counts(spark, sf_dir)
+    kept = scoring.candidates(counts, words).select("word").distinct()
     return S.word_pos(words).join(kept, "word", "left_semi").groupBy(F.col("pos").alias("category")).agg(F.countDistinct("word").alias("n"))
 
 
@@ -325,8 +325,8 @@ s AS (SELECT *, CASE WHEN pos IN ('noun', 'verb', 'adj', 'adv') THEN (rn - 1) //
 SELECT book, word, section, dense_rank() OVER (PARTITION BY book ORDER BY turn, wh) AS section_no, row_number() OVER (PARTITION BY book ORDER BY turn, wh, rn) AS place FROM s"""
 )
 def pos_sections(spark, sf_dir, most=PAGE):
-    words = S.words_table(spark, sf_dir)
-    kept = scoring.candidates(S.book_counts(spark, sf_dir), words).filter(F.col("rank") <= most).select("book", "word", "rank")
+    words, counts = S.words_and_counts(spark, sf_dir)
+    kept = scoring.candidates(counts, words).filter(F.col("rank") <= most).select("book", "word", "rank")
     return pos_arranged(kept.join(primary_pos(S.word_pos(words)), "word"), "book", "rank").select("book", "word", "section", "section_no", "place")
 
 
@@ -337,8 +337,8 @@ SELECT word, book, n AS count FROM o WHERE k <= 20"""
 )
 def also_in(spark, sf_dir, book="src1"):
     """Where else the first candidates of a book occur."""
-    counts = S.counts_table(spark, sf_dir)
-    top = scoring.candidates(counts, S.words_table(spark, sf_dir)).filter((F.col("book") == book) & (F.col("rank") <= 100)).select(F.col("word").alias("token"))
+    words, counts = S.words_and_counts(spark, sf_dir)
+    top = scoring.candidates(counts, words).filter((F.col("book") == book) & (F.col("rank") <= 100)).select(F.col("word").alias("token"))
     other = counts.filter(F.col("book") != book).join(top, "token", "left_semi")
     rank = F.row_number().over(W.partitionBy("token").orderBy(F.col("count").desc(), "book"))
     return other.withColumn("k", rank).filter("k <= 20").select(F.col("token").alias("word"), "book", "count")
@@ -362,7 +362,7 @@ def top_family(spark, sf_dir):
 SELECT c.book, string_agg(CASE WHEN k > 1 THEN c.word || ' ' || forms ELSE c.word END, chr(10) ORDER BY rank) AS list FROM can2 c JOIN m ON c.book = m.book AND c.word = m.word WHERE rank <= {PAGE} GROUP BY c.book"""
 )
 def plain_list_export(spark, sf_dir, most=PAGE):
-    words, counts = S.words_table(spark, sf_dir), S.counts_table(spark, sf_dir)
+    words, counts = S.words_and_counts(spark, sf_dir)
     rooted, family = S.lemmas(words, 2)
     top = scoring.candidates(counts, words, rooted, family, 2).filter(F.col("rank") <= most).select("book", "word", "rank")
     known = counts.join(rooted.select(F.col("word").alias("token"), F.col("root").alias("word")), "token")
