@@ -69,7 +69,7 @@ def test_near_groups_of_many_copies(spark, monkeypatch):
 
 
 def test_near_groups_find_pairs_about_the_threshold(spark):
-    """Recall on random pairs, short and long, whose similarity lies between 0.70 and 0.85: every link is found."""
+    """Recall on random pairs, short and long, about half of them between 0.70 and 0.85 alike: every link is found."""
     rng = np.random.default_rng(17)
     texts = []
     for k in range(400):
