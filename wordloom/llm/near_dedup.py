@@ -8,8 +8,9 @@ of f values posts only its f - f/2 + 1 rarest (prefix), and values that no other
 
 Documents of equal sets are one node. In a first round every document of a posting list is compared with the list's
 most shared document only, which joins large groups of copies without their pairs. Where a list still spans several
-components, its documents outside the component of that document are compared, in blocks and on full sets, with all
-members of the lists around it. Every link is confirmed on full sets.
+components, its documents outside the component of that document meet a few other documents of that component, in round
+after round for as long as each leaves at most three quarters of them outside. Those that stay outside are compared, in
+blocks and on full sets, with all members of the lists around them. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from wordloom.llm.components import components
 SHINGLE, COORDINATE_BITS, PERCENT = 5, 6, 75
 #: Members of a posting list in a block, shingles of a block about, and members compared with one pivot in a task.
 BLOCK, BLOCK_SHINGLES, MEMBERS = 192, 1 << 18, 64
+#: Documents of a component that those outside it meet in a round.
+PIVOTS = 4
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -187,6 +190,23 @@ def _rest(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return arrow_map(rows, run, "a long, b long")
 
 
+def _open_members(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members (group, id, component) of the lists that span several components. Lists whose pivots are in one
+    component have mostly the same members, so they are one group, named by that component."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    labelled = lists.filter("size > 2").join(of("id"), "id", "left").join(of("pivot"), "pivot", "left")
+    labelled = labelled.select("v", "id", F.coalesce("id_component", "id").alias("component"), F.coalesce("pivot_component", "pivot").alias("group"))
+    spans = labelled.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("v")
+    return join_anew(labelled, spans, ["v"]).select("group", "id", "component").distinct()
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of parts (node, component), as further links (a, b) join them."""
+    if links.isEmpty():
+        return parts
+    return cut(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
+
+
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bits: int = COORDINATE_BITS) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id (the smallest id linked with it, over any number of
     links), kept (id = component_id). Documents link when 100 * intersection >= percent * union of their sets.
@@ -218,16 +238,23 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
     links = cut(_confirm(_matching(star, nodes), texts, shingle, percent))
     many = member.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     links = links.unionByName(many.select("a", "b"))
-    first = cut(components(links))
-    of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    labelled = lists.filter("size > 2").join(of("id"), "id", "left").join(of("pivot"), "pivot", "left")
-    labelled = labelled.select("v", "id", F.coalesce("id_component", "id").alias("component"), F.coalesce("pivot_component", "pivot").alias("group"))
-    open_ = labelled.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("v")
-    # Lists whose pivots are in one component have mostly the same members, so they are one group.
-    members = cut(join_anew(labelled, open_, ["v"]).select("group", "id", "component").distinct())
-    members = cut(join_anew(members, member.groupBy("id").agg(F.max("n").alias("n")), ["id"]))
-    more = cut(_rest(members, texts, shingle, percent))
-    last = first if more.isEmpty() else cut(components(links.unionByName(more)))
+    last = cut(components(links))
+    before, seed = None, 0
+    while True:
+        members = cut(_open_members(lists, last))
+        outside = members.filter("component <> group")
+        left = outside.count()
+        if not left or before is not None and 4 * left > 3 * before:
+            break
+        before, seed = left, seed + 1
+        order = F.xxhash64("id", F.lit(seed))
+        pivots = members.filter("component = group").groupBy("group", F.pmod(order, F.lit(PIVOTS)).alias("k")).agg(F.min_by("id", order).alias("a")).select("group", "a")
+        pairs = join_anew(outside.select("group", F.col("id").alias("b")), pivots, ["group"]).select("a", "b").distinct()
+        found_now = cut(_confirm(_matching(pairs, nodes), texts, shingle, percent))
+        last = _joined(last, found_now)
+    if left:
+        members = cut(join_anew(members, member.groupBy("id").agg(F.max("n").alias("n")), ["id"]))
+        last = _joined(last, cut(_rest(members, texts, shingle, percent)))
 
     ends = join_anew(member, last.select("node", "component"), ["node"], "left")
     ends = ends.select(F.col("id").alias("_i"), F.col("row").alias("_r"), F.coalesce("component", "node").alias("_c")).distinct()
