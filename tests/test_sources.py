@@ -2,11 +2,14 @@
 
 import gzip
 import zipfile
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from wordloom.sources import readers as R
 from wordloom.sources import writers as Wr
+from wordloom.sources.pdf import page_texts, pdf_parts
 
 
 def rows(df):
@@ -76,12 +79,59 @@ def test_book_files(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"\xef\xbb\xbfcaf\xc3\xa9")
     (tmp_path / "d.txt").write_bytes(b"caf\xe9 \x93")
     (tmp_path / "e.bin").write_bytes(b"%PDF-1.4")
+    (tmp_path / "f.pdf").write_bytes(pdf([b"BT /F 9 Tf (" + b"sea " * 20 + b") Tj ET"]))
     by = {r["path"].rsplit("/", 1)[1]: r for r in R.book_files(spark, str(tmp_path)).collect()}
     assert [(s["label"], s["kept"]) for s in by["a.epub"]["segments"]] == [("cover", False), ("ch 1", True)]
     assert by["b.epub"]["error"] == "the book is locked" and by["e.bin"]["format"] == "pdf" and by["e.bin"]["error"]
+    assert [(s["label"], s["kept"]) for s in by["f.pdf"]["segments"]] == [("pages 1–1", True)]
     assert by["c.txt"]["segments"][0]["text"] == "café" and by["d.txt"]["segments"][0]["text"] == "café “"
 
 
+def pdf(pages, packed=False, locked=False):
+    """A PDF whose pages have the given content streams, as objects of their own or in an object stream."""
+    objects = {1: b"<</Type/Catalog/Pages 2 0 R>>", 3: b"<</Type/Font/Subtype/Type1/Encoding<</Differences[1/fi]>>>>", 4: b"<</Type/Font/Subtype/Type0/ToUnicode 5 0 R>>"}
+    kids = range(10, 10 + 2 * len(pages), 2)
+    objects[2] = b"<</Type/Pages/Kids[%s]/Resources<</Font<</F 3 0 R/U 4 0 R>>>>>>" % b" ".join(b"%d 0 R" % k for k in kids)
+    for k in kids:
+        objects[k] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R>>" % (k + 1)
+    names = b"begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0041> endbfchar 1 beginbfrange <0002> <0003> <0062> endbfrange"
+    streams = {5: (b"", names)} | {k + 1: (b"/Filter/FlateDecode", zlib.compress(p)) for k, p in zip(kids, pages, strict=True)}
+    if packed:
+        at, body = 0, b""
+        head = []
+        for k, v in objects.items():
+            head.append(b"%d %d" % (k, len(body)))
+            body += v + b" "
+        head = b" ".join(head) + b" "
+        streams[90] = (b"/Type/ObjStm/N %d/First %d/Filter/FlateDecode" % (len(objects), len(head)), zlib.compress(head + body))
+        objects = {}
+    out = b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % kv for kv in objects.items())
+    out += b"".join(b"%d 0 obj\n<<%s/Length %d>>\nstream\n%s\nendstream\nendobj\n" % (k, h, len(v), v) for k, (h, v) in streams.items())
+    return out + b"trailer\n<</Root 1 0 R%s>>\nstartxref\n0\n%%%%EOF" % (b"/Encrypt 7 0 R" if locked else b"")
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_pages(packed):
+    """Operators that show text, lines and blanks by position, names of characters, words divided at a line's end."""
+    pages = [
+        b"BT /F 12 Tf 72 700 Td (One \\(two\\) thr-) Tj 0 -14 Td (ee \001ve) Tj ET",
+        b"BT /F 9 Tf 1 0 0 1 72 700 Tm [(He) 20 (llo) -300 (sea)] TJ 1 0 0 1 140 700 Tm (here) Tj 14 TL (next) ' ET",
+        b"BT /U 9 Tf <000100020003> Tj ET BI /W 1 ID \x00(\xff EI q Q",
+        b"",
+    ]
+    assert page_texts(pdf(pages, packed)) == ["One (two) three five", "Hello sea here\nnext", "Abc", ""]
+
+
+def test_pdf_runs():
+    full = b"BT /F 9 Tf (" + b"sea " * 20 + b") Tj ET"
+    parts = pdf_parts(pdf([full, full, b"BT /F 9 Tf (7) Tj ET", b"", full]))
+    assert [(a, b, len(c.split())) for a, b, c in parts] == [("pages 1–2", True, 40), ("pages 3–4 — image-only / blank (no usable text)", False, 1), ("pages 5–5", True, 20)]
+    for bad in (pdf([full], locked=True), b"%PDF-1.4", b"%PDF-1.4 1 0 obj << /Type /Catalog /Pages 1 0 R >>"[:30]):
+        with pytest.raises(ValueError):
+            pdf_parts(bad)
+    assert pdf_parts(b"%PDF-1.4 1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Kids[2 0 R 9 0 R]>> endobj") == []
+
+
 def test_writers(spark, tmp_path):
     path = str(tmp_path / "t")
     Wr.replace_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, "k")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import phones as P
 from wordloom.operators.segments import visible_text
+from wordloom.sources.pdf import pdf_parts
 
 # Relations of etymology templates, canonical codes of languages, tags of offensive and of derived senses.
 ETYMOLOGY = {"bor": "bor", "bor+": "bor", "inh": "inh", "inh+": "inh", "der": "der", "der+": "der", "uder": "der", "lbor": "lbor", "slbor": "slbor", "calque": "calque"}
@@ -310,8 +311,8 @@ def epub_parts(content: bytes) -> list[tuple[str, bool, str]]:
 
 
 def book_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, format, error, segments (label, kept, text) of book files. PDF files need a library that isn't assumed
-    here: they come with an error."""
+    """path, format, error, segments (label, kept, text) of book files. A file that can't be read has an error and no
+    segments."""
     from wordloom.operators.segments import SEGMENT, text_segments
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -319,9 +320,7 @@ def book_files(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for p, kind, content in zip(batch["path"], batch["format"], batch["content"], strict=True):
                 try:
-                    if kind == "pdf":
-                        raise ValueError("no PDF reader")
-                    parts = epub_parts(content) if kind == "epub" else text_segments(decode(content))
+                    parts = epub_parts(content) if kind == "epub" else pdf_parts(content) if kind == "pdf" else text_segments(decode(content))
                     rows.append((p, kind, None, [{"label": a, "kept": b, "text": c} for a, b, c in parts]))
                 except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     rows.append((p, kind, str(e), []))
