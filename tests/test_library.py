@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import catalog as C
 from wordloom.functions import tags as TF
+from wordloom.operators import catalog as CO
 from wordloom.operators import graph as G
 from wordloom.operators import library as L
 from wordloom.operators import pages as P
@@ -163,3 +164,26 @@ def test_written_tables(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     out = written(df)
     assert out.schema == df.schema and rows(out) == rows(df) and out.inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark).removeprefix("file://"))
+
+
+def test_reingest(spark):
+    books = spark.createDataFrame([("a", "A", "x", 1850, "h"), ("b", "B", "y", None, "k")], "book string, title string, author string, year int, content_hash string")
+    books, counts = L.commit_books(books, spark.createDataFrame([("b", "old", 3)], "book string, token string, count long"), spark.createDataFrame([("a", "A", "x", 1850, "one sea")], "book string, title string, author string, year int, text string"))
+    texts = spark.createDataFrame([("b", "Two, two ships"), ("c", "not there")], "book string, text string")
+    after, found = L.reingest(books, counts, texts)
+    assert rows(found) == [("a", "one", 1), ("a", "sea", 1), ("b", "ships", 1), ("b", "two", 2)]
+    assert rows(after.select("book", "title", "year")) == [("a", "A", 1850), ("b", "B", None)]
+    assert rows(after.join(books, ["book", "content_hash"], "left_anti").select("book")) == [("b",)]
+    same, unchanged = L.reingest(books, counts, spark.createDataFrame([("b", "One sea")], "book string, text string"))
+    assert rows(same) == rows(books) and rows(unchanged) == rows(counts)
+
+
+def test_synced(spark):
+    catalog = spark.createDataFrame([("g", "1", "Old"), ("g", "2", "Two"), ("s", "1", "Other")], "source string, source_id string, title string")
+    sync = spark.createDataFrame([("g", 5, 2), ("s", 6, 1)], "source string, synced_at int, n_rows long")
+    fresh = spark.createDataFrame([("g", "1", "New"), ("g", "3", "Three")], "source string, source_id string, title string")
+    after, stamps = CO.synced(catalog, sync, fresh, "g", F.lit(9))
+    assert rows(after) == [("g", "1", "New"), ("g", "2", "Two"), ("g", "3", "Three"), ("s", "1", "Other")]
+    assert rows(stamps) == [("g", 9, 2), ("s", 6, 1)]
+    with pytest.raises(ValueError):
+        CO.synced(catalog, sync, fresh.limit(0), "g", F.lit(9))

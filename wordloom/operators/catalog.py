@@ -62,6 +62,13 @@ def upsert(table: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(fresh, keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def synced(catalog: DataFrame, sync: DataFrame, fresh: DataFrame, source: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(catalog, sync) after a source was read again: its rows by upsert, and its stamp (source, synced_at, n_rows) in
+    place of the earlier one. Nothing is stamped for a sync without rows, which is an error."""
+    stamp = fresh.agg(F.count("*").alias("n_rows")).select(F.lit(source).alias("source"), at.alias("synced_at"), "n_rows")
+    return upsert(catalog, fresh, ["source", "source_id"]), sync.filter(F.col("source") != source).unionByName(stamp, allowMissingColumns=True)
+
+
 def newly_imported(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     return after.join(before, keys, "left_anti")
 

@@ -40,6 +40,13 @@ def commit_books(books: DataFrame, counts: DataFrame, new: DataFrame) -> tuple[D
     )
 
 
+def reingest(books: DataFrame, counts: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(books, counts) with the books of texts (book, text) read anew: their counts and content_hash change, their
+    details stay. A text of a book that isn't in the library, or that another book has, is left out."""
+    own = texts.select("book", "text").join(books.drop("content_hash"), "book")
+    return commit_books(books, counts, own)
+
+
 def import_summary(checked: DataFrame) -> DataFrame:
     """One row: how many books were asked for, came in, were refused, and are too short to be books (no words)."""
     ok = F.col("duplicate_of").isNull()
