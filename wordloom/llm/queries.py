@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from wordloom.llm import bpe_codec, exact_dedup, flac, hmm, line_dedup, mixing, near_dedup, quality, substring_dedup, tokens
+from wordloom.llm import bpe_codec, exact_dedup, flac, hmm, line_dedup, merkle, mixing, near_dedup, quality, substring_dedup, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe_codec": bpe_codec.op9_bpe_codec,
     "op10_quality": quality.op10_quality,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_near_dedup": near_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
