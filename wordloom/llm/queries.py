@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from wordloom.llm import bpe_codec, exact_dedup, flac, hmm, line_dedup, merkle, mixing, near_dedup, quality, substring_dedup, tokens
+from wordloom.llm import bpe_codec, exact_dedup, flac, hmm, line_dedup, merkle, mixing, near_dedup, prefix_trie, quality, substring_dedup, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_bpe_codec": bpe_codec.op9_bpe_codec,
     "op10_quality": quality.op10_quality,
     "op11_merkle": merkle.op11_merkle,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_near_dedup": near_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
