@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from wordloom.llm import bpe_codec, exact_dedup, flac, hmm, line_dedup, merkle, mixing, near_dedup, prefix_trie, quality, substring_dedup, tokens
+from wordloom.llm import bpe_codec, decontaminate, exact_dedup, flac, hmm, line_dedup, merkle, mixing, near_dedup, prefix_trie, quality, substring_dedup, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_merkle": merkle.op11_merkle,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_decontaminate": decontaminate.op13_decontaminate,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op11_merkle": merkle.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_decontaminate": decontaminate.ORACLE,
 }
