@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
+from wordloom.operators.ranges import placed
 
 
 def histogram(docs: DataFrame, book: str = "source", order: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,14 +37,9 @@ def case_folded(surface: DataFrame, token: str = "token", count: Column | None =
 
 
 def positional_rank(df: DataFrame, count: str = "count", name: str = "token", rank: str = "rank") -> DataFrame:
-    """df with the position (from 1) of each row by count descending, then name. Rows are counted by (count, first
-    letters), so that the only window over everything is over those counts; no task sorts all rows."""
-    keyed = df.withColumn("_p", F.substring(name, 1, 3))
-    sizes = keyed.groupBy(count, "_p").agg(F.count("*").alias("_n"))
-    earlier = F.coalesce(F.sum("_n").over(W.orderBy(F.col(count).desc(), "_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(count, "_p", earlier.alias("_before"))
-    within = F.row_number().over(W.partitionBy(count, "_p").orderBy(name))
-    return keyed.withColumn("_w", within).join(offsets, [count, "_p"]).withColumn(rank, (F.col("_before") + F.col("_w")).cast("long")).drop("_p", "_before", "_w")
+    """df with the position (from 1) of each row by count descending, then name; written. Rows are dealt out by ranges of
+    that order, so no task has all words of one count."""
+    return placed(df, [], [F.col(count).desc(), F.col(name)], rank).withColumn(rank, F.col(rank) + 1)
 
 
 def per_million(counts: DataFrame, total: DataFrame | None = None) -> DataFrame:

@@ -41,16 +41,28 @@ def lexical_links(words: DataFrame, links: DataFrame, types: DataFrame, kinds=("
 
 
 def coordinates(members: DataFrame, hypernyms: DataFrame, freq: DataFrame, most: int = 25) -> DataFrame:
-    """word, target, place: words whose synset shares a hypernym and the domain with one of word's, most frequent
-    first. members: synset, domain, word; hypernyms: synset, parent; freq: word, pm.
-
-    Synsets are paired through their parents before words are, and a parent's synsets of one domain are a group."""
-    up = members.select("synset", "domain").distinct().join(hypernyms, "synset")
-    pair = up.alias("a").join(up.alias("b"), ["parent", "domain"]).select(F.col("a.synset").alias("synset"), F.col("b.synset").alias("other")).filter("synset <> other").distinct()
-    named = pair.join(members.select("synset", "word"), "synset").join(members.select(F.col("synset").alias("other"), F.col("word").alias("target")), "other").filter("word <> target")
-    rated = named.select("word", "target").distinct().join(freq.select(F.col("word").alias("target"), "pm"), "target", "left")
-    place = F.row_number().over(W.partitionBy("word").orderBy(F.coalesce("pm", F.lit(0.0)).desc(), "target"))
-    return rated.withColumn("place", place.cast("long")).filter(F.col("place") <= most).select("word", "target", "place")
+    """word, target, place: words that have, under some parent and in its domain, another synset than one of word's, most
+    frequent first, then by name. members: synset, domain, word; hypernyms: synset, parent; freq: word, pm (unknown: 0).
+
+    Synsets aren't paired. Under one parent a word whose only synset is s meets all words but those that have s alone,
+    and a word of several synsets meets all. So words are labelled with their only synset, and a parent keeps, in order
+    of frequency, its first 2 * most + 2 words after each label keeps its first most + 1: whichever label is taken out,
+    and the word itself, `most` words are left, and they are the first ones. Each word is then joined with its parents'
+    lists: at most 2 * most + 2 rows for each. Both cuts are made before the shuffle too. Rows with nulls match nothing.
+    """
+    rated = members.join(freq.select("word", "pm"), "word", "left").withColumn("pm", F.coalesce("pm", F.lit(0.0)))
+    under = rated.join(hypernyms, "synset").filter("parent IS NOT NULL AND domain IS NOT NULL AND word IS NOT NULL")
+    own = under.groupBy("parent", "domain", "word").agg(F.max("pm").alias("pm"), F.min("synset").alias("a"), F.max("synset").alias("b"))
+    own = own.select("parent", "domain", "word", "pm", F.when(F.col("a") == F.col("b"), F.col("a")).alias("only"))
+    first = lambda rows, keys, k: rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("pm").desc(), "word"))).filter(F.col("_k") <= k).drop("_k")
+    lists = first(first(own, ["parent", "domain", "only"], most + 1), ["parent", "domain"], 2 * most + 2)
+    lists = lists.select("parent", "domain", F.col("word").alias("target"), F.col("pm").alias("target_pm"), F.col("only").alias("target_only"))
+    # A parent may have a third of all words: its list, of bounded size, goes to each part of them.
+    met = own.select("parent", "domain", "word", "only").join(lists, ["parent", "domain"])
+    met = met.filter((F.col("word") != F.col("target")) & ~F.coalesce(F.col("only") == F.col("target_only"), F.lit(False)))
+    each = met.groupBy("word", "target").agg(F.max("target_pm").alias("pm"))
+    place = F.row_number().over(W.partitionBy("word").orderBy(F.col("pm").desc(), "target"))
+    return each.withColumn("place", place.cast("long")).filter(F.col("place") <= most).select("word", "target", "place")
 
 
 def relation_page(relations: DataFrame, word: str, in_book: DataFrame, freq: DataFrame, most: int = 120) -> DataFrame:

@@ -7,12 +7,12 @@ book, token, count; book_tags has book, tag, auto, ts.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import tags as T
 from wordloom.functions import text as X
 from wordloom.operators import frequency
+from wordloom.operators.ranges import placed
 
 # The name spaces of automatic tags, and the years a book may have.
 RESERVED, YEARS = ("src", "fmt"), (1000, 2200)
@@ -143,6 +143,7 @@ def legacy_values(word_tags: DataFrame) -> DataFrame:
 
 
 def job_list(jobs: DataFrame) -> DataFrame:
-    """jobs (state, updated, ...) with place: running, queued, then the others; within each the latest first."""
+    """jobs (state, updated, ...) with place: running, queued, then the others; within each the latest first. Places come
+    from ranges, so the list of all jobs ever is in no task."""
     rank = F.when(F.col("state") == "running", 0).when(F.col("state") == "queued", 1).otherwise(2)
-    return jobs.withColumn("place", F.row_number().over(W.orderBy(rank, F.col("updated").desc(), "id")).cast("long"))  # jobs are few
+    return placed(jobs, [], [rank, F.col("updated").desc(), F.col("id")]).withColumn("place", F.col("place") + 1)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wordloom.operators.ranges import placed
+
 # Languages of origin that don't count as unusual to the score.
 COMMON_ORIGINS = (
     "en", "enm", "ang", "gem-pro", "ine-pro", "fr", "fro", "frm", "xno", "la", "la-med", "la-ecc", "la-cla", "grc",
@@ -65,7 +67,8 @@ def grouped(counts: DataFrame, words: DataFrame, lemmas: DataFrame | None) -> Da
 def candidates(counts: DataFrame, words: DataFrame, lemmas: DataFrame | None = None, family: DataFrame | None = None, level: int = 0, max_pm: float = MAX_PM) -> DataFrame:
     """The ranked candidates of each book at a level: book, level, word, in_book, n_forms, score and parts, rank.
 
-    A family's frequency stands for its representative's own where there is one, even 0. Ties go by word.
+    A family's frequency stands for its representative's own where there is one, even 0. Ties go by word. Ranks come
+    from ranges of (book, score), as one book may have most of the candidates; what they are made of is written.
     """
     group = grouped(counts, words, lemmas).join(words, "word")
     if family is not None:
@@ -76,8 +79,13 @@ def candidates(counts: DataFrame, words: DataFrame, lemmas: DataFrame | None = N
     kept = group.filter(eligible(F.col("used_pm"), max_pm))
     scored = kept.withColumns(parts(F.col("in_book"), F.col("used_pm"), F.col("length"), F.col("syllables"), F.col("rare_letters"), F.col("etymology_lang")))
     scored = scored.withColumn("score", F.round("score", 9))
-    rank = F.row_number().over(W.partitionBy("book").orderBy(F.col("score").desc(), "word"))
-    return scored.select("book", F.lit(level).alias("level"), "word", "in_book", "n_forms", "score", *[F.round(c, 9).alias(c) for c in ("s_rarity", "s_salience", "s_origin", "s_aesthetic")], rank.cast("long").alias("rank"))
+    rows = scored.select("book", F.lit(level).alias("level"), "word", "in_book", "n_forms", "score", *[F.round(c, 9).alias(c) for c in ("s_rarity", "s_salience", "s_origin", "s_aesthetic")])
+    return ranked(rows)
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """rows (book, score, word, ...) with rank: 1 for the best score of a book, ties by word."""
+    return placed(rows, ["book"], [F.col("score").desc(), F.col("word")], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def exclusion_reasons(counts: DataFrame, words: DataFrame, kept: DataFrame, lemmas: DataFrame | None = None, family: DataFrame | None = None, max_pm: float = MAX_PM) -> DataFrame:

@@ -10,6 +10,7 @@ from wordloom.operators import frequency
 from wordloom.operators import pages as P
 from wordloom.operators import tags as TG
 from wordloom.operators import trajectory as TR
+from wordloom.operators.ranges import placed
 from wordloom.plans import standin as S
 from wordloom.plans import tables as TB
 from wordloom.plans import words as WD
@@ -201,7 +202,7 @@ def _collection_query(name: str, spec: str, by: str, where: str, order: str):
     def run(spark, sf_dir):
         words = S.words_table(spark, sf_dir)
         found = P.collection_page(definitions(spark), word_tags(spark, sf_dir, words), S.counts_table(spark, sf_dir), words, spec)
-        return found.withColumn("place", F.row_number().over(WD.W.orderBy(*P.collection_order(by))).cast("long"))
+        return placed(found, [], P.collection_order(by)).withColumn("place", F.col("place") + 1)
 
     run.__name__ = name
     return query(with_(TOKENS, WORDS, WORD_TAGS, COLLECTION) + f"SELECT *, row_number() OVER (ORDER BY {order} word) AS place FROM col WHERE {where}")(run)

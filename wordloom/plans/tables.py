@@ -283,6 +283,24 @@ def coordinate_terms(spark, sf_dir):
     return G.coordinates(members, up, n.select(F.col("n_name").alias("word"), (F.col("n_nationkey") * 1.5).alias("pm")))
 
 
+@query(
+    """WITH m AS (SELECT p_partkey AS s, p_size % 3 AS d, p_name AS w, p_type AS p FROM part UNION SELECT p_partkey, p_size % 3, lower(p_brand) || ' ' || p_name, p_type FROM part UNION ALL SELECT p_partkey, p_size % 3, w, p FROM (SELECT p_partkey, p_size, p_type || p_brand AS p, unnest([p_name, lower(p_brand) || ' ' || p_name]) AS w FROM part)),
+f AS (SELECT p_name AS w, round(avg(p_retailprice), 2) AS pm FROM part WHERE p_size <> 7 GROUP BY p_name UNION ALL SELECT lower(p_brand) || ' ' || p_name, round(max(p_retailprice) / 2, 2) FROM part GROUP BY 1),
+q AS (SELECT DISTINCT a.w AS word, b.w AS target FROM (SELECT DISTINCT s, d, p, w FROM m) a JOIN (SELECT DISTINCT s, d, p, w FROM m) b ON a.p = b.p AND a.d = b.d AND a.s <> b.s AND a.w <> b.w)
+SELECT * FROM (SELECT word, target, row_number() OVER (PARTITION BY word ORDER BY coalesce(pm, 0) DESC, target) AS place FROM q LEFT JOIN f ON f.w = q.target) WHERE place <= 25"""
+)
+def hub_coordinates(spark, sf_dir):
+    """Parts as synsets of two words each, under few types (hubs) and under brands of a type."""
+    p = S.table(spark, sf_dir, "part")
+    long_name = F.concat(F.lower("p_brand"), F.lit(" "), "p_name")
+    synset, domain = F.col("p_partkey").alias("synset"), (F.col("p_size") % 3).alias("domain")
+    members = p.select(synset, domain, F.col("p_name").alias("word")).unionByName(p.select(synset, domain, long_name.alias("word")))
+    up = p.select(synset, F.explode(F.array("p_type", F.concat("p_type", "p_brand"))).alias("parent"))
+    freq = p.filter("p_size <> 7").groupBy(F.col("p_name").alias("word")).agg(F.round(F.avg("p_retailprice"), 2).alias("pm"))
+    freq = freq.unionByName(p.groupBy(long_name.alias("word")).agg(F.round(F.max("p_retailprice") / 2, 2).alias("pm")))
+    return G.coordinates(members, up, freq)
+
+
 @query(
     """WITH r AS (SELECT DISTINCT n_name AS word, 'hypernym' AS rel, r_name AS target FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT a.n_name, 'coordinate', b.n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey)
 SELECT rel, target, n.n_nationkey % 2 = 0 AND n.n_nationkey IS NOT NULL AS in_book, n.n_nationkey * 1.5::DOUBLE AS pm FROM r LEFT JOIN nation n ON r.target = n.n_name WHERE word = (SELECT min(n_name) FROM nation)"""
