@@ -70,6 +70,11 @@ def candidates(counts: DataFrame, words: DataFrame, lemmas: DataFrame | None = N
     A family's frequency stands for its representative's own where there is one, even 0. Ties go by word. Ranks come
     from ranges of (book, score), as one book may have most of the candidates; what they are made of is written.
     """
+    return ranked(scored(counts, words, lemmas, family, level, max_pm))
+
+
+def scored(counts: DataFrame, words: DataFrame, lemmas: DataFrame | None = None, family: DataFrame | None = None, level: int = 0, max_pm: float = MAX_PM) -> DataFrame:
+    """candidates() without their ranks."""
     group = grouped(counts, words, lemmas).join(words, "word")
     if family is not None:
         group = group.join(family.select(F.col("root").alias("word"), F.col("pm_lc").alias("family_pm"), F.lit(True).alias("has_family")), "word", "left")
@@ -77,10 +82,9 @@ def candidates(counts: DataFrame, words: DataFrame, lemmas: DataFrame | None = N
     else:
         group = group.withColumn("used_pm", F.col("pm_lc"))
     kept = group.filter(eligible(F.col("used_pm"), max_pm))
-    scored = kept.withColumns(parts(F.col("in_book"), F.col("used_pm"), F.col("length"), F.col("syllables"), F.col("rare_letters"), F.col("etymology_lang")))
-    scored = scored.withColumn("score", F.round("score", 9))
-    rows = scored.select("book", F.lit(level).alias("level"), "word", "in_book", "n_forms", "score", *[F.round(c, 9).alias(c) for c in ("s_rarity", "s_salience", "s_origin", "s_aesthetic")])
-    return ranked(rows)
+    found = kept.withColumns(parts(F.col("in_book"), F.col("used_pm"), F.col("length"), F.col("syllables"), F.col("rare_letters"), F.col("etymology_lang")))
+    found = found.withColumn("score", F.round("score", 9))
+    return found.select("book", F.lit(level).alias("level"), "word", "in_book", "n_forms", "score", *[F.round(c, 9).alias(c) for c in ("s_rarity", "s_salience", "s_origin", "s_aesthetic")])
 
 
 def ranked(rows: DataFrame) -> DataFrame:

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from wordloom.operators import frequency
 from wordloom.operators import pages as P
+from wordloom.operators import rescore as RS
 from wordloom.operators import tags as TG
 from wordloom.operators import trajectory as TR
+from wordloom.operators import word_index as IX
 from wordloom.operators.ranges import placed
 from wordloom.plans import standin as S
 from wordloom.plans import tables as TB
 from wordloom.plans import words as WD
 from wordloom.plans.words import TOKENS, WORDS, candidates_sql, lemma_sql, with_
 from wordloom.sources.writers import plain_list
+from wordloom.sources.written import scratch_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -179,6 +182,55 @@ def word_examples(spark, sf_dir):
     return P.word_examples(S.table(spark, sf_dir, "documents").filter("source = 'src1'"), P.searched_forms(counts, rooted, "src1", word))
 
 
+def word_index(spark, sf_dir, level=2):
+    """(path of an index of all documents, words, counts, rooted, family)."""
+    words, counts = S.words_and_counts(spark, sf_dir)
+    rooted, family = S.lemmas(words, level)
+    path = scratch_path(spark)
+    IX.write_index(path, S.table(spark, sf_dir, "documents"), words, counts, rooted)
+    return path, words, counts, rooted, family
+
+
+@query(ORACLES["word_examples"])
+def indexed_examples(spark, sf_dir):
+    """word_examples of an index: a few ranges of it, and the texts of the examples, are read."""
+    path, words, counts, rooted, family = word_index(spark, sf_dir)
+    word = first_of_several(words, WD.scoring.candidates(counts, words, rooted, family, 2).filter("book = 'src1'"), rooted)
+    return IX.indexed_examples(spark, path, S.table(spark, sf_dir, "documents"), "src1", IX.indexed_forms(spark, path, "src1", word))
+
+
+@query(ORACLES["word_detail"])
+def indexed_word_detail(spark, sf_dir):
+    """word_detail of an index: the word's, its family's and its root's ranges are read."""
+    path, words, counts, rooted, family = word_index(spark, sf_dir)
+    word = first_of_several(words, WD.scoring.candidates(counts, words, rooted, family, 2).filter("book = 'src1'"), rooted)
+    own, n, roots = IX.word_rows(spark, path, word)
+    traj = S.written(TB.usage(spark, sf_dir))
+    return P.word_detail("src1", word, own, n, roots, S.word_pos(own), categories(own), traj, TR.summarise(traj, ["word"], F.lit(1850), F.lit(2000)))
+
+
+@query(with_(TOKENS, WORDS, lemma_sql(2), candidates_sql(2)) + "SELECT * FROM can2")
+def rescored_candidates(spark, sf_dir):
+    """The candidates of all books after changes: a library with half of one book, with a book that is no more and with
+    other features of some words takes the whole book in, lets the other one go and follows the dictionary."""
+    words, counts = S.words_and_counts(spark, sf_dir)
+    rooted, family = S.lemmas(words, 2)
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"), "text")
+    half = frequency.token_counts(docs.filter("book = 'src1' AND doc_id % 2 = 0"), ["book"])
+    extra = frequency.token_counts(docs.filter("book = 'src2'").withColumn("book", F.lit("a/b=c %")), ["book"])
+    old = counts.filter("book <> 'src1'").unionByName(half).unionByName(extra)
+    odd = F.length("word") % 5 == 4
+    before = RS.Dictionary(S.written(words.withColumns({"is_offensive": F.col("is_offensive") | odd, "pm_lc": F.when(F.col("word").startswith("b"), F.col("pm_lc") * 2).otherwise(F.col("pm_lc"))})), rooted, S.written(family))
+    after, path = RS.Dictionary(words, rooted, S.written(family)), scratch_path(spark)
+    RS.write_library(path, old, before, 2)
+    RS.refresh_books(spark, path, docs.filter("book = 'src1'").select("book", "text"), ["a/b=c %"], before, 2)
+    RS.refresh_words(spark, path, before, after, 2)
+    return RS.stored(spark, path, "candidates").select(*ranked_columns)
+
+
+ranked_columns = ["book", "level", "word", "in_book", "n_forms", "score", "s_rarity", "s_salience", "s_origin", "s_aesthetic", "rank"]
+
+
 @query(with_(WORDS, WORD_TAGS) + "SELECT word, tag, coalesce(value, -1) AS value, count(*) AS n FROM wtg WHERE book IN ('src3', '*') AND rater = 'me' GROUP BY ALL")
 def book_tags(spark, sf_dir):
     own = P.book_tags(word_tags(spark, sf_dir, S.words_table(spark, sf_dir)), "src3")

@@ -10,9 +10,11 @@ from wordloom.functions import text as T
 from wordloom.operators import catalog as C
 from wordloom.operators import graph as G
 from wordloom.operators import tags as TG
+from wordloom.operators import trigrams as TRG
 from wordloom.operators import trajectory as TR
 from wordloom.operators import vectors as V
 from wordloom.plans import standin as S
+from wordloom.sources.written import scratch_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -241,6 +243,19 @@ _search("catalog_search", "lower(title) LIKE '%1%' OR lower(author) LIKE '%1%'",
 _search("catalog_by_subject", "list_contains(string_split_regex(lower(subjects), ';\\s*'), 'brand#11')", "year DESC NULLS LAST,", subject="Brand#11", sort="year")
 
 
+@query(
+    f"""WITH {CATALOG}, q AS (SELECT DISTINCT left(lower(title), k) AS query FROM cat, range(1, 9) r(k) UNION SELECT DISTINCT right(lower(author), k) FROM cat, range(1, 9) r(k) UNION SELECT 'no such name')
+SELECT query, source_id AS id FROM q JOIN cat ON contains(lower(title), query) OR contains(lower(author), query)"""
+)
+def trigram_search(spark, sf_dir):
+    """Every beginning of a title and every end of an author of 1 to 8 characters, searched in the catalogue by its index."""
+    catalog, path = parts_catalog(spark, sf_dir), scratch_path(spark)
+    TRG.write_trigrams(catalog, path, "source_id", ["title", "author"])
+    asked = catalog.select(F.explode(F.array(*[F.substring(F.lower("title"), 1, k) for k in range(1, 9)], *[F.right(F.lower("author"), F.lit(k)) for k in range(1, 9)])).alias("q")).distinct()
+    # Names are made of a few dozen words and brands, so what their ends can be is bounded.
+    return TRG.search_names(spark, path, catalog, "source_id", ["title", "author"], [r[0] for r in asked.collect()] + ["no such name"])
+
+
 @query(f"WITH {CATALOG}, e AS (SELECT trim(unnest(string_split(subjects, ';'))) AS subject FROM cat) SELECT subject, count(*) AS n FROM e WHERE strlen(subject) BETWEEN 1 AND 60 GROUP BY 1 ORDER BY n DESC, subject LIMIT 120")
 def catalog_subjects(spark, sf_dir):
     return C.subjects(parts_catalog(spark, sf_dir))
