@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,15 +34,27 @@ def _ddl(df: DataFrame) -> str:
 def ranges_for(spark: SparkSession, path: str, values: list[str] = (), prefixes: list[str] = ()) -> list[tuple[int, int]]:
     """(part, rows) of the ranges that may hold some of the keys, or keys that begin with some prefix."""
     first, last = F.col("first"), F.col("last")
-    wanted = [(first <= v) & (last >= v) for v in values] + [(F.substring(first, 1, len(p)) <= p) & (F.substring(last, 1, len(p)) >= p) for p in prefixes]
+    wanted = []
+    if values:
+        wanted.append(_between(first, last, sorted(set(values))))
+    for n, some in _by_length(prefixes):
+        wanted.append(_between(F.substring(first, 1, n), F.substring(last, 1, n), some))
     found = spark.read.parquet(f"{path}/ranges")  # a row a range
     return [tuple(r) for r in found.filter(reduce(or_, wanted)).select("part", "n").collect()] if wanted else []
 
 
+def _between(first: Column, last: Column, values: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, values)), lambda v: (first <= v) & (last >= v))
+
+
+def _by_length(prefixes: list[str]) -> list[tuple[int, list[str]]]:
+    return [(n, sorted({p for p in prefixes if len(p) == n})) for n in sorted({len(p) for p in prefixes})]
+
+
 def read_ranges(spark: SparkSession, path: str, key: str, values: list[str] = (), prefixes: list[str] = ()) -> DataFrame:
     """The rows of some keys, or of keys that begin with some prefix, read from their ranges alone."""
     parts = [p for p, _ in ranges_for(spark, path, values, prefixes)]
-    own = [F.col(key).isin(*values)] * bool(values) + [F.col(key).startswith(p) for p in prefixes]
+    own = [F.col(key).isin(*values)] * bool(values) + [F.substring(key, 1, n).isin(*some) for n, some in _by_length(prefixes)]
     rows = spark.read.parquet(f"{path}/rows")
     return rows.filter(F.col("part").isin(*parts)).filter(reduce(or_, own, F.lit(False))).drop("part")
 
