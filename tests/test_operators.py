@@ -139,8 +139,46 @@ def test_varied_choice():
     picks = vectors.varied(x)
     sims = x[picks] @ x[picks].T - 2 * np.eye(len(picks))
     assert picks[0] == 0 and len(picks) <= 20 and sims.max() < 0.55
-    labels = vectors.sphere_clusters(x, 5)
-    assert set(labels) <= set(range(5)) and len(labels) == 200 and len(vectors.sphere_clusters(x[:3], 9)) == 3
+    assert vectors.varied(x[picks[2] + 1 :], before=x[picks[:3]]) == [p - picks[2] - 1 for p in picks[3:]]
+
+
+def vector_table(spark, groups):
+    rows = [(g, i, i, [float(v) for v in x]) for g, xs in groups.items() for i, x in enumerate(xs)]
+    rows += [("none", 1, 1, None), ("none", None, 2, [1.0] * 4)]
+    return spark.createDataFrame(rows, "g string, id long, rank long, vector array<double>")
+
+
+@pytest.mark.parametrize("block", [1, 5, 64])
+def test_clusters_and_picks(spark, block):
+    rng = np.random.default_rng(1)
+    near = np.concatenate([c + 0.05 * rng.normal(size=(30, 4)) for c in np.eye(4)])
+    groups = {"a": rng.normal(size=(120, 4)), None: near, "one": np.ones((1, 4)), "same": np.ones((9, 4)), "zero": np.zeros((3, 4))}
+    df = vector_table(spark, groups)
+    picks = {}
+    for r in vectors.varied_picks(df, ["g"], top=6, block=block).collect():
+        picks.setdefault(r["g"], []).append(r["rank"])
+    unit = {g: np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0) for g, x in groups.items()}
+    assert {g: sorted(p) for g, p in picks.items()} == {g: vectors.varied(x, top=6) for g, x in unit.items()}
+    if block > 1:
+        return
+    found = vectors.clusters_and_picks(df, ["g"], k=4, top=6)
+    assert found.columns == ["g", "id", "rank", "cluster", "selected"] and found.count() == df.count()
+    got = {}
+    for r in found.filter("cluster IS NOT NULL").collect():
+        got.setdefault(r["g"], {})[r["id"]] = r["cluster"]
+    assert {g: len(x) for g, x in got.items()} == {g: len(x) for g, x in groups.items()}
+    assert len(set(got["same"].values())) == 1 and set(got["a"].values()) <= set(range(4))
+    assert len({tuple(got[None][i] for i in range(k, k + 30)) for k in range(0, 120, 30)}) == 4 and all(len({got[None][i] for i in range(k, k + 30)}) == 1 for k in range(0, 120, 30))
+    assert vectors.clusters_and_picks(df.limit(0), ["g"]).count() == 0
+
+
+def test_clusters_of_one_large_group(spark):
+    """A label of 100,000 rows is summed in many tasks, and comes to rest."""
+    points = spark.range(100_000, numPartitions=16).select(
+        F.lit(1).alias("g"), "id", F.array(*[F.when(F.col("id") % 3 == k, 10.0).otherwise(0.0) + F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(1000)) / 1000 for k in range(3)]).alias("vector")
+    )
+    found = vectors.sphere_clusters(points, ["g"], k=3).withColumn("k", F.col("id") % 3).groupBy("k", "cluster").count().collect()
+    assert len(found) == 3 and len({r["cluster"] for r in found}) == 3
 
 
 @settings(max_examples=60, deadline=None)

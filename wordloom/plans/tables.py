@@ -13,6 +13,7 @@ from wordloom.operators import tags as TG
 from wordloom.operators import trigrams as TRG
 from wordloom.operators import trajectory as TR
 from wordloom.operators import vectors as V
+from wordloom.operators.ranges import placed
 from wordloom.plans import standin as S
 from wordloom.sources.written import scratch_path
 
@@ -355,17 +356,17 @@ def cosine_topk(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    return _vectors(spark, sf_dir).withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("id")))
+    return placed(_vectors(spark, sf_dir), ["label"], [F.col("id")], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 @query()
 def spherical_kmeans(spark, sf_dir):
-    return V.clusters_and_picks(_ranked(spark, sf_dir), ["label"]).select("label", "id", "cluster")
+    return V.sphere_clusters(_vectors(spark, sf_dir), ["label"])
 
 
 @query()
 def shadow_pick(spark, sf_dir):
-    return V.clusters_and_picks(_ranked(spark, sf_dir), ["label"]).filter("selected").select("label", "id", "rank")
+    return V.varied_picks(_ranked(spark, sf_dir), ["label"])
 
 
 @query("WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x::DOUBLE) AS x FROM e GROUP BY ALL), n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label)) AS len FROM m) SELECT label, i::INT AS i, round(x / len, 6) AS x FROM n")
