@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import tags as T
 from wordloom.functions import text as X
 from wordloom.operators import tags as TG
+from wordloom.sources.written import written
 from wordloom.operators.scoring import uncommon_origin
 
 # Rows of a page, of a family, of other books, of examples; characters of an example; rows of a report.
@@ -95,7 +96,10 @@ def candidate_page(kept: DataFrame, words: DataFrame, pos: DataFrame, primary: D
     passed = matching(kept, spec, words, pos, categories, eras)
     totals = passed.groupBy("book").agg(F.count("*").alias("total"))
     place = F.row_number().over(W.partitionBy("book").orderBy("rank")).cast("long")
-    page = passed.withColumn("place", place).filter(F.col("place") <= limit).join(totals, "book")
+    # At most `limit` rows a book, taken several times below: scored, placed and written once.
+    page = written(passed.withColumn("place", place).filter(F.col("place") <= limit).join(totals, "book"))
+    shown_words = page.select("word").distinct()
+    pos, categories = (x.join(shown_words, "word", "left_semi") for x in (pos, categories))
     on = word_tags.filter(T.applied(F.col("value")) & (F.col("rater") == rater))
     everywhere = on.filter(F.col("book") == TG.EVERYWHERE).select("word", "tag").join(page.select("word", "book"), "word")
     own = on.filter(F.col("book") != TG.EVERYWHERE).select("word", "tag", "book").unionByName(everywhere.select("word", "tag", "book"))
@@ -105,6 +109,18 @@ def candidate_page(kept: DataFrame, words: DataFrame, pos: DataFrame, primary: D
     return shown.select("book", "place", "total", "word", "in_book", "score", "n_forms", "origin", "category", "pos", F.coalesce("forms", "word").alias("forms"), F.coalesce("tags", F.lit("")).alias("tags"), F.coalesce("buckets", F.lit("")).alias("buckets"))
 
 
+def visible_page(page: DataFrame, defs: DataFrame | None = None, word_tags: DataFrame | None = None, picks: DataFrame | None = None, rater: str = "me") -> DataFrame:
+    """What is shown of a page (book, word, place, total, ...): with defs and word_tags, without the words that the rater's
+    tags, of the book or everywhere, make uninteresting; with picks (book, word), the varied choice alone. Places and
+    totals stay as they are, as the page's filters come before."""
+    if word_tags is not None:
+        on = word_tags.filter(F.col("rater") == rater).select("book", "word", "tag", "value")
+        everywhere = on.filter(F.col("book") == TG.EVERYWHERE).drop("book").join(page.select("book", "word"), "word")
+        own = on.filter(F.col("book") != TG.EVERYWHERE).unionByName(everywhere)
+        page = TG.visible(page, TG.effective_interest(defs, own.join(page.select("book", "word"), ["book", "word"], "left_semi")), ["book", "word"])
+    return page if picks is None else page.join(picks.select("book", "word").distinct(), ["book", "word"], "left_semi")
+
+
 def _ordered(rows: DataFrame, item: Column, order: list[Column], most: int | None, name: str) -> DataFrame:
     """word and the items of rows in order, as one string; at most `most` of them."""
     place = F.row_number().over(W.partitionBy("word").orderBy(*order))
@@ -205,6 +221,14 @@ def list_books(books: DataFrame, counts: DataFrame, defs: DataFrame, word_tags:
     return books.join(sizes, "book", "left").join(stars, "book", "left").select(*books.columns, zero("n_tokens"), zero("n_types"), zero("stars"))
 
 
+def list_books_admin(books: DataFrame, counts: DataFrame, defs: DataFrame, word_tags: DataFrame) -> DataFrame:
+    """id, book, title, author, year, format, source, text_source, n_tokens, n_types, ingested_at, n_selected (stars): the
+    books with where they came from. Unknown texts are empty, an unknown year stays null; a page shows them by id."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    found = list_books(books, counts, defs, word_tags)
+    return found.select("id", "book", text("title"), text("author"), "year", *map(text, ("format", "source", "text_source")), "n_tokens", "n_types", text("ingested_at"), F.col("stars").alias("n_selected"))
+
+
 def most_in_text(page: DataFrame) -> DataFrame:
     """page with text_place: by the count in the book, ties as on the page."""
     return page.withColumn("text_place", F.row_number().over(W.partitionBy("book").orderBy(F.col("in_book").desc(), "place")).cast("long"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import tags as T
+from wordloom.operators.ranges import placed
 
 EVERYWHERE = "*"
 
@@ -178,8 +179,9 @@ def reconcile_auto_tags(book_tags: DataFrame, books: DataFrame) -> tuple[DataFra
     return want.join(have, ["book", "tag"], "left_anti"), have.join(want, ["book", "tag"], "left_anti")
 
 
-def book_tag_counts(book_tags: DataFrame) -> DataFrame:
-    return book_tags.groupBy("tag").agg(F.max("auto").alias("auto"), F.count("*").alias("n_books"))
+def book_tag_counts(book_tags: DataFrame, books: DataFrame) -> DataFrame:
+    """tag, auto, n_books over the books that are there: tags of deleted books stay in the table and don't count."""
+    return book_tags.join(books.select("book"), "book", "left_semi").groupBy("tag").agg(F.max("auto").alias("auto"), F.count("*").alias("n_books"))
 
 
 def suggest(defs: DataFrame, text: str, most: int = 10) -> DataFrame:
@@ -202,12 +204,41 @@ def books_with_tag(books: DataFrame, book_tags: DataFrame, tag: str, always: str
     return tagged if always is None else tagged.unionByName(books.filter(F.col("book") == always)).distinct()
 
 
+def books_with_tags(books: DataFrame, book_tags: DataFrame) -> DataFrame:
+    """books (id, book, title) with tags: an array of (name, auto, n_books), automatic ones first, then by name. A book
+    without a title shows its name; one without tags has an empty array. n_books counts the books that are there."""
+    own = book_tags.join(books.select("book"), "book", "left_semi").groupBy("book", "tag").agg(F.max("auto").alias("auto"))
+    counted = own.join(book_tag_counts(book_tags, books).select("tag", "n_books"), "tag")
+    item = F.struct((~F.col("auto")).alias("manual"), F.col("tag").alias("name"), "auto", "n_books")
+    folded = counted.groupBy("book").agg(F.sort_array(F.collect_list(item)).alias("_t"))  # the tags of one book
+    tags = F.transform(F.coalesce("_t", F.expr("cast(array() AS array<struct<manual: boolean, name: string, auto: boolean, n_books: bigint>>)")), lambda t: F.struct(t["name"], t["auto"], t["n_books"]))
+    return books.join(folded, "book", "left").select("id", "book", F.coalesce("title", "book").alias("title"), tags.alias("tags"))
+
+
+UNTAGGED = "untagged"
+
+
 def primary_group(books: DataFrame, book_tags: DataFrame) -> DataFrame:
-    """book, group: a book's first manual tag, else its automatic source tag, else null."""
-    first = F.coalesce(F.min(F.when(~F.col("auto"), F.col("tag"))), F.min(F.when(F.col("auto") & F.col("tag").startswith("src:"), F.col("tag"))))
+    """book, group: a book's first manual tag, else its first source tag, else its first automatic tag, else null."""
+    auto = lambda where: F.min(F.when(F.col("auto") & where, F.col("tag")))
+    first = F.coalesce(F.min(F.when(~F.col("auto"), F.col("tag"))), auto(F.col("tag").startswith("src:")), auto(F.lit(True)))
     return books.select("book").join(book_tags.groupBy("book").agg(first.alias("group")), "book", "left")
 
 
+def grouped_books(books: DataFrame, book_tags: DataFrame, want: str = "", current: str | None = None) -> DataFrame:
+    """group, group_place, place, book, n_books: the list to choose a book from. Groups are the primary ones, by name, books
+    without tags last; in a group, books stand by id. n_books is the group's size in the list. want leaves the books that
+    carry a tag, whatever their group is, and the current one.
+
+    A group may have a third of all books: places come from ranges."""
+    kept = books_with_tag(books, book_tags, want, current) if want else books
+    named = kept.select("book", "id").join(primary_group(kept, book_tags), "book").withColumn("group", F.coalesce("group", F.lit(UNTAGGED)))
+    sizes = named.groupBy("group").agg(F.count("*").alias("n_books"))
+    order = placed(sizes, [], [F.col("group") == UNTAGGED, F.col("group")], "group_place").withColumn("group_place", F.col("group_place") + 1)
+    rows = placed(named, ["group"], [F.col("id"), F.col("book")]).withColumn("place", F.col("place") + 1)
+    return rows.join(order, "group").select("group", "group_place", "place", "book", "n_books")
+
+
 def section_order(defs: DataFrame) -> DataFrame:
     """defs (scope, name, section, ord) with place: sections stand where their first tag does, tags by ord in them."""
     first = F.min("ord").over(W.partitionBy("scope", "section"))

@@ -82,9 +82,52 @@ def book_tag_changes(spark, sf_dir):
     return L.add_book_tag(table, table.select("book").distinct(), "b4", " Shelf:New  Wave! ").select("book", "tag", "auto")
 
 
-@query("WITH " + BOOK_TAGS + " SELECT tag, max(auto::INT)::INT AS auto, count(*) AS n_books FROM btg GROUP BY tag")
+# Every seventh book is deleted; its tags lie dormant. Every eleventh has lost its tags, every thirteenth its source tag.
+SHELVES = BOOK_TAGS + """, bok AS (SELECT c_custkey AS id, 'b' || c_custkey AS book, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS title FROM customer WHERE c_custkey % 7 <> 0),
+tgs AS (SELECT book, tag, auto FROM btg WHERE substr(book, 2)::BIGINT % 11 <> 0 AND NOT (starts_with(tag, 'src:') AND substr(book, 2)::BIGINT % 13 = 0) UNION ALL SELECT 'b' || c_custkey, 'fmt:epub', true FROM customer WHERE c_custkey % 13 = 0)"""
+
+
+def shelves(spark, sf_dir):
+    """(books, book_tags) of SHELVES."""
+    c, k = S.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    books = c.filter(k % 7 != 0).select(k.alias("id"), F.concat(F.lit("b"), k.cast("string")).alias("book"), F.when(k % 9 != 0, F.col("c_name")).alias("title"))
+    n = F.substring("book", 2, 20).cast("long")
+    own = book_tags(spark, sf_dir).select("book", "tag", "auto").filter((n % 11 != 0) & ~(F.col("tag").startswith("src:") & (n % 13 == 0)))
+    return books, own.unionByName(c.filter(k % 13 == 0).select(F.concat(F.lit("b"), k.cast("string")).alias("book"), F.lit("fmt:epub").alias("tag"), F.lit(True).alias("auto")))
+
+
+@query("WITH " + SHELVES + " SELECT tag, max(auto::INT)::INT AS auto, count(*) AS n_books FROM tgs JOIN bok USING (book) GROUP BY tag")
 def list_book_tags(spark, sf_dir):
-    return TG.book_tag_counts(book_tags(spark, sf_dir)).withColumn("auto", F.col("auto").cast("int"))
+    books, own = shelves(spark, sf_dir)
+    return TG.book_tag_counts(own, books).withColumn("auto", F.col("auto").cast("int"))
+
+
+@query(
+    "WITH "
+    + SHELVES
+    + """, cnt AS (SELECT tag, count(*) AS n FROM tgs JOIN bok USING (book) GROUP BY tag)
+SELECT id, bok.book, coalesce(title, bok.book) AS title, coalesce(string_agg(t.tag || ' (' || n || ')', ', ' ORDER BY auto DESC, t.tag), '') AS tags FROM bok LEFT JOIN tgs t ON t.book = bok.book LEFT JOIN cnt ON cnt.tag = t.tag GROUP BY ALL"""
+)
+def books_with_tags(spark, sf_dir):
+    found = TG.books_with_tags(*shelves(spark, sf_dir))
+    return found.withColumn("tags", F.array_join(F.transform("tags", lambda t: F.concat(t["name"], F.lit(" ("), t["n_books"].cast("string"), F.lit(")"))), ", "))
+
+
+def _grouped(name: str, where: str, **how):
+    def run(spark, sf_dir):
+        return TG.grouped_books(*shelves(spark, sf_dir), **how)
+
+    run.__name__ = name
+    return query(
+        "WITH "
+        + SHELVES
+        + f""", grp AS (SELECT bok.id, bok.book, coalesce(min(CASE WHEN NOT auto THEN tag END), min(CASE WHEN auto AND starts_with(tag, 'src:') THEN tag END), min(tag), 'untagged') AS g FROM bok LEFT JOIN tgs t ON t.book = bok.book WHERE {where} GROUP BY ALL)
+SELECT g AS "group", dense_rank() OVER (ORDER BY g = 'untagged', g) AS group_place, row_number() OVER (PARTITION BY g ORDER BY id) AS place, book, count(*) OVER (PARTITION BY g) AS n_books FROM grp"""
+    )(run)
+
+
+_grouped("grouped_books", "true")
+_grouped("grouped_books_of_a_tag", "bok.book = 'b11' OR bok.book IN (SELECT book FROM tgs WHERE tag = 'stack')", want="stack", current="b11")
 
 
 OLD = """old AS (SELECT CASE WHEN event_id % 50 = 49 THEN NULL ELSE event_id % 30 END AS book_id, user_id AS word_id, event_type AS tag, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'r' || (event_id % 3) END AS rater, ts FROM events)"""

@@ -283,6 +283,39 @@ def list_books(spark, sf_dir):
     return P.list_books(books, S.counts_table(spark, sf_dir), definitions(spark), word_tags(spark, sf_dir, S.words_table(spark, sf_dir)))
 
 
+@query(
+    with_(TOKENS, WORDS, WORD_TAGS, DEFS)
+    + """, bok AS (SELECT DISTINCT source AS book FROM documents), hit AS (SELECT DISTINCT t.book, t.word FROM wtg t JOIN dfs d ON d.interest = 'interesting' AND (t.tag = d.name OR starts_with(t.tag, d.name || '.')) WHERE coalesce(value, 1) >= 1),
+own AS (SELECT * FROM hit WHERE book <> '*' UNION SELECT c.book, c.token FROM cnt c JOIN hit ON hit.book = '*' AND hit.word = c.token)
+SELECT coalesce(try_cast(substr(b.book, 4) AS BIGINT), -1) AS id, b.book, '' AS title, 'Writer of ' || b.book AS author, NULL::INT AS year, CASE WHEN length(b.book) % 2 = 0 THEN 'epub' ELSE '' END AS format, 'local' AS source, '' AS text_source,
+(SELECT sum(n)::BIGINT FROM cnt WHERE cnt.book = b.book) AS n_tokens, (SELECT count(*) FROM cnt WHERE cnt.book = b.book) AS n_types, '2020-01-01T00:00:00Z' AS ingested_at, (SELECT count(DISTINCT word) FROM own WHERE own.book = b.book) AS n_selected FROM bok b"""
+)
+def list_books_admin(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    books = S.table(spark, sf_dir, "documents").select(F.col("source").alias("book")).distinct().select(
+        F.coalesce(F.expr("try_cast(substr(book, 4) AS bigint)"), F.lit(-1)).cast("long").alias("id"), "book", none.alias("title"), F.concat(F.lit("Writer of "), "book").alias("author"), F.lit(None).cast("int").alias("year"),
+        F.when(F.length("book") % 2 == 0, "epub").alias("format"), F.lit("local").alias("source"), none.alias("text_source"), F.lit("2020-01-01T00:00:00Z").alias("ingested_at"),
+    )
+    return P.list_books_admin(books, S.counts_table(spark, sf_dir), definitions(spark), word_tags(spark, sf_dir, S.words_table(spark, sf_dir)))
+
+
+# Of these, tags reach words that are on pages.
+REJECTING = """rej AS (SELECT DISTINCT book, word FROM (SELECT p.book, p.word, CASE d.interest WHEN 'interesting' THEN 2 WHEN 'uninteresting' THEN 1 ELSE 0 END AS r FROM pag p JOIN ptg t ON t.word = p.word AND t.book IN (p.book, '*') JOIN dfs d ON t.tag = d.name OR starts_with(t.tag, d.name || '.')) GROUP BY book, word HAVING max(r) = 1)"""
+
+
+@query(
+    f"""WITH pag AS (FROM ({ORACLES["candidate_page"]})), {DEFS}, ptg AS (SELECT CASE WHEN place % 40 = 3 THEN '*' ELSE book END AS book, word, CASE place % 4 WHEN 0 THEN 'signup' WHEN 1 THEN 'view.a' WHEN 2 THEN 'click' ELSE 'signup.x' END AS tag FROM pag WHERE place % 3 = 0 UNION ALL SELECT book, word, 'purchase' FROM pag WHERE place % 12 = 0), {REJECTING}
+SELECT book, word, place, total FROM pag WHERE (book, word) NOT IN (SELECT (book, word) FROM rej)"""
+)
+def visible_page(spark, sf_dir):
+    """The page of each book without the words that its tags reject; every third word of a page has tags."""
+    shown, p = S.written(page(spark, sf_dir)), F.col("place")
+    tag = F.when(p % 4 == 0, "signup").when(p % 4 == 1, "view.a").when(p % 4 == 2, "click").otherwise("signup.x")
+    own = shown.filter(p % 3 == 0).select(F.when(p % 40 == 3, "*").otherwise(F.col("book")).alias("book"), "word", tag.alias("tag"))
+    own = own.unionByName(shown.filter(p % 12 == 0).select("book", "word", F.lit("purchase").alias("tag"))).withColumns({"value": F.lit(None).cast("int"), "rater": F.lit("me")})
+    return P.visible_page(shown, definitions(spark), own).select("book", "word", "place", "total")
+
+
 @query(f"SELECT book, word, place, row_number() OVER (PARTITION BY book ORDER BY in_book DESC, place) AS text_place FROM ({ORACLES['candidate_page']})")
 def most_in_text(spark, sf_dir):
     return P.most_in_text(page(spark, sf_dir)).select("book", "word", "place", "text_place")
