@@ -141,3 +141,22 @@ def test_writers(spark, tmp_path):
         Wr.append_log(spark, str(tmp_path / "log"), "s", "d", n)
     assert spark.read.parquet(str(tmp_path / "log")).agg(F.sum("rows")).first()[0] == 3
     assert Wr.as_json(spark.createDataFrame([(1,)], "a int")).first()[0] == '{"a":1}'
+
+
+def test_zip_members_are_partitions(spark, tmp_path):
+    lines = {f"shard{k}.tsv": "".join(f"w{k}_{i}\t{1900 + i}\t{i}\tmore\tfields\n" for i in range(200 * k)) for k in range(4)}
+    with zipfile.ZipFile(tmp_path / "one file.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("folder/", "")
+        for name, text in lines.items():
+            z.writestr(f"folder/{name}", text, zipfile.ZIP_STORED if name == "shard1.tsv" else zipfile.ZIP_DEFLATED)
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("x", "a\tb\tc\r\nshort\tline\né\t\tlast without end")
+    members = R.zip_members(spark, str(tmp_path / "*.zip"))
+    assert sorted(r["bytes"] for r in members.collect()) == sorted(len(t) for t in [*lines.values(), "a\tb\tc\r\nshort\tline\né\t\tlast without end."])
+    found = R.zipped_fields(spark, str(tmp_path / "*.zip"), ["token", "year"])
+    assert found.rdd.getNumPartitions() == 5 and found.columns == ["token", "year"]
+    parts = [p for p in found.rdd.mapPartitions(lambda rows: [sorted({r["token"].split("_")[0] for r in rows})]).collect() if p]
+    assert sorted(parts) == sorted([["w1"], ["w2"], ["w3"], sorted(["a", "short", "é"])])
+    assert found.count() == 1200 + 3
+    assert sorted(r[0] for r in R.zipped_lines(spark, str(tmp_path / "two.zip")).collect()) == ["a\tb\tc", "short\tline", "é\t\tlast without end"]
+    assert R.zipped_ngrams(spark, str(tmp_path / "one file.zip")).count() == 1200

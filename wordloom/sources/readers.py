@@ -14,11 +14,13 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import phones as P
+from wordloom.operators.ranges import numbered
 from wordloom.operators.segments import visible_text
 from wordloom.sources.pdf import pdf_parts
 
@@ -30,6 +32,8 @@ DERIVED = ("form-of", "alt-of", "alternative")
 
 #: Most bytes of one file in an archive, and of all its files.
 ENTRY_BYTES, ARCHIVE_BYTES = 32 << 20, 256 << 20
+#: Tasks that read the files of zip archives; more files share tasks.
+MOST_MEMBERS = 10_000
 
 
 def pronunciations(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +59,7 @@ def ngrams(spark: SparkSession, path: str) -> DataFrame:
 
 def zipped_ngrams(spark: SparkSession, path: str) -> DataFrame:
     """The same of zip archives."""
-    return _ngram_fields(zipped_lines(spark, path).select(F.split("value", "\t").alias("f")).filter(F.size("f") >= 3))
+    return _ngram_fields(zipped_fields(spark, path, ["token", "year", "match"]).select(F.array("token", "year", "match").alias("f")))
 
 
 def _ngram_fields(lines: DataFrame) -> DataFrame:
@@ -115,21 +119,55 @@ def word_list(spark: SparkSession, *paths: str, letters: int = 5) -> DataFrame:
     return spark.read.text(list(paths)).select(word.alias("word")).filter(F.col("word").rlike(rf"^\p{{L}}{{{letters}}}$")).distinct()
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value: the lines of the files in zip archives, which Hadoop's codecs don't open. Each archive is one task's
-    stream; its compressed bytes come as one value, so an archive has at most 2 GB."""
+def _opened(path: str):
+    """A seekable stream of a file that Spark names by URI: on a shared disk by its path, elsewhere by pyarrow."""
+    if path.startswith("file:"):
+        return open(unquote(path.removeprefix("file://").removeprefix("file:")), "rb")
+    system, own = pyarrow.fs.FileSystem.from_uri(path)
+    return system.open_input_file(own)
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """archive, member, bytes (unpacked): the files in zip archives. Only the archives' central directories are read, by
+    seeks, a task for each archive at most. An archive lies where every executor reaches it."""
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive in batch["path"]:
+                with _opened(archive) as f, zipfile.ZipFile(f) as z:
+                    own = [(archive, i.filename, i.file_size) for i in z.infolist() if not i.is_dir()]
+                yield pd.DataFrame(own, columns=["archive", "member", "bytes"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(listed, "archive string, member string, bytes long")
+
+
+def zipped_fields(spark: SparkSession, path: str, names: list[str] | None = None, separator: str = "\t") -> DataFrame:
+    """The lines of the files in zip archives, which Hadoop's codecs don't open: names are the first fields of each line, and
+    only these leave the task that reads it; lines with fewer are left out. Without names, value is the whole line.
+
+    Each file is a partition, found by a seek and unpacked as a stream, so neither archives nor files have a largest
+    size; one file's lines are one task's. Text is UTF-8; what isn't stands as a replacement character."""
+    members = numbered(zip_members(spark, path))
+    dealt = members.repartitionByRange(max(1, min(members.count(), MOST_MEMBERS)), "number").select("archive", "member")
+    columns = names or ["value"]
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(z.namelist()):
-                        with z.open(name) as f:
-                            lines = io.TextIOWrapper(f, "utf-8")
-                            while part := lines.readlines(1 << 20):
-                                yield pd.DataFrame({"value": [x.rstrip("\n") for x in part]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
+            for archive, member in zip(batch["archive"], batch["member"], strict=True):
+                with _opened(archive) as f, zipfile.ZipFile(f) as z, z.open(member) as m:
+                    lines = io.TextIOWrapper(m, "utf-8", "replace", newline="\n")
+                    while part := lines.readlines(1 << 20):
+                        rows = [x.rstrip("\r\n") for x in part]
+                        if names:
+                            rows = [x[: len(names)] for x in (r.split(separator, len(names)) for r in rows) if len(x) >= len(names)]
+                        yield pd.DataFrame(rows, columns=columns, dtype="str")
+
+    return dealt.mapInPandas(unpack, ", ".join(f"`{c}` string" for c in columns))
+
+
+def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of the files in zip archives; see zipped_fields()."""
+    return zipped_fields(spark, path)
 
 
 def sqlite_rows(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
