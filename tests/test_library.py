@@ -187,3 +187,24 @@ def test_synced(spark):
     assert rows(stamps) == [("g", 9, 2), ("s", 6, 1)]
     with pytest.raises(ValueError):
         CO.synced(catalog, sync, fresh.limit(0), "g", F.lit(9))
+
+
+def test_visible_page(spark):
+    page = spark.createDataFrame([("a", "w1", 1, 4), ("a", "w2", 2, 4), ("a", "w3", 3, 4), ("a", "w4", 4, 4), ("b", "w1", 1, 1)], "book string, word string, place int, total int")
+    defs = spark.createDataFrame([("bad", "uninteresting"), ("good", "interesting"), ("plain", "neutral")], "name string, interest string")
+    on = [("a", "w1", "bad", None, "me"), ("*", "w2", "bad.sub", 2, "me"), ("a", "w2", "good", None, "me"), ("a", "w3", "bad", 0, "me"), ("*", "w4", "bad", None, "other"), ("b", "w4", "bad", None, "me"), ("*", "w1", "plain", None, "me")]
+    tagged = spark.createDataFrame(on, "book string, word string, tag string, value int, rater string")
+    assert [r[:2] for r in rows(P.visible_page(page, defs, tagged))] == [("a", "w2"), ("a", "w3"), ("a", "w4"), ("b", "w1")]
+    picks = spark.createDataFrame([("a", "w3"), ("a", "w1"), ("a", "w3")], "book string, word string")
+    assert rows(P.visible_page(page, defs, tagged, picks)) == [("a", "w3", 3, 4)] and P.visible_page(page, picks=picks).count() == 2
+
+
+def test_books_and_groups(spark):
+    books = spark.createDataFrame([(1, "a", "A"), (2, "b", None), (3, "c", "C"), (4, "d", "D")], "id int, book string, title string")
+    tagged = spark.createDataFrame([("a", "src:x", True), ("a", "shelf", False), ("b", "src:x", True), ("c", "fmt:pdf", True), ("gone", "src:x", True), ("gone", "dormant", False)], "book string, tag string, auto boolean")
+    assert {(r["tag"], r["n_books"]) for r in TG.book_tag_counts(tagged, books).collect()} == {("src:x", 2), ("shelf", 1), ("fmt:pdf", 1)}
+    got = {r["book"]: (r["title"], [(t["name"], t["auto"], t["n_books"]) for t in r["tags"]]) for r in TG.books_with_tags(books, tagged).collect()}
+    assert got == {"a": ("A", [("src:x", True, 2), ("shelf", False, 1)]), "b": ("b", [("src:x", True, 2)]), "c": ("C", [("fmt:pdf", True, 1)]), "d": ("D", [])}
+    assert rows(TG.grouped_books(books, tagged)) == [("fmt:pdf", 1, 1, "c", 1), ("shelf", 2, 1, "a", 1), ("src:x", 3, 1, "b", 1), ("untagged", 4, 1, "d", 1)]
+    assert rows(TG.grouped_books(books, tagged, "src:x", "d")) == [("shelf", 1, 1, "a", 1), ("src:x", 2, 1, "b", 1), ("untagged", 3, 1, "d", 1)]
+    assert TG.grouped_books(books.limit(0), tagged).count() == 0
