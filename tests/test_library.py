@@ -3,6 +3,8 @@
 import sqlite3
 import zipfile
 
+from functools import reduce
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -98,7 +100,9 @@ def test_small_functions(spark):
     assert value(spark, C.shortened(lit("abcdef"), 3)) == "abc…" and value(spark, C.shortened(lit("abc"), 3)) == "abc" and value(spark, C.shortened(lit(None).cast("string"), 3)) == ""
     assert value(spark, C.byline(lit("A; B"), lit(1850))) == "A, B · 1850" and value(spark, C.byline(lit(None).cast("string"), lit(1850))) == "1850" and value(spark, C.byline(lit(" "), lit(None).cast("int"))) == ""
     assert C.settings(["# c", "A=1", 'B = "x=y"', "nothing", ""], {"A": "2"}) == {"A": "2", "B": "x=y"}
-    assert C.digest("") == 0xCBF29CE484222325 and C.digest("a") == 0xAF63DC4C8601EC8C
+    for text in ("", "a", "se:jane-austen/emma", "é…" * 40):
+        assert value(spark, C.digest(lit(text))) == f"{reduce(lambda h, b: (h ^ b) * C.DIGEST_FACTOR % 2**64, text.encode(), C.DIGEST_START):016x}"
+    assert value(spark, C.digest(lit(None).cast("string"))) is None
     assert value(spark, trajectory.era_label(lit("of"))) == "of its time" and value(spark, scoring.reason_label(lit("short"))) == "too short"
     assert value(spark, TF.pos_label(lit("intj"))) == "interjection" and value(spark, TF.pos_label(lit("noun"))) == "noun"
     assert value(spark, TF.valid_scope(lit("book"))) and not value(spark, TF.valid_scope(lit("x"))) and not value(spark, TF.valid_interest(lit(None).cast("string")))

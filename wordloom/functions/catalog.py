@@ -84,12 +84,27 @@ def settings(lines: list[str], environment: dict[str, str]) -> dict[str, str]:
     return {k.strip(): v.strip().strip("\"'") for k, mark, v in pairs if mark} | environment
 
 
-def digest(text: str) -> int:
-    """A 64-bit FNV-1a hash of a text, as the name of a selection."""
-    h = 0xCBF29CE484222325
-    for b in text.encode():
-        h = (h ^ b) * 0x100000001B3 & (1 << 64) - 1
-    return h
+MASK = (1 << 32) - 1
+# The start and the multiplier of a selection's digest, which names the job that fetches it.
+DIGEST_START, DIGEST_FACTOR = 0xCBF29CE484222325, 0x1000000001B3
+
+
+def digest(text: Column) -> Column:
+    """A 64-bit multiply-and-xor hash of a text's UTF-8 bytes as 16 hexadecimal digits: the short name of a selection.
+
+    The product is taken in two halves of 32 bits, none of which passes a long. Null has none."""
+    high, low = F.lit(DIGEST_START >> 32), F.lit(DIGEST_START & MASK)
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"))
+    top, rest = DIGEST_FACTOR >> 32, DIGEST_FACTOR & MASK
+
+    def step(h: Column, pair: Column) -> Column:
+        own = h["low"].bitwiseXOR(F.conv(pair, 16, 10).cast("long"))
+        product = own * F.lit(rest)
+        above = (h["high"] * F.lit(rest) + F.shiftrightunsigned(product, 32) + own * F.lit(top)).bitwiseAND(F.lit(MASK))
+        return F.struct(above.alias("high"), product.bitwiseAND(F.lit(MASK)).alias("low"))
+
+    start = F.struct(high.cast("long").alias("high"), low.cast("long").alias("low"))
+    return F.aggregate(pairs, start, step, lambda h: F.lower(F.concat(F.lpad(F.hex(h["high"]), 8, "0"), F.lpad(F.hex(h["low"]), 8, "0"))))
 
 
 def commas(n: Column) -> Column:

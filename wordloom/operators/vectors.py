@@ -116,7 +116,7 @@ def _seeds(points: DataFrame, k: int, rounds: int, seed: int) -> dict[int, np.nd
         for g in np.unique(groups):
             centres[int(g)] = np.concatenate([centres[int(g)], x[groups == g]])
     weights = {g: np.zeros(len(c)) for g, c in centres.items()}
-    for g, c, n in _assigned(points, centres).groupBy("_g", "cluster").count().toArrow().to_pandas().itertuples(index=False):
+    for g, c, n in assigned(points, centres).groupBy("_g", "cluster").count().toArrow().to_pandas().itertuples(index=False):
         weights[g][c] = n
     out = {}
     for g, c in centres.items():
@@ -135,7 +135,7 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _assigned(points: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+def assigned(points: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     shared = points.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def _assigned(points: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     return points.mapInArrow(run, f"{_ddl(points.select('_g', 'id'))}, cluster int")
 
 
-def _moved(points: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+def moved(points: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """The centres in the direction of their members' sums. A task sums its rows before any are sent; a centre without
     members stays."""
     shared = points.sparkSession.sparkContext.broadcast(centres)
@@ -191,10 +191,10 @@ def sphere_clusters(points: DataFrame, keys: list[str], k: int = CLUSTERS, round
     for part in in_group_blocks(rows, named, GROUPS):
         centres = _seeds(part, k, SEED_ROUNDS, seed)
         for _ in range(rounds):
-            before, centres = centres, _moved(part, centres)
+            before, centres = centres, moved(part, centres)
             if all(np.allclose(before[g], c, atol=1e-5) for g, c in centres.items()):
                 break
-        own = _assigned(part, centres)
+        own = assigned(part, centres)
         found = own if found is None else found.unionByName(own)
     if found is None:
         return points.select(*keys, "id", F.lit(0).alias("cluster")).limit(0)

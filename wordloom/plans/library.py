@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wordloom.functions import catalog as FC
+from wordloom.functions import text as X
+from wordloom.operators import grabs as GR
 from wordloom.operators import library as L
 from wordloom.operators import tags as TG
 from wordloom.plans import standin as S
@@ -146,3 +149,74 @@ def text_keyed_tags(spark, sf_dir):
 def job_list(spark, sf_dir):
     state = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
     return L.job_list(S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), state.alias("state"), F.col("o_orderdate").alias("updated"))).select("id", "state", "place")
+
+
+# The catalogue is the documents under three sources, one in ten missing; one file in eleven can't be fetched. Half of the
+# library has its catalogue row's name, the other half came in by hand. Events ask for documents, some of which aren't there.
+GRAB = (
+    HASHED
+    + """, nam AS (SELECT h.doc_id AS d, h.h, coalesce(documents.source, 'none') AS title FROM hsh h JOIN documents USING (doc_id)),
+bks AS (SELECT CASE WHEN d % 12 = 0 THEN 'gutenberg-' || d ELSE title || '-' || d END AS book, CASE WHEN d % 12 = 0 THEN d::VARCHAR ELSE '' END AS source_id, h, d, title FROM nam WHERE d % 6 = 0),
+ask AS (SELECT event_id AS place, event_id * 7 % 1200 AS d FROM events), fst AS (SELECT d, min(place) AS f FROM ask GROUP BY d),
+jud AS (SELECT fst.*, nam.h, nam.title, CASE WHEN nam.d IS NULL OR fst.d % 10 = 9 THEN 'not in the catalogue' WHEN fst.d % 12 = 0 THEN 'already imported' WHEN fst.d % 11 = 5 THEN 'nothing was fetched' END AS reason FROM fst LEFT JOIN nam ON nam.d = fst.d),
+sam AS (SELECT h, min(book) AS same, arg_min(source_id, book) AS same_id FROM bks GROUP BY h),
+may AS (SELECT jud.*, same, same_id, row_number() OVER (PARTITION BY jud.h ORDER BY f) AS k FROM jud LEFT JOIN sam ON sam.h = jud.h WHERE reason IS NULL),
+fre AS (SELECT h, d, f, CASE d % 3 WHEN 0 THEN 'gutenberg-' || d WHEN 1 THEN 'se-a-' || d ELSE title END AS base FROM may WHERE same IS NULL AND k = 1),
+usd AS (SELECT title AS base, d AS n FROM bks WHERE d % 12 <> 0 AND d > 1), bas AS (SELECT base, count(*) AS need FROM fre GROUP BY base),
+opn AS (SELECT bas.base, need, unnest(generate_series(1, need + (SELECT count(*) FROM usd WHERE usd.base = bas.base))) AS n FROM bas),
+ope AS (SELECT base, n, row_number() OVER (PARTITION BY base ORDER BY n) AS r FROM opn WHERE (base, n) NOT IN (SELECT (base, n) FROM usd)),
+slg AS (SELECT h, CASE n WHEN 1 THEN x.base ELSE x.base || '-' || n END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY f) AS r FROM fre) x JOIN ope ON ope.base = x.base AND ope.r = x.r),
+dec AS (SELECT may.d, f, CASE WHEN same IS NULL AND k = 1 THEN 'imported' ELSE 'skipped' END AS outcome, coalesce(same, slug) AS slug, same IS NOT NULL AND k = 1 AND same_id = '' AS claims FROM may LEFT JOIN slg ON slg.h = may.h),
+eac AS (SELECT *, CASE WHEN outcome = 'skipped' THEN 'identical content' END AS reason FROM dec UNION ALL SELECT d, f, CASE WHEN reason = 'already imported' THEN 'skipped' ELSE 'failed' END, CASE WHEN reason = 'already imported' THEN 'gutenberg-' || d END, false, reason FROM jud WHERE reason IS NOT NULL),
+grb AS (SELECT place, d, CASE WHEN place > f AND (outcome = 'imported' OR claims) THEN 'skipped' ELSE outcome END AS outcome, slug, CASE WHEN place > f AND (outcome = 'imported' OR claims) THEN 'already imported' ELSE reason END AS reason, claims AND place = f AS claims FROM ask JOIN eac USING (d))"""
+)
+
+
+def grab_tables(spark, sf_dir):
+    """items, catalog, books and texts of GRAB."""
+    docs, d = S.table(spark, sf_dir, "documents"), F.col("d")
+    source = F.when(d % 3 == 0, "gutenberg").when(d % 3 == 1, "standardebooks").otherwise("other")
+    source_id = F.when(d % 3 == 1, F.concat(F.lit("a/"), d.cast("string"))).otherwise(d.cast("string"))
+    named = docs.select(F.col("doc_id").alias("d"), F.coalesce("source", F.lit("none")).alias("title"), "text").withColumns({"source": source, "source_id": source_id, "author": F.lit("a"), "year": F.lit(1850)})
+    items = S.table(spark, sf_dir, "events").select(F.col("event_id").alias("place"), (F.col("event_id") * 7 % 1200).alias("d")).withColumns({"source": source, "source_id": source_id})
+    known = d % 12 == 0
+    books = named.filter(d % 6 == 0).withColumns({
+        "book": F.when(known, F.concat(F.lit("gutenberg-"), d.cast("string"))).otherwise(F.concat_ws("-", "title", d.cast("string"))),
+        "source": F.when(known, "gutenberg").otherwise("epub"), "source_id": F.when(known, d.cast("string")), "content_hash": X.content_hash(F.col("text")),
+    }).select("book", "source", "source_id", "title", "author", "year", "content_hash")
+    return items, named.filter(d % 10 != 9), books, named.filter(d % 11 != 5).select("source", "source_id", "text")
+
+
+@query("WITH " + GRAB + " SELECT place, outcome, slug, reason, claims FROM grb")
+def grabbed(spark, sf_dir):
+    """What becomes of each row of a batch, and under which name."""
+    return GR.grabbed(*grab_tables(spark, sf_dir)).select("place", "outcome", "slug", "reason", "claims")
+
+
+@query("WITH " + GRAB + " SELECT count(*) AS n, count_if(outcome = 'imported')::BIGINT AS n_imported, count_if(outcome = 'skipped')::BIGINT AS n_skipped, count_if(outcome = 'failed')::BIGINT AS n_failed, arg_min(reason, CASE WHEN outcome = 'failed' THEN place END) AS first_failure, count_if(outcome = 'failed') = 0 AS ok, CASE WHEN count_if(outcome = 'failed') > 0 THEN CASE WHEN count_if(outcome = 'imported') > 0 THEN 'PARTIAL' ELSE 'ALL_FAILED' END END AS code FROM grb")
+def grab_summary(spark, sf_dir):
+    return GR.grab_summary(GR.grabbed(*grab_tables(spark, sf_dir)))
+
+
+@query("WITH " + GRAB + " SELECT book, CASE WHEN c.d IS NOT NULL THEN 'gutenberg' WHEN source_id = '' THEN 'epub' ELSE 'gutenberg' END AS source, coalesce(c.d::VARCHAR, nullif(source_id, '')) AS source_id FROM bks LEFT JOIN (SELECT slug, d FROM grb WHERE claims) c ON c.slug = book WHERE c.d IS NULL OR c.d % 3 = 0 UNION ALL SELECT book, CASE c.d % 3 WHEN 1 THEN 'standardebooks' ELSE 'other' END, CASE c.d % 3 WHEN 1 THEN 'a/' || c.d ELSE c.d::VARCHAR END FROM bks JOIN grb c ON c.slug = book AND claims WHERE c.d % 3 <> 0 UNION ALL SELECT slug, CASE d % 3 WHEN 0 THEN 'gutenberg' WHEN 1 THEN 'standardebooks' ELSE 'other' END, CASE d % 3 WHEN 1 THEN 'a/' || d ELSE d::VARCHAR END FROM grb WHERE outcome = 'imported'")
+def books_after_grab(spark, sf_dir):
+    """The library after a batch: its books, those that took over a catalogue row, and those that came in."""
+    items, catalog, books, texts = grab_tables(spark, sf_dir)
+    return GR.with_grabbed(books, catalog, GR.grabbed(items, catalog, books, texts)).select("book", "source", "source_id")
+
+
+@query("SELECT (SELECT count(DISTINCT event_type) FROM events) AS n_tags, (SELECT count(*) FROM events WHERE event_id % 3 <> 0) AS n_applications, count(*) AS n_book_tags, count_if(auto)::BIGINT AS n_auto FROM (WITH " + BOOK_TAGS + " SELECT * FROM btg)")
+def user_counts(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events")
+    return GR.user_counts(e.select("event_type").distinct(), e.filter("event_id % 3 <> 0"), book_tags(spark, sf_dir))
+
+
+@query(
+    """WITH itm AS (SELECT o_custkey, '[' || string_agg('"' || o_orderstatus || ':' || o_orderkey || '"', ',' ORDER BY o_orderkey) || ']' AS items FROM orders GROUP BY o_custkey)
+SELECT o_custkey AS batch, lower(printf('%016x', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(generate_series(1, length(items)), lambda i: ascii(items[i])::HUGEINT)), lambda h, b: xor(h, b) * 17592186044851::HUGEINT % 18446744073709551616::HUGEINT)::UBIGINT)) AS digest FROM itm"""
+)
+def batch_digests(spark, sf_dir):
+    """The short names of batches: a customer's orders as a batch of catalogue rows."""
+    item = F.concat_ws(":", "o_orderstatus", F.col("o_orderkey").cast("string"))
+    batches = S.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("batch")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", item.alias("item"))))["item"].alias("items"))  # a batch is one request
+    return batches.select("batch", FC.digest(F.to_json("items")).alias("digest"))

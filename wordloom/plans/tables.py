@@ -12,6 +12,7 @@ from wordloom.operators import graph as G
 from wordloom.operators import tags as TG
 from wordloom.operators import trigrams as TRG
 from wordloom.operators import trajectory as TR
+from wordloom.operators import vector_index as VI
 from wordloom.operators import vectors as V
 from wordloom.operators.ranges import placed
 from wordloom.plans import standin as S
@@ -355,6 +356,14 @@ def cosine_topk(spark, sf_dir):
     return V.top_similar(v.filter("id % 20 = 0").select("id", "vector"), v.select("id", "vector"))
 
 
+@query()
+def index_topk(spark, sf_dir):
+    """Every row is a query: the five nearest by the index of cells."""
+    v, path = _vectors(spark, sf_dir).select("id", "vector"), scratch_path(spark)
+    VI.write_index(v, path)
+    return VI.nearest(spark, v, path)
+
+
 def _ranked(spark, sf_dir):
     return placed(_vectors(spark, sf_dir), ["label"], [F.col("id")], "rank").withColumn("rank", F.col("rank") + 1)
 
