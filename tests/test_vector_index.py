@@ -1,5 +1,6 @@
 """The index of vectors by cells against exact search."""
 
+import os
 import re
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from wordloom.operators import vector_index as VI
-from wordloom.sources.written import scratch_path
+from wordloom.sources.written import scratch_path, shared_dir
 
 
 def exact(names, x, q_names, q, most):
@@ -88,3 +89,20 @@ def test_empty_tables(spark):
     path = scratch_path(spark)
     VI.write_index(one, path)
     assert VI.nearest(spark, one, path).count() == 0 and VI.nearest(spark, none, path).count() == 0
+
+
+def test_a_query_travels_to_a_few_parts(spark):
+    """Of vectors without clusters a query tries most cells, but isn't copied to each of them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 8))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).round(4)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(4)
+    path = scratch_path(spark)
+    VI.write_index(table, path, cells=60, target=1.0)
+    tries = spark.read.parquet(f"{path}/about").first()["tries"]
+    before = set(os.listdir(shared_dir(spark)))
+    df = VI.nearest(spark, table, path)
+    assert answers(df) == exact(range(1500), x, range(1500), x, 5) and tries > 3 * VI.PARTS
+    new = [f"{shared_dir(spark)}/{d}" for d in set(os.listdir(shared_dir(spark))) - before]
+    size = sum(os.path.getsize(os.path.join(d, f)) for d in new for f in os.listdir(d))
+    assert size < (VI.PARTS + 4) * 1500 * 8 * 8
