@@ -126,6 +126,21 @@ def test_word_index(spark, library, tmp_path):
     assert len(stores.ranges_for(spark, f"{path}/places", ["zebra"])) < 6 and read
 
 
+def test_places_of_a_token_share_rows(spark, tmp_path):
+    """A text of each o: a row for each token and book of a task, not for each place. Texts that share an o are told apart,
+    repeated ones count once; long lists are cut."""
+    plain = [(k, "b", "A lamp. The lamp walks. Zebra!") for k in range(2100)]
+    docs = spark.createDataFrame(plain, "doc_id long, source string, text string").coalesce(1)
+    found = word_index.places(docs).collect()
+    assert len(found) == 6 and sorted(len(r["o"]) for r in found if r["token"] == "lamp") == [104, 4096] and {h for r in found for h in r["h"]} == {0}
+    odd = spark.createDataFrame([*plain, (3, "b", "No lamp here. The lamp walks."), (3, "b", "A lamp. Lamp!"), plain[5], (9, "c", "Lamp. x"), (None, "b", "Zebra"), (50, None, "Lamp"), (51, "b", None)], docs.schema)
+    words = spark.createDataFrame([], "word string, pm double")
+    word_index.write_index(str(tmp_path / "i"), odd, words, frequency.token_counts(odd.select(F.col("source").alias("book"), "text"), ["book"]), spark.createDataFrame([], "word string, root string"), parts=3)
+    for book in ("b", "c"):
+        want = pages.word_examples(odd.filter(F.col("source") == book), spark.createDataFrame([("lamp",), ("x",)], "form string"), limit=40)
+        assert rows(word_index.indexed_examples(spark, str(tmp_path / "i"), odd, book, ["lamp", "x"], limit=40).select("total", "form", "text")) == rows(want.select("total", "form", "text"))
+
+
 def test_ranges_of_a_hot_key(spark, tmp_path):
     df = spark.createDataFrame([("the", k) for k in range(500)] + [("a", 1), (None, 2), ("zoo", 3)], "w string, k int")
     stores.write_ranges(df, str(tmp_path / "t"), "w", ("k",), parts=5)
