@@ -1,5 +1,7 @@
 """Golden values of the column functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,8 @@ from wordloom.functions import catalog as C
 from wordloom.functions import phones as P
 from wordloom.functions import tags as G
 from wordloom.functions import text as T
+from wordloom.operators.frequency import token_counts
+from wordloom.plans import tables as TB
 
 
 def values(spark, f, *rows):
@@ -64,3 +68,20 @@ def test_highlight(spark):
 def test_tag_states(spark):
     df = spark.createDataFrame([(None,), (0,), (3,)], "v int").coalesce(1)
     assert [tuple(r) for r in df.select(G.applied(F.col("v")), G.tag_level(F.col("v")), G.value_code(F.col("v"))).collect()] == [(True, None, -1), (False, None, 0), (True, 3, 3)]
+
+
+def test_counts_leave_white_space_alone(spark):
+    """Tokens are the same with and without white space made one, so counts don't ask for it."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(" \t\n\x0b\f\r\x85\u2028  aBz'’-.!ÉKİ") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    plain = F.replace(F.regexp_replace("text", r"\s+", " "), F.lit("’"), F.lit("'"))
+    assert df.filter((T.normalise(F.col("text")) != plain) | (T.tokens(T.plain_apostrophes(F.col("text"))) != T.tokens(plain))).count() == 0
+    plan = token_counts(df.withColumn("book", F.lit("b")), ["book"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_replace" not in plan
+
+
+def test_usage_reads_texts_once(spark):
+    """Decades' totals and words' counts come from one written table, not each from the documents."""
+    plan = TB.usage(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("Relation") == 2

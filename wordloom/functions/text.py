@@ -19,7 +19,12 @@ WINDOWS_CONTROLS = ("\x85\x91\x92\x93\x94\x96\x97", "…‘’“”–—")
 
 def normalise(text: Column) -> Column:
     """White space runs as one space, typographic apostrophes as plain ones."""
-    return F.replace(F.regexp_replace(text, r"\s+", " "), F.lit("’"), F.lit("'"))
+    return plain_apostrophes(F.regexp_replace(text, r"[\t\n\x0B\f\r]\s*| \s+", " "))  # single spaces, the most, stay unmatched
+
+
+def plain_apostrophes(text: Column) -> Column:
+    """Typographic apostrophes as plain ones: all that tokens ask for, as white space of any kind parts them."""
+    return F.replace(text, F.lit("’"), F.lit("'"))
 
 
 def tokens(text: Column) -> Column:

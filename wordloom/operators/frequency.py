@@ -24,7 +24,7 @@ def histogram(docs: DataFrame, book: str = "source", order: str = "doc_id", text
 
 def token_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, token, count: the histogram without examples."""
-    return docs.select(*keys, F.explode(T.tokens(T.normalise(F.col(text)))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("count"))
+    return docs.select(*keys, F.explode(T.tokens(T.plain_apostrophes(F.col(text)))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("count"))
 
 
 def case_folded(surface: DataFrame, token: str = "token", count: Column | None = None, shape: str = "^[A-Za-z]+(?:['-][A-Za-z]+)*$") -> DataFrame:

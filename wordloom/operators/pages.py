@@ -25,8 +25,9 @@ PAGE, FAMILY, ALSO_IN, EXAMPLES, MOST_EXAMPLES, EXAMPLE_CHARS, TOP = 400, 15, 20
 CONTENT_POS, NO_BUCKET = ("noun", "verb", "adj", "adv"), "noun.Tops"
 
 
-def matching(kept: DataFrame, spec: str, words: DataFrame, pos: DataFrame, categories: DataFrame, eras: DataFrame) -> DataFrame:
-    """The candidates that a filter lets through; each has to exist once in what the filter asks."""
+def matching(kept: DataFrame, spec: str, words: DataFrame, pos: DataFrame, categories: DataFrame, eras: DataFrame | None) -> DataFrame:
+    """The candidates that a filter lets through; each has to exist once in what the filter asks. Filters by era and by
+    obsolescence alone ask for eras."""
     kind, _, value = spec.partition(":")
     if not spec:
         return kept
@@ -89,7 +90,7 @@ def book_tags(word_tags: DataFrame, book: str, rater: str = "me") -> DataFrame:
     return own.select("word", "tag", T.value_code(F.col("value")).alias("value"))
 
 
-def candidate_page(kept: DataFrame, words: DataFrame, pos: DataFrame, primary: DataFrame, categories: DataFrame, eras: DataFrame, forms: DataFrame, word_tags: DataFrame, spec: str = "", limit: int = PAGE, rater: str = "me") -> DataFrame:
+def candidate_page(kept: DataFrame, words: DataFrame, pos: DataFrame, primary: DataFrame, categories: DataFrame, eras: DataFrame | None, forms: DataFrame, word_tags: DataFrame, spec: str = "", limit: int = PAGE, rater: str = "me") -> DataFrame:
     """The first `limit` candidates of each book that pass the filter, with what the page shows of them: book, place,
     total (how many pass, before the limit), word, in_book, score, n_forms, origin, category, pos, forms, tags, buckets.
     A filter by era or obsolescence comes before the limit as all others do."""

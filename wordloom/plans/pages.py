@@ -81,7 +81,8 @@ def page(spark, sf_dir, spec="", limit=P.PAGE, level=2):
     rooted, family = S.lemmas(words, level) if level else (None, None)
     kept = WD.scoring.candidates(counts, words, rooted, family, level)
     pos = S.word_pos(words)
-    return P.candidate_page(kept, words, pos, WD.primary_pos(pos), categories(words), eras(spark, sf_dir), P.merged_forms(counts, words, rooted), word_tags(spark, sf_dir, words), spec, limit)
+    asked = eras(spark, sf_dir) if spec.startswith(("era:", "status:")) else None
+    return P.candidate_page(kept, words, pos, WD.primary_pos(pos), categories(words), asked, P.merged_forms(counts, words, rooted), word_tags(spark, sf_dir, words), spec, limit)
 
 
 def _page_sql(where: str) -> str:
