@@ -162,6 +162,19 @@ def test_trigrams(spark, tmp_path):
     assert 0 < read < everything
 
 
+def test_trigrams_post_each_text_once(spark, tmp_path):
+    """The index grows with different texts, not with the names that share them; what a name has found in two texts is a row."""
+    names = [(k // 2 if k < 20 else k, f"Red bolt {k % 3}", "Bolt & Co" if k % 5 else None) for k in range(600)] + [(None, "Red bolt 1", "x")]
+    df = spark.createDataFrame(names, "id long, title string, author string")
+    path = str(tmp_path / "grams")
+    trigrams.write_trigrams(df, path, "id", ["title", "author"], parts=4)
+    low = {s.lower() for i, *each in names for s in each if s and i is not None}
+    assert trigrams.rows_read(spark, path, ["bolt"])[1] == sum(len({f"{t}\0\0"[k : k + 3] for k in range(len(t))}) for t in low)
+    asked = ["bolt", "b", "lt", "t & c", "red bolt 2", "bolt 1", *(f"none {k}" for k in range(200)), *(s[a : a + n] for s in low for n in (2, 3, 7) for a in range(len(s)))]
+    expected = sorted({(q, i) for q in asked if q for i, *each in names for s in each if s and i is not None and q in s.lower()}, key=str)
+    assert rows(trigrams.search_names(spark, path, df, "id", ["title", "author"], asked)) == expected
+
+
 def files(path):
     return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
 
