@@ -1,5 +1,8 @@
 """Operators on small tables."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -220,3 +223,31 @@ def test_gated_words(spark):
     seen = spark.createDataFrame([("cats",), ("x-y",), ("naïve",)], "token string")
     stems = spark.createDataFrame([("cats", "cat"), ("rare", "r")], "word string, root string")
     assert rows(trajectory.gated_words(w, seen, stems)) == [("cat",), ("cats",)]
+
+
+def test_histogram_of_odd_texts(spark):
+    """Texts of one order number, repeated ones, null books, orders and texts; a long sentence; a text travels once, and not as sentences."""
+    long = "Lorem zip " + "filler words " * 40 + "target of it. "
+    texts = [(3, "b", "A lamp. The lamp walks! Zebra?"), (1, "b", "No one. The lamp stood’s here. A\n lamp"), (1, "b", "One lamp."), (1, "b", "One lamp."), (None, None, "Zebra runs. Lamp"), (2, None, "Zebra"), (7, "b", None), (8, "c", ""), (9, "c", long * 3), (0, "d", "...  Last  one "), (5, "d", "Last")]
+    docs = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    counts, at = Counter(), {}
+    for o, book, text in texts:
+        for i, sentence in enumerate(re.split(r"(?<=[.!?])\s+", re.sub(r"\s+", " ", text or "").replace("’", "'"))):
+            for token in re.findall(r"[a-z]+(?:['’-][a-z]+)*", sentence.lower()):
+                counts[book, token] += 1
+                at.setdefault((book, token), []).append((-1 if o is None else o, i, sentence.strip()))
+    for few in (frequency.GATHERED, 2):
+        kept, frequency.GATHERED = frequency.GATHERED, few
+        try:
+            found = frequency.histogram(docs)
+            got = {(r["book"], r["token"]): r for r in found.collect()}
+        finally:
+            frequency.GATHERED = kept
+        assert {k: r["count"] for k, r in got.items()} == counts and found.columns == ["book", "token", "count", "example"]
+        for key, places in at.items():
+            first = {s for *place, s in places if place == list(min(p[:2] for p in places))}
+            example = got[key]["example"]
+            assert example in first or any(len(s) > 280 and example.strip("…") in s and key[1] in example.lower() for s in first)
+    assert frequency.firsts(docs.select(F.col("source").alias("book"), F.col("doc_id").alias("o"), F.xxhash64("text").alias("h"), "text").coalesce(1)).count() == len(counts)
+    plan = frequency.histogram(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # tokens, their texts' lists, texts

@@ -2,24 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from wordloom.functions import text as T
 from wordloom.operators.ranges import placed
 
+#: Tokens that a task counts at a time.
+GATHERED = 3 << 20
+
 
 def histogram(docs: DataFrame, book: str = "source", order: str = "doc_id", text: str = "text") -> DataFrame:
     """book, token, count, and example: the snippet around the token's first occurrence in the book (by order, then
-    sentence). Counts and the least (order, sentence) are combined before the shuffle; only then does each row meet its
-    sentence, so that a long one travels once and not with each of its tokens."""
-    parts = docs.select(F.col(book).alias("book"), F.col(order).alias("o"), F.posexplode(T.sentences(T.normalise(F.col(text)))).alias("s", "sentence"))
-    parts = parts.withColumn("h", F.xxhash64("sentence"))  # tells rows of one order apart
-    each = parts.select("book", "o", "s", "h", F.explode(T.tokens(F.col("sentence"))).alias("token"))
-    found = each.groupBy("book", "token").agg(F.count("*").alias("count"), F.min(F.struct("o", "s", "h")).alias("at")).select("book", "token", "count", "at.*")
-    sentences = parts.dropDuplicates(["book", "o", "s", "h"]).select(*[F.col(c).alias(f"_{c}") for c in ("book", "o", "s", "h")], F.trim("sentence").alias("sentence"))
-    met = found.join(sentences, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("book", "o", "s", "h")])
-    return met.select("book", "token", "count", T.window_around(F.col("sentence"), F.col("token")).alias("example"))
+    sentence). Counts and the least (order, sentence) are combined in the tasks that read the texts and again after the
+    shuffle; only then does a text meet the tokens that it has first, so that it travels once."""
+    docs = docs.select(F.col(book).alias("book"), F.col(order).alias("o"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))  # h tells texts of one order apart
+    found = firsts(docs).groupBy("book", "token").agg(F.sum("count").alias("count"), F.min(F.struct("o", "s", "h")).alias("at"))
+    key = F.struct("book", "o", "h").alias("key")  # nulls in a struct are equal
+    found = found.select("book", "token", "count", "at.o", "at.s", F.coalesce("at.h", F.lit(0)).alias("h"))  # never null, as that of docs: or keys are cast and dealt anew
+    of_text = found.groupBy(key).agg(F.collect_list(F.struct("token", "count", "s")).alias("firsts"))
+    texts = docs.select(key, "text").dropDuplicates(["key"])
+    met = of_text.join(texts, "key").select("key.book", "firsts", F.transform(T.sentences(T.normalise(F.col("text"))), lambda s: F.trim(s)).alias("sentences"))
+    cut = F.transform("firsts", lambda x: F.struct(x["token"].alias("token"), x["count"].alias("count"), T.window_around(F.get("sentences", x["s"]), x["token"]).alias("example")))
+    return met.select("book", F.explode(cut).alias("x")).select("book", "x.*")
+
+
+def firsts(docs: DataFrame) -> DataFrame:
+    """book, token, count, o, s, h: how often some texts (book, o, h, text) have a token, and the first text and sentence
+    (by o, s, h) that has it. A row stands for up to GATHERED tokens that a task reads, so a token and a book may have several."""
+    parts = docs.select("book", "o", "h", F.posexplode(T.sentences(T.normalise(F.col("text")))).alias("s", "sentence"))
+    each = parts.select("book", "o", "s", "h", T.tokens(F.col("sentence")).alias("t"))
+    kind = docs.schema
+    schema = StructType([kind["book"], StructField("token", StringType()), StructField("count", LongType()), kind["o"], StructField("s", IntegerType()), kind["h"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch["t"].flatten())
+            if n >= GATHERED:
+                yield _firsts(held, schema.names)
+                held, n = [], 0
+        if n:
+            yield _firsts(held, schema.names)
+
+    return each.mapInArrow(run, schema)
+
+
+def _firsts(batches: list[pa.RecordBatch], names: list[str]) -> pa.RecordBatch:
+    """Rows of firsts() from sentences (book, o, s, h, t)."""
+    rows = pa.Table.from_batches(batches)
+    rows = rows.take(pc.sort_indices(rows, [("o", "ascending"), ("s", "ascending"), ("h", "ascending")], null_placement="at_start")).combine_chunks().to_batches()[0]
+    row = np.repeat(np.arange(rows.num_rows), pc.fill_null(pc.list_value_length(rows["t"]), 0).to_numpy(zero_copy_only=False))
+    tokens, books = rows["t"].flatten(), pc.dictionary_encode(rows["book"], null_encoding="encode")
+    key = tokens.dictionary_encode().indices.to_numpy().astype(np.int64) * len(books.dictionary) + books.indices.to_numpy()[row]
+    by_key = np.argsort(key, kind="stable")  # of a key, the first in order stays first
+    key = key[by_key]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    at, count = by_key[starts], np.diff(np.append(starts, len(key)))
+    own = rows.take(pa.array(row[at]))
+    return pa.record_batch([own["book"], tokens.take(pa.array(at)), pa.array(count, pa.int64()), own["o"], own["s"], own["h"]], names)
 
 
 def token_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
